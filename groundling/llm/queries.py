@@ -12,6 +12,7 @@ from .html_text import main_text
 from .packing import pack_sequences
 from .secrets import scan_secrets, span_text
 from .sharding import shard_by_bytes
+from .substring_dedup import remove_seen_windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,11 @@ def op3_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents").select("doc_id", "text"), 4096)
 
 
+def op5_seen_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_seen_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), 13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
