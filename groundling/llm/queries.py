@@ -13,12 +13,18 @@ from .packing import pack_sequences
 from .secrets import scan_secrets, span_text
 from .sharding import shard_by_bytes
 from .substring_dedup import remove_seen_windows
+from .suffix_dedup import remove_repeated_bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", quality().alias("q")).select("doc_id", "q.*")
 
