@@ -52,7 +52,9 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nothing changes; the rounds grow with the logarithm of the number of nodes. A hub's
     neighbours are aggregated by partial ``min``, never gathered in one task.
     """
+    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    was = mark(e)
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -60,11 +62,11 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s")).select("s.*")
-        new = written(small.where("u <> v").distinct())
-        same = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
-        e = new
-        if same:
+        e = written(small.where("u <> v").distinct())
+        now = mark(e)
+        if now == was:
             break
+        was = now
     else:
         raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .fertility import quality
 from .html_text import main_text
+from .jaccard_join import near_duplicates
 from .packing import pack_sequences
 from .secrets import scan_secrets, span_text
 from .sharding import shard_by_bytes
@@ -50,6 +51,10 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "m.text", F.char_length("m.text").cast("long").alias("n_chars"))
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, num=90, den=100)
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "start_byte")
