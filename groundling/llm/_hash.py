@@ -78,13 +78,13 @@ def chunks(offsets: np.ndarray, most: int = 2_000_000):
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of consecutive documents: byte bounds, document, hashes."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of consecutive documents: byte bounds, document, hashes. ``between`` marks other separators."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashes: int = 2, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashes: int = 2, lower: bool = False, between: np.ndarray = SPACE):
         n = len(data)
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-        word = ~SPACE[data]
+        word = ~between[data]
         first = np.zeros(n + 1, dtype=bool)
         first[offsets] = True
         self.data = data

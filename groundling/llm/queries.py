@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontam import find_leaks
 from .fertility import quality
 from .html_text import main_text
 from .jaccard_join import near_duplicates
+from .line_dedup import remove_repeated_lines
 from .packing import pack_sequences
 from .secrets import scan_secrets, span_text
 from .sharding import shard_by_bytes
@@ -34,6 +36,12 @@ def op3_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents").select("doc_id", "text"), 4096)
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    rows = found.select("doc_id", F.inline_outer("leaks")).where("score IS NOT NULL")  # outer: a filter on the array would search twice
+    return rows.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
+
+
 def op5_seen_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_seen_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), 13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -46,6 +54,11 @@ def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "lines.n_lines", "lines.n_removed", "lines.n_runs", F.sha2(F.coalesce("lines.kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "pages").select("page_id", "url", main_text().alias("m"))
     return found.select("page_id", "url", "m.text", F.char_length("m.text").cast("long").alias("n_chars"))
