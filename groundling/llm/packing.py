@@ -330,7 +330,7 @@ def pack_sequences(docs: DataFrame, capacity: int = 4096, vocabulary: str | None
     spark = docs.sparkSession
     names = [f"_k{i}" for i in range(len(keep))]
     pieces = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], token_pieces(text_col, capacity, vocabulary or vocabulary_path()).alias("_p"))
-    pieces = pieces.select(*names, F.monotonically_increasing_id().alias("_row"), F.explode("_p").alias("_p")).select(*names, "_row", "_p.*")
+    pieces = pieces.select(*names, F.monotonically_increasing_id().alias("_row"), F.explode_outer("_p").alias("_p")).select(*names, "_row", "_p.*")  # outer: a filter on the pieces would tokenise twice
     pieces = written(pieces.withColumn("_salt", F.pmod(F.xxhash64("_row", "piece"), F.lit(salts)).cast("int")))
     parts = pieces.groupBy("length", "_salt").count()
     by_length = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
