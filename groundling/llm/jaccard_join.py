@@ -19,11 +19,13 @@ SKETCH_BITS = 20
 SKETCH_BLOCKS = 16
 TASK_BYTES = 8 << 20
 BLOCK_BYTES = 16 << 20
-SETS = "struct<n:bigint,s0:bigint,s1:bigint,prefix:array<bigint>>"
+#: Members beyond which a group is not filtered by bitmaps but goes to the tree as it is.
+MOST_FILTERED = 4_000
+SETS = "struct<n:bigint,s0:bigint,s1:bigint,prefix:array<bigint>,parity:binary>"
 
 
 def shingles(texts: pa.Array, words: int) -> Iterable[tuple[np.ndarray, np.ndarray, int]]:
-    """(document, hash, documents) chunk by chunk: distinct shingles, by document."""
+    """(document, hash, documents) of every shingle, chunk by chunk."""
     data, off = buffers(texts)
     for lo, hi in chunks(off):
         w = Words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], hashes=2, lower=True)
@@ -35,11 +37,18 @@ def shingles(texts: pa.Array, words: int) -> Iterable[tuple[np.ndarray, np.ndarr
             start = np.cumsum(count) - count
             own = [mix((w.hashes[0][start[d] : start[d] + count[d]] * powers(BASES[1], int(count[d]))).sum(keepdims=True) + np.uint64(count[d]))[0] for d in short]
             doc, key = np.concatenate([doc, short]), np.concatenate([key, np.array(own, np.uint64)])
-        order = np.lexsort((key, doc))
-        doc, key = doc[order], key[order]
-        new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-        yield doc[new], key[new], hi - lo
+        yield doc, key, hi - lo
+
+
+def distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs once each, by document and key."""
+    order = np.argsort(key)
+    small = doc[order].astype(np.uint16) if len(doc) and doc.max() < 1 << 16 else doc[order]
+    order = order[np.argsort(small, kind="stable")]
+    doc, key = doc[order], key[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    return doc[new], key[new]
 
 
 def ordered(key: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -74,30 +83,80 @@ def frequency_ranks(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
     return np.clip(np.log2((total + 1) / (total.mean() + 1)), 0, 15).astype(np.uint8)
 
 
+def identities(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Two sums over each set that together stand for it."""
+    out = []
+    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(key * np.uint64(salt)), dtype=np.uint64)])
+        out.append(total[start + count] - total[start])
+    return out
+
+
+def parities(doc: np.ndarray, key: np.ndarray, count: np.ndarray, wanted: np.ndarray) -> list[bytes]:
+    """A bitmap a document: each shingle flips one of 2**b bits, at least half as many bits as shingles and 128.
+
+    Two sets differ in at least as many shingles as their bitmaps in bits; a longer bitmap folds to a shorter one.
+    """
+    width = np.maximum(128, 1 << np.ceil(np.log2(np.maximum(count, 1) / 2)).astype(np.int64).clip(min=0)) * wanted
+    end = np.cumsum(width)
+    bit = (key & np.uint64((1 << 40) - 1)).astype(np.int64) & (width[doc] - 1)
+    use = wanted[doc]
+    flips = np.bincount((end - width)[doc][use] + bit[use], minlength=int(end[-1]) if len(end) else 0)
+    packed = np.packbits((flips & 1).astype(bool), bitorder="little").tobytes()
+    return [packed[(e - w) // 8 : e // 8] for e, w in zip(end.tolist(), width.tolist(), strict=True)]
+
+
+def weak_classes(members: list[tuple[int, int, bytes]], num: int, den: int) -> list[list[int]]:
+    """Classes, of two members at least, of those (rep, size, parity) that sizes and bitmaps allow to be similar, directly or through others."""
+    classes: list[list[tuple[int, int, int, int]]] = []
+    for rep, n, parity in sorted(members, key=lambda x: (x[1], x[0])):
+        own, bits_ = int.from_bytes(parity, "little"), 8 * len(parity)
+        hit, rest = [], []
+        for c in classes:
+            for _, m, other, width in reversed(c):
+                if m * den < num * n:
+                    break  # the others of the class are no larger
+                a, w = own, bits_
+                while w > width:
+                    w //= 2
+                    a = (a >> w) ^ (a & ((1 << w) - 1))
+                if (a ^ other).bit_count() * (num + den) <= (den - num) * (n + m):
+                    hit.append(c)
+                    break
+            else:
+                rest.append(c)
+                continue
+            if not hit or hit[-1] is not c:
+                rest.append(c)
+        merged = sorted((x for c in hit for x in c), key=lambda x: x[1]) if len(hit) != 1 else hit[0]
+        merged.append((rep, n, own, bits_))
+        classes = [*rest, merged]
+    return [[x[0] for x in c] for c in classes if len(c) > 1]
+
+
 def prefix_sets(text_col: str, words: int, num: int, den: int, rank: np.ndarray):
     """Column of SETS: size and identity of a document's set, and the prefix that any similar set has to share a shingle of."""
 
     @F.arrow_udf(SETS)
     def sets(texts: pa.Array) -> pa.Array:
-        n_all, s0, s1, size, prefix = [], [], [], [], []
+        n_all, s0, s1, size, prefix, parity = [], [], [], [], [], []
         for doc, key, n in shingles(texts, words):
+            doc, key = distinct(doc, ordered(key, rank))
             count = np.bincount(doc, minlength=n)
-            key = ordered(key, rank)
-            order = np.lexsort((key, doc))
-            key = key[order]
             start = np.cumsum(count) - count
             n_all.append(count)
-            for out, salt in ((s0, 0x9E3779B97F4A7C15), (s1, 0xC2B2AE3D27D4EB4F)):
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mix(key * np.uint64(salt)), dtype=np.uint64)])
-                out.append(total[start + count] - total[start])
+            for out, sums in zip((s0, s1), identities(key, start, count), strict=True):
+                out.append(sums)
             need = -(-num * count // den)
             take = np.where(count * den >= num * (count + 1), count - need + 1, 0)  # smaller sets have no partner but an equal one
             size.append(take)
             prefix.append(key[np.repeat(start - (np.cumsum(take) - take), take) + np.arange(take.sum())])
+            parity += parities(doc, key, count, take > 0)
         cat = lambda x, t: np.concatenate(x).astype(t, copy=False) if x else np.zeros(0, t)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cat(size, np.int64))]), pa.int32()), pa.array(cat(prefix, np.uint64).view(np.int64)))
         return pa.StructArray.from_arrays(
-            [pa.array(cat(n_all, np.int64)), pa.array(cat(s0, np.uint64).view(np.int64)), pa.array(cat(s1, np.uint64).view(np.int64)), lists], names=["n", "s0", "s1", "prefix"]
+            [pa.array(cat(n_all, np.int64)), pa.array(cat(s0, np.uint64).view(np.int64)), pa.array(cat(s1, np.uint64).view(np.int64)), lists, pa.array(parity, pa.binary())],
+            names=["n", "s0", "s1", "prefix", "parity"],
         )
 
     return sets(F.coalesce(F.col(text_col), F.lit("")))
@@ -143,6 +202,36 @@ def shared_tokens(reps: DataFrame, parts: int, entries: int, block_entries: int)
     return by_pid.cogroup(answers.groupBy("pid")).applyInArrow(keep, "rep long, n long, token long")
 
 
+def similar_members(members: DataFrame, parities: DataFrame, num: int, den: int, block_bytes: int) -> DataFrame:
+    """(gid, rep, n, blocks): groups cut into the classes that bitmaps allow, each set of members once. Groups too large for
+    one look go on as they are."""
+    large = members.where(F.col("m") > MOST_FILTERED).select("gid", "rep", "n", "blocks")
+    small = members.where(F.col("m") <= MOST_FILTERED)
+    volume = small.agg(F.sum(F.col("n") + 400)).first()[0] or 0
+    buckets = max(1, -(-int(volume) // TASK_BYTES))
+
+    def cut(table: pa.Table) -> pa.Table:
+        groups: dict[int, list[tuple[int, int, bytes]]] = {}
+        for gid, rep, n, parity in zip(*(table.column(c).to_pylist() for c in ("gid", "rep", "n", "parity")), strict=True):
+            groups.setdefault(gid, []).append((rep, n, parity))
+        out = []
+        for group in groups.values():
+            n_of = {rep: n for rep, n, _ in group}
+            for c in weak_classes(group, num, den):
+                who = np.array(c, np.int64).view(np.uint64)
+                cid = int((mix(who * np.uint64(BASES[0]) + np.uint64(1)).sum() + mix(np.array([len(c)], np.uint64)))[0].astype(np.int64))
+                out += [(cid, rep, n_of[rep]) for rep in c]
+        out = list(dict.fromkeys(out))
+        return pa.table({k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(("gid", "rep", "n"))})
+
+    bucket = F.pmod(F.xxhash64("gid"), F.lit(buckets)).alias("bucket")
+    classes = small.join(parities, "rep").select("gid", "rep", "n", "parity").groupBy(bucket).applyInArrow(cut, "gid long, rep long, n long")
+    classes = classes.distinct()
+    sizes = classes.groupBy("gid").agg(F.sum("n").alias("weight"))
+    blocks = F.ceil(F.col("weight") * 8 / F.lit(block_bytes)).cast("int").alias("blocks")
+    return classes.join(sizes.select("gid", blocks), "gid").select("gid", "rep", "n", "blocks").union(large)
+
+
 def linked(members: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
     """(a, b) links between the sets of each (gid, block) of ``members`` (gid, block, rep, known, keys), many of them in a task."""
 
@@ -167,7 +256,7 @@ def linked(members: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, block_entries: int = 1 << 18
 ) -> DataFrame:
-    """(id_col, n_shingles, component_id): documents whose sets of distinct ``words``-word shingles (A-Z lower-cased) have
+    """(id_col, n_shingles, component_id, text_hash): documents whose sets of distinct ``words``-word shingles (A-Z lower-cased) have
     den * intersection >= num * union are linked; component_id is the least id reachable by links.
 
     Equal sets count once, under their least id. A shingle's rank in the global order is the frequency class of its
@@ -179,14 +268,14 @@ def near_duplicates(
     blocks already join all its members, it is done; else every two of its blocks are joined too.
 
     Null text or no words: an empty set, linked with nothing. Fewer words than ``words``: the whole
-    sequence as one shingle. Null id: a row with its set's component, never a component's name unless alone (then null).
+    sequence as one shingle. text_hash is xxhash64 of the text, to tell rows of one id apart. Null id: a row with its set's component, never a component's name unless alone (then null).
     Repeated rows: rows of their own. Empty table: no rows. Other columns are left out.
     """
     total = text_bytes(docs, text_col)
     rank = frequency_ranks(docs, words, text_col)
-    one = docs.select(F.col(id_col).cast("long").alias("id"), prefix_sets(text_col, words, num, den, rank).alias("s")).select("id", "s.*")
+    one = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), prefix_sets(text_col, words, num, den, rank).alias("s")).select("id", "text_hash", "s.*")
     one = written(one)
-    reps = one.where("n > 0").groupBy("s0", "s1", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix")).where("rep IS NOT NULL")
+    reps = one.where("n > 0").groupBy("s0", "s1", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")).where("rep IS NOT NULL")
     some = reps.where("size(prefix) > 0").select("rep", "n", "prefix")
     parts = max(1, -(-total * (den - num) // den // (1 << 20)) // 8)
     tokens = written(shared_tokens(some, int(parts), max(1, total * (den - num) // den // 6), block_entries))
@@ -194,25 +283,30 @@ def near_duplicates(
     groups = tokens.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("weight"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("m > 1")
     groups = groups.groupBy("m", "weight", "who").agg(F.min("token").alias("gid"))
     blocks = F.ceil(F.col("weight") * 8 / block_bytes).cast("int")
-    members = tokens.join(groups.select("gid", blocks.alias("blocks")), F.col("token") == F.col("gid")).select("gid", "rep", "n", "blocks")
-    members = written(members.withColumn("block", F.pmod(F.xxhash64("rep", "gid"), F.col("blocks")).cast("int")))
+    members = tokens.join(groups.select("gid", "m", blocks.alias("blocks")), F.col("token") == F.col("gid")).select("gid", "rep", "n", "m", "blocks")
+    members = written(similar_members(members, reps.select("rep", "parity"), num, den, block_bytes))
+    members = members.withColumn("block", F.pmod(F.xxhash64("rep", "gid"), F.col("blocks")).cast("int"))
 
     needed = members.select("rep").distinct()
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<s0:bigint,s1:bigint,keys:binary>")
     def keys(texts: pa.Array) -> pa.Array:
-        out = []
+        out, s0, s1 = [], [], []
         for doc, key, n in shingles(texts, words):
-            key = ordered(key, rank)
-            key = key[np.lexsort((key, doc))]
-            end = np.cumsum(np.bincount(doc, minlength=n))
+            doc, key = distinct(doc, ordered(key, rank))
+            count = np.bincount(doc, minlength=n)
+            end = np.cumsum(count)
+            a, b = identities(key, end - count, count)
+            s0.append(a)
+            s1.append(b)
             out += [key[a:b].tobytes() for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
-        return pa.array(out, pa.binary())
+        whole = lambda x: pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64))
+        return pa.StructArray.from_arrays([whole(s0), whole(s1), pa.array(out, pa.binary())], names=["s0", "s1", "keys"])
 
     text = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(needed, "rep")
-    # ids can repeat with other texts: the one whose set the id stands for has its size and identity
-    sets = text.select("rep", prefix_sets("text", words, num, den, rank).alias("s"), keys("text").alias("keys")).select("rep", "s.n", "s.s0", "s.s1", "keys")
-    sets = written(sets.join(reps.select("rep", "s0", "s1", "n"), ["rep", "s0", "s1", "n"], "left_semi").dropDuplicates(["rep", "s0", "s1"]).select("rep", "keys"))
+    # ids can repeat with other texts: the one that the id stands for has its set's identity
+    sets = text.select("rep", keys.asNondeterministic()(F.coalesce("text", F.lit(""))).alias("s")).select("rep", "s.*")
+    sets = written(sets.join(reps.select("rep", "s0", "s1"), ["rep", "s0", "s1"], "left_semi").dropDuplicates(["rep"]).select("rep", "keys"))
     volume = members.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-int(volume) * 8 // TASK_BYTES))
     plain = members.select("gid", "block", F.lit(0).alias("other"), "rep", F.lit(None).cast("long").alias("known")).join(sets, "rep")
@@ -231,6 +325,6 @@ def near_duplicates(
 
     named = reps.select("s0", "s1", "n", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("s0", "s1", "n", F.coalesce("component", "rep").alias("component_id"))
-    full = one.where("n > 0").select("id", "n", "s0", "s1").join(named, ["s0", "s1", "n"], "left").select("id", "n", "component_id")
-    empty = one.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return full.union(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    full = one.where("n > 0").select("id", "n", "s0", "s1", "text_hash").join(named, ["s0", "s1", "n"], "left").select("id", "n", "component_id", "text_hash")
+    empty = one.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "text_hash")
+    return full.union(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "text_hash")

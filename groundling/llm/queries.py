@@ -65,7 +65,7 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, num=90, den=100)
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
