@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import catalog_lookup
+
+PARTS = (catalog_lookup,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for p in PARTS for k, f in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for p in PARTS for k, v in p.SQL.items()}
