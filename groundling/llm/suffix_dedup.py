@@ -14,8 +14,8 @@ from ._spark import text_bytes
 
 ANCHORS, CONTEXTS, WINDOWS = 0, 1, 2  # message rows
 #: Occurrences of an anchor beyond which its strings are compared one by one, spread over all blocks.
-HOT = 20_000
-TRANSFORM_BYTES = 4 << 20
+HOT = 4_000
+TRANSFORM_BYTES = 1 << 20
 INDEX_BITS = np.uint64(30)
 
 
@@ -151,7 +151,7 @@ def _expand(sent: list[tuple[int, bytes]], block: int, least: int) -> pa.Table:
     batch: list[int] = []
     held = 0
     for group in [*members.values(), None]:
-        if group is None or held > TRANSFORM_BYTES:
+        if group is None or held + sum(len(texts[i]) for i in group) > TRANSFORM_BYTES:
             for i, found in zip(batch, long_prefixes([texts[i] for i in batch], least) if batch else [], strict=True):
                 starts[i] = found
             batch, held = [], 0
