@@ -11,14 +11,14 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, its inverse) by prefix doubling; settled suffixes take no further part."""
     n = len(symbols)
     key = np.zeros(n, np.int64)
-    padded = np.append(symbols + 1, np.zeros(7, np.int64))  # less than any symbol past the end
+    padded = np.append(symbols + 1, np.zeros(7, np.int16))  # less than any symbol past the end
     for j in range(7):
         key = key << 9 | padded[j : n + j]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key, kind="stable").astype(np.int32)
     new = np.ones(n, dtype=bool)
     new[1:] = key[sa][1:] != key[sa][:-1]
-    slot = np.arange(n)
-    rank = np.empty(n, np.int64)
+    slot = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int32)
     rank[sa] = np.maximum.accumulate(np.where(new, slot, 0))
     step = 7
     while True:
@@ -28,7 +28,7 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return sa, rank
         p = sa[at]
         after = np.where(p + step < n, rank[np.minimum(p + step, n - 1)] + 1, 0)
-        key = (rank[p] << 32) | after
+        key = (rank[p].astype(np.int64) << 32) | after
         order = np.argsort(key, kind="stable")
         key = key[order]
         sa[at] = p[order]
@@ -49,27 +49,29 @@ def long_prefixes(texts: list[bytes], least: int) -> list[np.ndarray]:
     size = np.array([len(t) for t in texts], np.int64)
     bound = np.concatenate([[0], np.cumsum(size + 1)])
     n = int(bound[-1])
-    symbols = np.full(n, GAP, np.int64)
+    symbols = np.full(n, GAP, np.int16)
     inside = np.ones(n, dtype=bool)
     inside[bound[1:] - 1] = False
-    symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+    symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1
     sa, rank = suffix_order(symbols)
-    bwt = symbols[sa - 1].astype(np.int16)
+    bwt = symbols[sa - 1]
     bwt[rank[0]] = 300  # before the first suffix stands nothing
-    order = np.argsort(bwt, kind="stable")  # by character, then place
+    order = np.argsort(bwt, kind="stable").astype(np.int32)  # by character, then place
     same = np.zeros(n, dtype=bool)
     same[1:] = bwt[order][1:] == bwt[order][:-1]
-    before = np.full(n, -1, np.int64)  # place of the same character's previous occurrence
+    before = np.full(n, -1, np.int32)  # place of the same character's previous occurrence
     before[order[1:][same[1:]]] = order[:-1][same[1:]]
     target = rank[sa - 1]  # where extending a place backward leads
     target[rank[0]] = 0
     target_in_order = target[order]
-    run = np.append(np.flatnonzero(bwt[1:] != bwt[:-1]) + 1, n)
+    run = np.concatenate([[0], np.flatnonzero(bwt[1:] != bwt[:-1]) + 1]).astype(np.int32)
+    run_of = np.repeat(np.arange(len(run), dtype=np.int32), np.diff(np.append(run, n)))
     found = np.zeros(n, dtype=bool)  # boundaries so far
     head = np.ones(n, dtype=bool)
     head[1:] = symbols[sa][1:] != symbols[sa][:-1]
     found |= head
     last = np.flatnonzero(head)
+    bounds = None
     for _ in range(1, least):
         if len(last) > n // 64:
             mark = np.zeros(n, np.int32)
@@ -78,18 +80,16 @@ def long_prefixes(texts: list[bytes], least: int) -> list[np.ndarray]:
             hit = np.zeros(n, dtype=bool)
             hit[1:] = same[1:] & (upto[1:] > upto[:-1])
             reach = target_in_order[hit]
+            bounds = None
         else:
-            start, at, out = last, last, []
-            while len(at):
-                ok = before[at] < start
-                out.append(target[at[ok & (before[at] >= 0)]])
-                at = run[np.searchsorted(run, at, "right").clip(max=len(run) - 1)]
-                on = at < n
-                start, at = start[on], at[on]
-                on = ~found[at]
-                # a boundary at the run's start has its own expansion, but the run may hide one: the test on ``before`` keeps results right
-                start, at = start[on], at[on]
-            reach = np.concatenate(out) if out else np.zeros(0, np.int64)
+            bounds = np.append(np.flatnonzero(found), n) if bounds is None else np.insert(bounds, np.searchsorted(bounds, last), last)
+            # a boundary's characters are those before the next one: beyond it they are the next one's
+            stop = bounds[np.searchsorted(bounds, last, "right")]
+            more = run_of[stop - 1] - run_of[last]
+            start = np.concatenate([last, np.repeat(last, more)])
+            at = np.concatenate([last, run[np.repeat(run_of[last] + 1 - (np.cumsum(more) - more), more) + np.arange(more.sum())]])
+            back = before[at]
+            reach = target[at[(back < start) & (back >= 0)]]
         reach = reach[~found[reach]]
         last = np.unique(reach)
         found[last] = True
