@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_lookup
+from . import catalog_etl, catalog_lookup
 
-PARTS = (catalog_lookup,)
+PARTS = (catalog_lookup, catalog_etl)
 
 
 def queries() -> dict:

@@ -39,7 +39,7 @@ def steps(v: str, closed: bool = False) -> str:
     return first + ",\n " + (CLOSED if closed else "") + " m AS" + rest
 
 
-INSIDE = """inside AS (SELECT p.qid, e.id FROM ping p JOIN seg2 e ON (e.ay > p.lat_micro / 100000.0) <> (e.by_ > p.lat_micro / 100000.0)
+INSIDE = """inside AS (SELECT p.qid, e.id FROM ping p CROSS JOIN seg2 e WHERE (e.ay > p.lat_micro / 100000.0) <> (e.by_ > p.lat_micro / 100000.0)
  AND p.lon_micro / 100000.0 < (e.bx - e.ax) * (p.lat_micro / 100000.0 - e.ay) / (e.by_ - e.ay) + e.ax GROUP BY p.qid, e.id HAVING count(*) % 2 = 1)"""
 
 
@@ -71,10 +71,10 @@ def nearby_exclude_closed(s, d):
     return _near_columns(L.nearby(view(s, d, "ping"), view(s, d, "business"), 3000, 10, exclude_closed=True))
 
 
-@query("features_in_cell", "SELECT osm_id, name FROM business WHERE floor(lat_micro / 2000) = 1803 AND floor(lon_micro / 2000) = -4342", "business")
+@query("features_in_cell", "SELECT osm_id, name FROM business WHERE floor(lat_micro / 2000) = 1808 AND floor(lon_micro / 2000) = -4342", "business")
 def features_in_cell(s, d):
     keyed = view(s, d, "business").withColumn("cell", grid.cell(F.col("lat_micro"), F.col("lon_micro")))
-    return L.in_cell(keyed, (1803 + grid.OFFSET) * grid.WRAP - 4342 + grid.OFFSET).select("osm_id", "name")
+    return L.in_cell(keyed, (1808 + grid.OFFSET) * grid.WRAP - 4342 + grid.OFFSET).select("osm_id", "name")
 
 
 @query("cell_stats", "SELECT (CAST(floor(lat_micro / 2000) AS BIGINT) + 8388608) * 16777216 + CAST(floor(lon_micro / 2000) AS BIGINT) + 8388608 AS cell, count(*) AS n, min(lat_micro) AS min_lat_micro, max(lat_micro) AS max_lat_micro, min(lon_micro) AS min_lon_micro, max(lon_micro) AS max_lon_micro FROM business GROUP BY 1", "business")
@@ -128,13 +128,13 @@ def _roads(n: int, radius: float, cls: str = "true") -> str:
         steps("road_vertex")
         + f""", best AS (SELECT *, row_number() OVER (PARTITION BY qid, osm_id ORDER BY dist, piece_id, i) AS k FROM (SELECT d.*, r.osm_id, r.piece_id, r.road_class FROM d JOIN road r ON r.piece_id = d.id WHERE d.dist <= {radius} AND {cls})),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, osm_id) AS rank FROM best WHERE k = 1)
- SELECT qid, osm_id, rank, piece_id, road_class, round(dist, 1) AS distance, i AS segment, round(t, 6) AS t, round(snap_lat, 6) AS snap_lat, round(snap_lon, 6) AS snap_lon FROM ranked WHERE rank <= {n}""",
+ SELECT qid, osm_id, rank, piece_id, road_class, round(dist, 1) AS distance, round(snap_lat, 6) AS snap_lat, round(snap_lon, 6) AS snap_lon FROM ranked WHERE rank <= {n}""",
         "ping", "road", "road_vertex",
     )
 
 
 def _road_columns(df):
-    return df.select("qid", "osm_id", "rank", "piece_id", "road_class", F.round("distance", 1).alias("distance"), "segment", *[F.round(c, 6).alias(c) for c in ("t", "snap_lat", "snap_lon")])
+    return df.select("qid", "osm_id", "rank", "piece_id", "road_class", F.round("distance", 1).alias("distance"), *[F.round(c, 6).alias(c) for c in ("snap_lat", "snap_lon")])
 
 
 def _road(name: str, n: int, radius: float, profile: str | None = None):

@@ -18,7 +18,7 @@ VIEWS = {
     "building_vertex": (("part",), """SELECT p_partkey AS id, v.pos AS pos, -8690823 + (p_partkey * 104729) % 25013 + v.sx * (50 + p_partkey % 300) AS lon_micro,
   3600719 + (p_partkey * 7919) % 20011 + v.sy * (50 + p_partkey % 300) AS lat_micro FROM {part} CROSS JOIN (VALUES (0,-1,-1),(1,1,-1),(2,1,1),(3,0,0),(4,-1,1)) AS v(pos, sx, sy)"""),
     "park_vertex": (("part",), """SELECT p_partkey AS id, v.pos AS pos, -8691627 + (p_partkey * 104729) % 25013 + v.sx * (200 + p_partkey % 500) AS lon_micro,
-  3601523 + (p_partkey * 7919) % 20011 + v.sy * (200 + p_partkey % 500) AS lat_micro FROM {part} CROSS JOIN (VALUES (0,-1,-1),(1,1,-1),(2,1,1),(3,-1,1)) AS v(pos, sx, sy) WHERE p_partkey % 4 = 0"""),
+  3601523 + (p_partkey * 7919) % 20011 + v.sy * (200 + p_partkey % 500) AS lat_micro FROM (SELECT p_partkey FROM {part} WHERE p_partkey % 4 = 0) AS q CROSS JOIN (VALUES (0,-1,-1),(1,1,-1),(2,1,1),(3,-1,1)) AS v(pos, sx, sy)"""),
     "road": (("orders",), """SELECT o_orderkey AS piece_id, CAST(floor(o_orderkey / 2) AS BIGINT) AS osm_id,
   CASE o_orderkey % 8 WHEN 0 THEN 'motorway' WHEN 1 THEN 'primary' WHEN 2 THEN 'secondary' WHEN 3 THEN 'tertiary' WHEN 4 THEN 'residential' WHEN 5 THEN 'service' WHEN 6 THEN 'footway' ELSE 'cycleway' END AS road_class,
   CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat('Road ', CAST(o_custkey AS VARCHAR(20))) END AS name FROM {orders}"""),
