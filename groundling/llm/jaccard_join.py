@@ -203,9 +203,9 @@ def shared_tokens(reps: DataFrame, parts: int, entries: int, block_entries: int)
 
 
 def similar_members(members: DataFrame, parities: DataFrame, num: int, den: int, block_bytes: int) -> DataFrame:
-    """(gid, rep, n, blocks): groups cut into the classes that bitmaps allow, each set of members once. Groups too large for
+    """(gid, rep, n, weight, blocks): groups cut into the classes that bitmaps allow, each set of members once. Groups too large for
     one look go on as they are."""
-    large = members.where(F.col("m") > MOST_FILTERED).select("gid", "rep", "n", "blocks")
+    large = members.where(F.col("m") > MOST_FILTERED).select("gid", "rep", "n", "weight", "blocks")
     small = members.where(F.col("m") <= MOST_FILTERED)
     volume = small.agg(F.sum(F.col("n") + 400)).first()[0] or 0
     buckets = max(1, -(-int(volume) // TASK_BYTES))
@@ -229,7 +229,7 @@ def similar_members(members: DataFrame, parities: DataFrame, num: int, den: int,
     classes = classes.distinct()
     sizes = classes.groupBy("gid").agg(F.sum("n").alias("weight"))
     blocks = F.ceil(F.col("weight") * 8 / F.lit(block_bytes)).cast("int").alias("blocks")
-    return classes.join(sizes.select("gid", blocks), "gid").select("gid", "rep", "n", "blocks").union(large)
+    return classes.join(sizes.select("gid", "weight", blocks), "gid").select("gid", "rep", "n", "weight", "blocks").union(large)
 
 
 def linked(members: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
@@ -262,10 +262,9 @@ def near_duplicates(
     Equal sets count once, under their least id. A shingle's rank in the global order is the frequency class of its
     counter in a sketch of fixed size, then its hash; similar sets share a shingle of their prefixes in that order. Prefix
     shingles that nobody else has are dropped in packed exchanges, and groups with the same members count once.
-    Each remaining group joins its sets in a prefix tree, which adds only links between classes not joined yet.
-
-    A group with more than ``block_bytes`` of sets is dealt into blocks. Where links found inside
-    blocks already join all its members, it is done; else every two of its blocks are joined too.
+    Sets are joined in a prefix tree, which adds only links between classes not joined yet: first each set in its largest
+    group, then, of the groups whose members are not all in one class by then, every set. A group with more than
+    ``block_bytes`` of sets is dealt into blocks, and every two of them are joined.
 
     Null text or no words: an empty set, linked with nothing. Fewer words than ``words``: the whole
     sequence as one shingle. text_hash is xxhash64 of the text, to tell rows of one id apart. Null id: a row with its set's component, never a component's name unless alone (then null).
@@ -283,7 +282,7 @@ def near_duplicates(
     groups = tokens.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("weight"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("m > 1")
     groups = groups.groupBy("m", "weight", "who").agg(F.min("token").alias("gid"))
     blocks = F.ceil(F.col("weight") * 8 / block_bytes).cast("int")
-    members = tokens.join(groups.select("gid", "m", blocks.alias("blocks")), F.col("token") == F.col("gid")).select("gid", "rep", "n", "m", "blocks")
+    members = tokens.join(groups.select("gid", "m", "weight", blocks.alias("blocks")), F.col("token") == F.col("gid")).select("gid", "rep", "n", "m", "weight", "blocks")
     members = written(similar_members(members, reps.select("rep", "parity"), num, den, block_bytes))
     members = members.withColumn("block", F.pmod(F.xxhash64("rep", "gid"), F.col("blocks")).cast("int"))
 
@@ -307,18 +306,20 @@ def near_duplicates(
     # ids can repeat with other texts: the one that the id stands for has its set's identity
     sets = text.select("rep", keys.asNondeterministic()(F.coalesce("text", F.lit(""))).alias("s")).select("rep", "s.*")
     sets = written(sets.join(reps.select("rep", "s0", "s1"), ["rep", "s0", "s1"], "left_semi").dropDuplicates(["rep"]).select("rep", "keys"))
-    volume = members.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-int(volume) * 8 // TASK_BYTES))
-    plain = members.select("gid", "block", F.lit(0).alias("other"), "rep", F.lit(None).cast("long").alias("known")).join(sets, "rep")
-    edges = written(linked(plain, buckets, num, den))
+    # first every set in one group only, its largest: that joins most classes, and groups all in one class are done
+    pick = members.groupBy("rep").agg(F.max(F.struct("weight", "gid")).alias("p")).select("rep", "p.gid")
+    volume = sets.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    plain = members.join(pick, ["rep", "gid"]).select("gid", "block", F.lit(0).alias("other"), "rep", F.lit(None).cast("long").alias("known")).join(sets, "rep")
+    edges = written(linked(plain, max(1, -(-int(volume) // TASK_BYTES)), num, den))
     classes = connected(edges)
 
-    hot = members.where("blocks > 1").join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("known", F.coalesce("component", "rep")).drop("component")
-    open_ = hot.groupBy("gid").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.sum(F.col("n") * F.col("blocks")).alias("volume")).where("x <> y")
-    open_ = written(open_)
+    # then the groups with more than one class left: whole: every two blocks of a large one
+    rest = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("known", F.coalesce("component", "rep")).drop("component")
+    open_ = rest.groupBy("gid").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.sum(F.col("n") * F.col("blocks")).alias("volume")).where("x <> y")
+    open_ = written(open_.select("gid", "volume"))
     volume = open_.agg(F.sum("volume")).first()[0]
-    if volume:  # groups not yet joined: every two of their blocks
-        pairs = hot.join(open_.select("gid"), "gid").select("gid", "rep", "known", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).where("with <> block")
+    if volume:
+        pairs = rest.join(open_.select("gid"), "gid").select("gid", "rep", "known", "block", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).where("with <> block OR blocks = 1")
         pairs = pairs.select("gid", F.least("block", "with").alias("block"), F.greatest("block", "with").alias("other"), "rep", "known").join(sets, "rep")
         edges = written(edges.union(linked(pairs, max(1, -(-int(volume) * 8 // TASK_BYTES)), num, den)))
         classes = connected(edges)
