@@ -25,7 +25,7 @@ def speed_kmh(text: Column) -> Column:
     """The leading number of a speed limit; miles are converted, 255 is the largest."""
     number = F.split(text, " ")[0].try_cast("int")
     kmh = F.when(text.contains("mph"), F.rint(number * 1.60934)).otherwise(number.cast("double"))
-    return F.least(kmh, F.lit(255.0)).cast("int")
+    return F.when(kmh > 255, F.lit(255.0)).otherwise(kmh).cast("int")
 
 
 def oneway(text: Column) -> Column:

@@ -60,7 +60,7 @@ def presence_mask(code: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """';'-joined values, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, ";"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(text, ";"), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def format_distance(metres: Column) -> Column:

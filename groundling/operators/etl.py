@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, grid
+from ..functions.simplify import douglas_peucker
 from .lookup import containing
 
 
@@ -140,10 +142,6 @@ def weighted_pick(states: DataFrame, draws: DataFrame) -> DataFrame:
 
 def simplify(coords: DataFrame, tolerance: float) -> DataFrame:
     """(osm_id, coords) by Douglas-Peucker: an Arrow UDF, as the recursion has no expression form."""
-    import pandas as pd
-
-    from ..functions.simplify import douglas_peucker
-
     @F.pandas_udf("array<struct<lon:double,lat:double>>")
     def reduced(lines: pd.Series) -> pd.Series:
         return lines.map(lambda v: [{"lon": x, "lat": y} for x, y in douglas_peucker([(p["lon"], p["lat"]) for p in v], tolerance)])

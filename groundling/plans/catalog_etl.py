@@ -184,9 +184,9 @@ def cell_class_bitmask(s, d):
 
 @query(
     "road_tag_normalize",
-    """SELECT osm_id, CAST(least(CASE WHEN maxspeed LIKE '%mph%' THEN round_even(TRY_CAST(split_part(maxspeed, ' ', 1) AS INTEGER) * 1.60934, 0) ELSE TRY_CAST(split_part(maxspeed, ' ', 1) AS INTEGER) END, 255) AS INTEGER) AS speed_kmh,
+    """SELECT osm_id, CASE WHEN kmh > 255 THEN 255 ELSE kmh END AS speed_kmh,
  CASE WHEN oneway IN ('yes', 'true', '1') THEN 1 WHEN oneway IN ('-1', 'reverse') THEN -1 ELSE 0 END AS oneway, TRY_CAST(split_part(lanes, ';', 1) AS INTEGER) AS lanes, surface,
- CASE WHEN bridge IS NOT NULL AND bridge <> 'no' THEN 'bridge' WHEN tunnel IS NOT NULL AND tunnel <> 'no' THEN 'tunnel' END AS bridge_tunnel FROM way_tags""",
+ CASE WHEN bridge IS NOT NULL AND bridge <> 'no' THEN 'bridge' WHEN tunnel IS NOT NULL AND tunnel <> 'no' THEN 'tunnel' END AS bridge_tunnel FROM (SELECT *, CAST(CASE WHEN maxspeed LIKE '%mph%' THEN round_even(TRY_CAST(split_part(maxspeed, ' ', 1) AS INTEGER) * 1.60934, 0) ELSE TRY_CAST(split_part(maxspeed, ' ', 1) AS INTEGER) END AS INTEGER) AS kmh FROM way_tags)""",
     "way_tags",
 )
 def road_tag_normalize(s, d):
