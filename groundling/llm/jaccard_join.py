@@ -134,6 +134,49 @@ def weak_classes(members: list[tuple[int, int, bytes]], num: int, den: int) -> l
     return [[x[0] for x in c] for c in classes if len(c) > 1]
 
 
+def crossing(members: list[tuple[int, int, int, bytes]], num: int, den: int) -> list[int]:
+    """Those of (rep, size, class, parity) that sizes and bitmaps allow to be similar to a member of another class."""
+    by_width: dict[int, list[int]] = {}
+    for i, x in enumerate(members):
+        by_width.setdefault(len(x[3]), []).append(i)
+    n, known = (np.array([x[k] for x in members], np.int64) for k in (1, 2))
+    hit = np.zeros(len(members), dtype=bool)
+    maps = {w: np.frombuffer(b"".join(members[i][3] for i in at), np.uint64).reshape(len(at), w // 8) for w, at in by_width.items()}
+    for w, at in by_width.items():
+        for v, others in by_width.items():
+            if v < w:
+                continue
+            folded, width = maps[v], v
+            while width > w:
+                width //= 2
+                folded = folded[:, : width // 8] ^ folded[:, width // 8 :]
+            others = np.array(others)
+            for row, i in zip(maps[w], at, strict=True):
+                m = n[others]
+                near = (known[others] != known[i]) & (np.minimum(m, n[i]) * den >= np.maximum(m, n[i]) * num)
+                near &= np.bitwise_count(folded ^ row).sum(axis=1, dtype=np.int64) * (num + den) <= (den - num) * (m + n[i])
+                if near.any():
+                    hit[i] = True
+                    hit[others[near]] = True
+    return [x[0] for x, h in zip(members, hit, strict=True) if h]
+
+
+def crossing_members(members: DataFrame, parities: DataFrame, num: int, den: int) -> DataFrame:
+    """(gid, rep) of ``members`` (gid, rep, n, known) that may be similar to one of another class in their group."""
+    volume = members.agg(F.sum(F.col("n") + 400)).first()[0] or 0
+    buckets = max(1, -(-int(volume) // TASK_BYTES))
+
+    def cut(table: pa.Table) -> pa.Table:
+        groups: dict[int, list[tuple[int, int, int, bytes]]] = {}
+        for gid, *x in zip(*(table.column(c).to_pylist() for c in ("gid", "rep", "n", "known", "parity")), strict=True):
+            groups.setdefault(gid, []).append(tuple(x))
+        out = [(gid, rep) for gid, g in groups.items() for rep in crossing(g, num, den)]
+        return pa.table({k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(("gid", "rep"))})
+
+    bucket = F.pmod(F.xxhash64("gid"), F.lit(buckets)).alias("bucket")
+    return members.join(parities, "rep").select("gid", "rep", "n", "known", "parity").groupBy(bucket).applyInArrow(cut, "gid long, rep long")
+
+
 def prefix_sets(text_col: str, words: int, num: int, den: int, rank: np.ndarray):
     """Column of SETS: size and identity of a document's set, and the prefix that any similar set has to share a shingle of."""
 
@@ -263,7 +306,7 @@ def near_duplicates(
     counter in a sketch of fixed size, then its hash; similar sets share a shingle of their prefixes in that order. Prefix
     shingles that nobody else has are dropped in packed exchanges, and groups with the same members count once.
     Sets are joined in a prefix tree, which adds only links between classes not joined yet: first each set in its largest
-    group, then, of the groups whose members are not all in one class by then, every set. A group with more than
+    group, then, of the groups whose members are not all in one class by then, every set that its bitmap allows a link to another class. A group with more than
     ``block_bytes`` of sets is dealt into blocks, and every two of them are joined.
 
     Null text or no words: an empty set, linked with nothing. Fewer words than ``words``: the whole
@@ -313,13 +356,16 @@ def near_duplicates(
     edges = written(linked(plain, max(1, -(-int(volume) // TASK_BYTES)), num, den))
     classes = connected(edges)
 
-    # then the groups with more than one class left: whole: every two blocks of a large one
+    # then the groups with more than one class left: sets whose bitmaps allow a link to another class, and every two blocks of a large group
     rest = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("known", F.coalesce("component", "rep")).drop("component")
-    open_ = rest.groupBy("gid").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.sum(F.col("n") * F.col("blocks")).alias("volume")).where("x <> y")
-    open_ = written(open_.select("gid", "volume"))
-    volume = open_.agg(F.sum("volume")).first()[0]
+    open_ = rest.groupBy("gid").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.count("*").alias("m")).where("x <> y").select("gid", "m")
+    rest = written(rest.join(open_, "gid"))
+    small = rest.where(F.col("m") <= MOST_FILTERED)
+    may = crossing_members(small.select("gid", "rep", "n", "known"), reps.select("rep", "parity"), num, den)
+    rest = written(small.join(may, ["gid", "rep"], "left_semi").union(rest.where(F.col("m") > MOST_FILTERED).select(small.columns)))
+    volume = rest.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
     if volume:
-        pairs = rest.join(open_.select("gid"), "gid").select("gid", "rep", "known", "block", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).where("with <> block OR blocks = 1")
+        pairs = rest.select("gid", "rep", "known", "block", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).where("with <> block OR blocks = 1")
         pairs = pairs.select("gid", F.least("block", "with").alias("block"), F.greatest("block", "with").alias("other"), "rep", "known").join(sets, "rep")
         edges = written(edges.union(linked(pairs, max(1, -(-int(volume) * 8 // TASK_BYTES)), num, den)))
         classes = connected(edges)

@@ -97,7 +97,7 @@ def test_components(spark):
 
 @pytest.mark.parametrize("seed", range(10))
 def test_bitmaps_allow_every_similar_pair(seed):
-    from groundling.llm.jaccard_join import parities, weak_classes
+    from groundling.llm.jaccard_join import crossing, parities, weak_classes
 
     rng = np.random.default_rng(seed)
     base = [rng.integers(0, 2**60, n, dtype=np.uint64) for n in (60, 300, 310, 900)]
@@ -115,4 +115,6 @@ def test_bitmaps_allow_every_similar_pair(seed):
             n = len(np.intersect1d(sets[a], sets[b]))
             if 10 * n >= 8 * (size[a] + size[b] - n):
                 assert a in got and got[a] == got[b]
+                apart = [(i, int(size[i]), int(i == a), bitmaps[i]) for i in range(80)]
+                assert {a, b} <= set(crossing(apart, 8, 10))
     assert len(set(got.values())) >= 3
