@@ -148,7 +148,7 @@ def search(index: Index, data: np.ndarray, off: np.ndarray, threshold: float, mo
     return [(d, item, *v) for (d, item), v in sorted(found.items())]
 
 
-def leaks(question: float, answer: float, both: float = 0.5, alone: float = 0.8) -> bool:
+def leaks(question: float, answer: float, both: float = 0.5, alone: float = 0.6) -> bool:
     """Whether overlaps make a leak: question and answer together, or a question nearly whole. A missing part (-1) asks nothing."""
     if question < 0:
         return answer >= both
@@ -183,7 +183,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, te
     Every passage of every document is a BM25 query against an inverted index of the items; scores are shares of the score that an
     item has against itself, and all items above ``threshold`` are retrieved, skipping blocks of items whose
     largest weights cannot reach it. A retrieved item is verified by five-word shingles: half of
-    the question's and half of the answer's, or four fifths of the question's, have to be in the passage.
+    the question's and half of the answer's, or three fifths of the question's, have to be in the passage.
 
     The index goes to every executor, so a benchmark of more than ``index_bytes`` is dealt into that many indexes by item,
     and the documents pass each. Null or empty text: no items. Items without words: never found. Null item ids: found, as null. Repeated rows: as they

@@ -28,24 +28,26 @@ ROOTS = frozenset("html body".split())
 
 
 class Lines(HTMLParser):
-    """Lines of a page as (text, tags, path): path is the chain of open elements, by number."""
+    """Lines of a page as (text, tags, path, innermost block tag, characters in links): path is the chain of open elements, by number."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], str]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], str, int]] = []
         self.open: list[int] = [0]
         self.tag: list[str] = ["html"]  # by element number; the first stands for the page
         self.marked: list[bool] = [False]
         self.parts: list[str] = []
         self.tags = 0
+        self.linked = 0
 
     def line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             inner = next((self.tag[e] for e in reversed(self.open) if self.tag[e] in BLOCK), "")
-            self.lines.append((text, self.tags, tuple(self.open), inner))
+            self.lines.append((text, self.tags, tuple(self.open), inner, self.linked))
             self.tags = 0
         self.parts = []
+        self.linked = 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -94,6 +96,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         self.parts.append(data)
+        if any(self.tag[e] == "a" for e in self.open):
+            self.linked += len(data.strip())
 
 
 def smoothed(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -117,36 +121,38 @@ def extract(html: str | None) -> tuple[str, int, int, str]:
     size = np.array([len(x[0]) for x in lines], float)
     smooth = smoothed(size / np.maximum([x[1] for x in lines], 1))
     content = smooth >= min(smooth.std(), smooth.mean())  # threshold clustering: at least one standard deviation
-    inherited: dict[int, bool] = {}
-    vote: dict[int, float] = {}
-    for i, (_, _, path, _) in enumerate(lines):
+    vote: dict[int, float] = {}  # by element outside marked parts: text of content lines, and a little of any line
+    whole: dict[int, float] = {}  # by element: text of content lines outside marked parts
+    covered: set[int] = set()  # articles inside marked parts, for pages that have no other
+    for i, (_, _, path, _, _) in enumerate(lines):
+        barred = [page.marked[e] and page.tag[e] not in ROOTS for e in path]
         out = False
-        for e in path:
+        for e, bar in zip(path, barred, strict=True):
             article = page.tag[e] in ("article", "main")
-            out = out or (page.marked[e] and page.tag[e] not in ROOTS and not article)
-            own = out or (article and page.marked[e])
-            inherited[e] = own
-            if not own:
-                vote[e] = vote.get(e, 0) + size[i] * (1 if content[i] else 1e-3)
-    wrapped = {e for e in inherited if page.tag[e] == "article" and not page.marked[e]}
+            out = out or (bar and not article)
+            if out or (article and bar):
+                covered |= {e} if article and not bar else set()
+                continue
+            vote[e] = vote.get(e, 0) + size[i] * (1 if content[i] else 1e-3)
+            whole[e] = whole.get(e, 0) + size[i] * bool(content[i] and not any(barred))
     best = None
-    for tag in ("article", "main"):
-        held = [e for e in vote if page.tag[e] == tag]
-        if not held and tag == "article":
-            held = [e for e in wrapped if any(e in x[2] for x in lines)]
-            held = [] if any(page.tag[e] == "main" for e in vote) else held
+    for held in ([e for e in vote if page.tag[e] == "article"], [e for e in vote if page.tag[e] == "main"], covered):
         if held:
             best = max(held, key=lambda e: (vote.get(e, 0), -e))
             break
-    if best is None and vote:  # the innermost element that holds most of the content lines' text
-        most = max(vote.values())
-        best = max((e for e in vote if vote[e] >= 0.8 * most and page.tag[e] not in HEADINGS and page.tag[e] != "p"), default=None)
+    if best is None and whole:  # the innermost element that holds all content lines outside marked parts
+        most = max(whole.values())
+        best = max((e for e in whole if whole[e] >= most and page.tag[e] not in HEADINGS and page.tag[e] != "p"), default=None)
     if best is None:
         return "", len(lines), int(content.sum()), ""
     kept = []
-    for text, _, path, inner in lines:
+    link = [best in x[2] and x[4] >= 0.9 * len(x[0]) for x in lines]
+    sure = page.tag[best] in ("article", "main")
+    for i, (text, _, path, inner, _) in enumerate(lines):
         if best not in path:
             continue
+        if not sure and link[i] and (link[i - 1 : i] == [True] or link[i + 1 : i + 2] == [True]):
+            continue  # lists of nothing but links
         below = path[path.index(best) + 1 :]
         if any(page.marked[e] and not (page.tag[e] == "header" and inner in HEADINGS) for e in below):
             continue

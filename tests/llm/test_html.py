@@ -33,6 +33,7 @@ CASES = [
     (f"<div class='page no-sidebar'><article><header><h1>T</h1><p>by me</p></header><p>x<b>y</b>\n z<br>w</p><div class='comments'><article>{LONG}</article></div></article></div>", "T xy z w"),
     ("<article><p>a</p><script>var x='</p><p>bad'</script><!-- c --><aside>no</aside><ul><li>1<li>2</ul><footer>f</footer></article>", "a 1 2"),
     ("<main><div class='cookie-notice'>ok?</div><p>caf&eacute;&nbsp;&#x1F600;</p></main>", "café 😀"),
+    (f"<body><div><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></div><div><div><h1>Title</h1></div><div><p>{LONG}</p><p>{LONG}</p></div><p>End <a>link</a>.</p></div></body>", f"Title {LONG.strip()} {LONG.strip()} End link."),
     ("<article><p>unclosed <b>bold<p>next<div>and <i>more", "unclosed bold next and more"),
 ]
 
