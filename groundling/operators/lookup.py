@@ -185,3 +185,22 @@ def point_report(points: DataFrame, buildings: DataFrame, roads: DataFrame, busi
         .join(admin_at(points, admin).select("qid", "country", "state"), "qid", "left")
         .withColumn("n_businesses", F.coalesce("n_businesses", F.lit(0)))
     )
+
+
+def admin_exact(points: DataFrame, admin: DataFrame, areas: DataFrame) -> DataFrame:
+    """(qid, name): the cell's name, but of cells marked ``boundary`` the area that contains the point, where there is one.
+
+    Only points in marked cells meet the polygons.
+    """
+    base = admin_at(points, admin)
+    hit = containing(base.where("boundary").select("qid", "lat_micro", "lon_micro"), areas)
+    inside = hit.groupBy("qid").agg(F.min_by("name", "osm_id").alias("area"))
+    return base.join(inside, "qid", "left").select("qid", F.coalesce("area", "state").alias("name"))
+
+
+def nearest_water(points: DataFrame, bodies: DataFrame, lines: DataFrame, radius_m: float) -> DataFrame:
+    """(qid, osm_id, distance): the body that contains the point (0), else the nearest shore or stream within the radius."""
+    shore = buildings_within(points, bodies, radius_m)
+    bank = _distances(points, lines, radius_m).groupBy("qid", "osm_id").agg(F.min("_near.d").alias("distance"))
+    best = shore.unionByName(bank).groupBy("qid").agg(F.min(F.struct("distance", "osm_id")).alias("b"))
+    return best.select("qid", "b.osm_id", "b.distance")

@@ -26,12 +26,12 @@ def query(name: str, sql: str | None = None, *views: str):
 
 HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({f}.lat_micro / 100000.0 - p.lat_micro / 100000.0) / 2), 2) + cos(radians(p.lat_micro / 100000.0)) * cos(radians({f}.lat_micro / 100000.0)) * pow(sin(radians({f}.lon_micro / 100000.0 - p.lon_micro / 100000.0) / 2), 2))))"
 #: Distance of p to every segment of a vertex table v, in steps.
-SEGMENT = """seg AS (SELECT id, pos AS i, lon_micro / 100000.0 AS ax, lat_micro / 100000.0 AS ay, lead(lon_micro / 100000.0) OVER w AS bx, lead(lat_micro / 100000.0) OVER w AS by_ FROM {v} WINDOW w AS (PARTITION BY id ORDER BY pos)),
+SEGMENT = """seg AS MATERIALIZED (SELECT id, pos AS i, lon_micro / 100000.0 AS ax, lat_micro / 100000.0 AS ay, lead(lon_micro / 100000.0) OVER w AS bx, lead(lat_micro / 100000.0) OVER w AS by_ FROM {v} WINDOW w AS (PARTITION BY id ORDER BY pos)),
  m AS (SELECT p.qid, s.id, s.i, s.ax AS lon0, s.ay AS lat0, s.bx - s.ax AS wx, s.by_ - s.ay AS wy, (s.ax - p.lon_micro / 100000.0) * 111320.0 * greatest(cos(radians(p.lat_micro / 100000.0)), 0.001) AS x, (s.ay - p.lat_micro / 100000.0) * 111320.0 AS y,
   (s.bx - s.ax) * 111320.0 * greatest(cos(radians(p.lat_micro / 100000.0)), 0.001) AS dx, (s.by_ - s.ay) * 111320.0 AS dy FROM ping p CROSS JOIN {seg} s WHERE s.bx IS NOT NULL),
  n AS (SELECT *, CASE WHEN dx * dx + dy * dy < 1e-12 THEN 0.0 ELSE greatest(0.0, least(1.0, -(x * dx + y * dy) / (dx * dx + dy * dy))) END AS t FROM m),
  d AS (SELECT qid, id, i, t, lon0 + t * wx AS snap_lon, lat0 + t * wy AS snap_lat, sqrt((x + t * dx) * (x + t * dx) + (y + t * dy) * (y + t * dy)) AS dist FROM n)"""
-CLOSED = """seg2 AS (SELECT * FROM seg WHERE bx IS NOT NULL UNION ALL SELECT s.id, s.i, s.ax, s.ay, f.ax, f.ay FROM seg s JOIN seg f ON f.id = s.id AND f.i = 0 WHERE s.bx IS NULL),"""
+CLOSED = """seg2 AS MATERIALIZED (SELECT * FROM seg WHERE bx IS NOT NULL UNION ALL SELECT s.id, s.i, s.ax, s.ay, f.ax, f.ay FROM seg s JOIN seg f ON f.id = s.id AND f.i = 0 WHERE s.bx IS NULL),"""
 
 
 def steps(v: str, closed: bool = False) -> str:
@@ -306,7 +306,7 @@ def point_report(s, d):
 
 
 SQL["point_report"] = with_views(
-    steps("road_vertex").replace("seg AS", "rseg AS").replace("CROSS JOIN seg s", "CROSS JOIN rseg s").replace(" m AS", " rm AS").replace("FROM m)", "FROM rm)").replace(" n AS", " rn AS").replace("FROM n)", "FROM rn)").replace(" d AS", " rd AS")
+    steps("road_vertex").replace("seg AS MATERIALIZED", "rseg AS MATERIALIZED").replace("CROSS JOIN seg s", "CROSS JOIN rseg s").replace(" m AS", " rm AS").replace("FROM m)", "FROM rm)").replace(" n AS", " rn AS").replace("FROM n)", "FROM rn)").replace(" d AS", " rd AS")
     + ", " + RINGS
     + f""", bl AS (SELECT qid, min(id) AS building_id FROM inside GROUP BY qid), rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, osm_id) AS k FROM (SELECT rd.qid, r.osm_id, min(rd.dist) AS dist FROM rd JOIN road r ON r.piece_id = rd.id WHERE rd.dist <= 300 GROUP BY rd.qid, r.osm_id)),
  bs AS (SELECT qid, count(*) AS n, min_by(osm_id, struct_pack(a := dd, b := osm_id)) AS nb FROM (SELECT p.qid, b.osm_id, {HAV.format(f='b')} AS dd FROM ping p CROSS JOIN business b) WHERE dd <= 300 GROUP BY qid),
@@ -315,3 +315,33 @@ SQL["point_report"] = with_views(
  FROM ping p LEFT JOIN bl ON bl.qid = p.qid LEFT JOIN rr ON rr.qid = p.qid AND rr.k = 1 LEFT JOIN bs ON bs.qid = p.qid LEFT JOIN pl ON pl.qid = p.qid LEFT JOIN admin_grid g ON g.cy = floor(p.lat_micro / 2000) AND g.cx = floor(p.lon_micro / 2000)""",
     "ping", "road", "road_vertex", "building_vertex", "business", "place", "admin_grid",
 )
+
+
+@query("admin_exact", None)
+def admin_exact(s, d):
+    grid_ = view(s, d, "admin_grid").withColumn("boundary", (F.col("cy") + F.col("cx")) % 2 == 0)
+    areas = shape(view(s, d, "park_vertex").withColumns({c: (F.col(c) - b) * 4 + b for c, b in (("lat_micro", 3610000), ("lon_micro", -8680000))}))
+    areas = areas.withColumn("name", F.concat(F.lit("area "), F.col("osm_id").cast("string")))
+    return L.admin_exact(view(s, d, "ping"), grid_, areas)
+
+
+SQL["admin_exact"] = with_views(
+    "big AS MATERIALIZED (SELECT id, pos, (lat_micro - 3610000) * 4 + 3610000 AS lat_micro, (lon_micro + 8680000) * 4 - 8680000 AS lon_micro FROM park_vertex), " + steps("big", True) + ", " + INSIDE
+    + " SELECT p.qid, coalesce(CASE WHEN (g.cy + g.cx) % 2 = 0 THEN 'area ' || CAST((SELECT min(n.id) FROM inside n WHERE n.qid = p.qid) AS VARCHAR) END, g.state) AS name FROM ping p LEFT JOIN admin_grid g ON g.cy = floor(p.lat_micro / 2000) AND g.cx = floor(p.lon_micro / 2000)",
+    "ping", "park_vertex", "admin_grid",
+)
+
+
+@query("water_nearest", None)
+def water_nearest(s, d):
+    lines = shape(view(s, d, "rail_vertex")).withColumn("osm_id", F.col("osm_id") + 10_000_000)
+    return L.nearest_water(view(s, d, "ping"), shape(view(s, d, "park_vertex")), lines, 1500.0).select("qid", "osm_id", F.round("distance", 1).alias("distance"))
+
+
+SQL["water_nearest"] = with_views(
+    steps("park_vertex", True) + ", " + INSIDE + ", "
+    + steps("rail_vertex").replace("seg AS MATERIALIZED", "rseg AS MATERIALIZED").replace("CROSS JOIN seg s", "CROSS JOIN rseg s").replace(" m AS", " rm AS").replace("FROM m)", "FROM rm)").replace(" n AS", " rn AS").replace("FROM n)", "FROM rn)").replace(" d AS", " rd AS")
+    + """, c AS (SELECT qid, id AS osm_id, 0.0 AS dist FROM inside UNION ALL SELECT qid, id, dist FROM d WHERE dist <= 1500 UNION ALL SELECT qid, id + 10000000, dist FROM rd WHERE dist <= 1500)
+ SELECT qid, osm_id, round(dist, 1) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, osm_id) AS k FROM c) WHERE k = 1""",
+    "ping", "park_vertex", "rail_vertex",
+)
