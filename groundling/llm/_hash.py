@@ -6,11 +6,15 @@ tables give two values that are used together where an identity has to be exact.
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 U = np.uint64
+_libc = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def _inverse(x: int) -> int:
@@ -67,8 +71,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 2_000_000):
-    """Ranges (lo, hi) of documents of about ``most`` bytes together; a longer one is alone."""
+def chunks(offsets: np.ndarray, most: int = 500_000):
+    """Ranges (lo, hi) of documents of about ``most`` bytes together; a longer one is alone. Small enough for the arrays of a chunk to stay in a core's cache."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1
@@ -77,6 +81,13 @@ def chunks(offsets: np.ndarray, most: int = 2_000_000):
         lo = hi
 
 
+def tidy() -> None:
+    """Give memory that is free but held back to the system: workers live on between tasks beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of consecutive documents: byte bounds, document, hashes. ``between`` marks other separators."""
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._hash import Words, buffers, chunks, covered, mix
+from ._hash import Words, buffers, chunks, covered, mix, tidy
 
 #: language: (characters per token, largest share of byte-fallback tokens, bits of token entropy of a long text).
 BANDS = {"en": (2.66, 0.05, 5.35), "de": (2.385, 0.12, 5.35), "fr": (2.2, 0.16, 5.25), "es": (2.09, 0.16, 5.25)}
@@ -139,6 +139,7 @@ def quality(text_col: str = "text", lang_col: str = "lang", vocabulary: str | No
             part = measure(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], langs[lo:hi], path)
             for k, v in part.items():
                 out.setdefault(k, []).append(v)
+        tidy()
         names = [f.split(":")[0] for f in RESULT[7:-1].split(",")]
         return pa.StructArray.from_arrays([pa.array(np.concatenate(out[k])) if out else pa.array([], pa.int64()) for k in names], names=names)
 

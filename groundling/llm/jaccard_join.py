@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._hash import BASES, Words, buffers, chunks, mix, powers
+from ._hash import BASES, Words, buffers, chunks, mix, powers, tidy
 from ._pack import MESSAGE, bits, blocks_of, dec, enc, messages, power, received, unbits
 from ._spark import connected, text_bytes, written
 from ._trie import Classes, links
@@ -19,6 +19,7 @@ SKETCH_BITS = 20
 SKETCH_BLOCKS = 16
 TASK_BYTES = 8 << 20
 BLOCK_BYTES = 16 << 20
+PREFIX_BYTES = 2 << 20
 #: Members beyond which a group is not filtered by bitmaps but goes to the tree as it is.
 MOST_FILTERED = 4_000
 SETS = "struct<n:bigint,s0:bigint,s1:bigint,prefix:array<bigint>,parity:binary>"
@@ -61,9 +62,16 @@ def frequency_ranks(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
 
     def count(batches: Iterable[pa.RecordBatch]):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
+        held, n = [], 0
         for b in batches:
             for _, key, _ in shingles(b.column(0), words):
-                total += np.bincount(key >> np.uint64(64 - SKETCH_BITS), minlength=len(total))
+                held.append((key >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
+                n += len(key)
+                if n > len(total):
+                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
         for block, part in enumerate(np.split(total, SKETCH_BLOCKS)):
             yield from messages(0, [(0, block, enc(part))]).to_batches()
 
@@ -195,6 +203,7 @@ def prefix_sets(text_col: str, words: int, num: int, den: int, rank: np.ndarray)
             size.append(take)
             prefix.append(key[np.repeat(start - (np.cumsum(take) - take), take) + np.arange(take.sum())])
             parity += parities(doc, key, count, take > 0)
+        tidy()
         cat = lambda x, t: np.concatenate(x).astype(t, copy=False) if x else np.zeros(0, t)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cat(size, np.int64))]), pa.int32()), pa.array(cat(prefix, np.uint64).view(np.int64)))
         return pa.StructArray.from_arrays(
@@ -237,6 +246,7 @@ def shared_tokens(reps: DataFrame, parts: int, entries: int, block_entries: int)
         for b, i, j in zip(blocks.tolist(), bound[:-1].tolist(), bound[1:].tolist(), strict=True):
             shared[i:j] |= unbits(got[b], j - i)
         hit = shared[place]
+        tidy()
         rep, n = (left.column(c).to_numpy() for c in ("rep", "n"))
         return pa.table({"rep": pa.array(rep[row[hit]], pa.int64()), "n": pa.array(n[row[hit]], pa.int64()), "token": pa.array(token[hit].view(np.int64))})
 
@@ -319,7 +329,7 @@ def near_duplicates(
     one = written(one)
     reps = one.where("n > 0").groupBy("s0", "s1", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")).where("rep IS NOT NULL")
     some = reps.where("size(prefix) > 0").select("rep", "n", "prefix")
-    parts = max(1, -(-total * (den - num) // den // (1 << 20)) // 8)
+    parts = 1 + total * (den - num) // den * 8 // 6 // PREFIX_BYTES  # prefixes hold (den - num) / den of about a shingle for six bytes of text
     tokens = written(shared_tokens(some, int(parts), max(1, total * (den - num) // den // 6), block_entries))
 
     groups = tokens.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("weight"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("m > 1")
