@@ -227,7 +227,7 @@ def shared_tokens(reps: DataFrame, parts: int, entries: int, block_entries: int)
         return token, np.repeat(np.arange(len(size)), size), size
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        unique = np.unique(tokens(table)[0])
+        unique = np.unique(mix(tokens(table)[0]))  # mixed, as the leading bits of a token are its class
         blocks, bound = blocks_of(unique, shift)
         return messages(key[0].as_py(), ((0, b, enc(unique[i:j], deltas=True)) for b, i, j in zip(blocks.tolist(), bound[:-1].tolist(), bound[1:].tolist(), strict=True)))
 
@@ -239,7 +239,7 @@ def shared_tokens(reps: DataFrame, parts: int, entries: int, block_entries: int)
 
     def keep(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         token, row, _ = tokens(left)
-        unique, place, times = np.unique(token, return_inverse=True, return_counts=True)
+        unique, place, times = np.unique(mix(token), return_inverse=True, return_counts=True)
         got = received(right).get(0, {})
         shared = times > 1
         blocks, bound = blocks_of(unique, shift)
