@@ -57,13 +57,29 @@ def segments(coords: Column, closed: bool = False) -> Column:
 
 
 def to_line(lat: Column, lon: Column, coords: Column, closed: bool = False) -> Column:
-    """struct<d, i, t, lon, lat> of the nearest segment, the first of equals; null for fewer than two vertices."""
+    """struct<d, i, t, lon, lat> of the nearest segment, the first of equals; null for fewer than two vertices.
 
-    def one(s: Column) -> Column:
-        hit = to_segment(lat, lon, s["a"], s["b"])
-        return F.struct(hit["d"].alias("d"), s["i"].alias("i"), hit["t"].alias("t"), hit["lon"].alias("lon"), hit["lat"].alias("lat"))
+    One step of values an array, so that each is computed once a segment and not again wherever it is used.
+    """
 
-    return F.array_min(F.transform(segments(coords, closed), one))
+    def offsets(s: Column) -> Column:
+        a, b, mlon = s["a"], s["b"], metres_per_lon(lat)
+        wx, wy = b["lon"] - a["lon"], b["lat"] - a["lat"]
+        return F.struct(
+            s["i"].alias("i"), a.alias("a"), wx.alias("wx"), wy.alias("wy"), ((a["lon"] - lon) * mlon).alias("ax"), ((a["lat"] - lat) * METRES_PER_DEGREE).alias("ay"), (wx * mlon).alias("dx"), (wy * METRES_PER_DEGREE).alias("dy"),
+        )
+
+    def along(s: Column) -> Column:
+        long2 = s["dx"] * s["dx"] + s["dy"] * s["dy"]
+        t = F.when(long2 < 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(s["ax"] * s["dx"] + s["ay"] * s["dy"]) / long2)))
+        return F.struct(s.alias("s"), t.alias("t"))
+
+    def place(p: Column) -> Column:
+        s, t = p["s"], p["t"]
+        x, y = s["ax"] + t * s["dx"], s["ay"] + t * s["dy"]
+        return F.struct(F.sqrt(x * x + y * y).alias("d"), s["i"].alias("i"), t.alias("t"), (s["a"]["lon"] + t * s["wx"]).alias("lon"), (s["a"]["lat"] + t * s["wy"]).alias("lat"))
+
+    return F.array_min(F.transform(F.transform(F.transform(segments(coords, closed), offsets), along), place))
 
 
 def to_ring_compat(lat: Column, lon: Column, coords: Column) -> Column:
@@ -98,6 +114,13 @@ def overlaps(b: Column, min_lat: float, min_lon: float, max_lat: float, max_lon:
     return (b["min_lat"] <= max_lat) & (b["max_lat"] >= min_lat) & (b["min_lon"] <= max_lon) & (b["max_lon"] >= min_lon)
 
 
+def reaches(b: Column, lat: Column, lon: Column, radius_m: float) -> Column:
+    """Whether a box, widened by the radius, holds the point: cheap, and true for every box within the radius."""
+    dlat = radius_m * 1.01 / METRES_PER_DEGREE
+    dlon = F.lit(radius_m * 1.01) / metres_per_lon(lat)
+    return (lat >= b["min_lat"] - dlat) & (lat <= b["max_lat"] + dlat) & (lon >= b["min_lon"] - dlon) & (lon <= b["max_lon"] + dlon)
+
+
 def side_of(lat: Column, lon: Column, a: Column, b: Column) -> Column:
     """'left', 'right' or 'on' of the directed segment a-b."""
     cross = (b["lon"] - a["lon"]) * (lat - a["lat"]) - (b["lat"] - a["lat"]) * (lon - a["lon"])

@@ -64,11 +64,17 @@ def nearby(points: DataFrame, features: DataFrame, radius_m: float = 500.0, limi
     return hit if limit is None else top_n(hit, limit, F.col("distance"), F.col("osm_id"))
 
 
+def _reachable(points: DataFrame, shapes: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs whose shape's extent comes within the radius: the cell join, then a test of the extent's four numbers."""
+    boxed = shapes.withColumn("_box", geo.bounds(F.col("coords")))
+    rows = grid.near(points, boxed, radius_m, 45.0, grid.cover(F.col("_box")))
+    return rows.where(geo.reaches(F.col("_box"), geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), radius_m)).drop("_box")
+
+
 def _distances(points: DataFrame, shapes: DataFrame, radius_m: float, closed: bool = False) -> DataFrame:
-    cells = grid.cover(geo.bounds(F.col("coords")))
     lat, lon = geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro"))
-    rows = grid.near(points, shapes.where(F.size("coords") >= 2), radius_m, 45.0, cells)
-    return rows.withColumn("_near", geo.to_line(lat, lon, F.col("coords"), closed)).where(F.col("_near.d") <= radius_m)
+    rows = _reachable(points, shapes.where(F.size("coords") >= 2), radius_m)
+    return rows.withColumn("_near", geo.to_line(lat, lon, F.col("coords"), closed))  # to be filtered once it is aggregated: earlier it would be computed twice
 
 
 def nearest_roads(points: DataFrame, roads: DataFrame, n: int = 1, radius_m: float = 100.0, profile: str | None = None) -> DataFrame:
@@ -77,7 +83,7 @@ def nearest_roads(points: DataFrame, roads: DataFrame, n: int = 1, radius_m: flo
         roads = roads.where(F.col("road_class").isin(*PROFILES[profile]))
     rows = _distances(points, roads, radius_m)
     best = rows.groupBy("qid", "osm_id").agg(F.min(F.struct(F.col("_near.d").alias("d"), "piece_id", F.col("_near").alias("near"), "road_class", "name")).alias("b"))
-    flat = best.select("qid", "osm_id", F.col("b.d").alias("distance"), "b.piece_id", "b.road_class", "b.name", F.col("b.near.i").alias("segment"), F.col("b.near.t").alias("t"), F.col("b.near.lat").alias("snap_lat"), F.col("b.near.lon").alias("snap_lon"))
+    flat = best.where(F.col("b.d") <= radius_m).select("qid", "osm_id", F.col("b.d").alias("distance"), "b.piece_id", "b.road_class", "b.name", F.col("b.near.i").alias("segment"), F.col("b.near.t").alias("t"), F.col("b.near.lat").alias("snap_lat"), F.col("b.near.lon").alias("snap_lon"))
     return top_n(flat, n, F.col("distance"), F.col("osm_id"))
 
 
@@ -93,16 +99,16 @@ def building_at(points: DataFrame, buildings: DataFrame, fallback_m: float | Non
     if fallback_m is None:
         return inside
     rest = points.join(inside.select("qid"), "qid", "left_anti")
-    near = _distances(rest, buildings, fallback_m, closed=True).groupBy("qid").agg(F.min(F.struct(F.col("_near.d").alias("d"), "osm_id")).alias("b"))
+    near = _distances(rest, buildings, fallback_m, closed=True).groupBy("qid").agg(F.min(F.struct(F.col("_near.d").alias("d"), "osm_id")).alias("b")).where(F.col("b.d") <= fallback_m)
     return inside.union(near.select("qid", "b.osm_id", "b.d", F.lit(False)))
 
 
 def buildings_within(points: DataFrame, buildings: DataFrame, radius_m: float) -> DataFrame:
     """(qid, osm_id, distance): buildings that contain the point (0) or whose boundary is within the radius."""
     lat, lon = geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro"))
-    rows = grid.near(points, buildings, radius_m, 45.0, grid.cover(geo.bounds(F.col("coords"))))
+    rows = _reachable(points, buildings, radius_m)
     d = F.when(geo.contains(lat, lon, F.col("coords")), 0.0).otherwise(geo.to_line(lat, lon, F.col("coords"), True)["d"])
-    return rows.withColumn("distance", d).where(F.col("distance") <= radius_m).groupBy("qid", "osm_id").agg(F.min("distance").alias("distance"))
+    return rows.withColumn("distance", d).groupBy("qid", "osm_id").agg(F.min("distance").alias("distance")).where(F.col("distance") <= radius_m)
 
 
 def nearest_centroid(points: DataFrame, buildings: DataFrame, box_deg: float = 0.003) -> DataFrame:
@@ -201,6 +207,6 @@ def admin_exact(points: DataFrame, admin: DataFrame, areas: DataFrame) -> DataFr
 def nearest_water(points: DataFrame, bodies: DataFrame, lines: DataFrame, radius_m: float) -> DataFrame:
     """(qid, osm_id, distance): the body that contains the point (0), else the nearest shore or stream within the radius."""
     shore = buildings_within(points, bodies, radius_m)
-    bank = _distances(points, lines, radius_m).groupBy("qid", "osm_id").agg(F.min("_near.d").alias("distance"))
+    bank = _distances(points, lines, radius_m).groupBy("qid", "osm_id").agg(F.min("_near.d").alias("distance")).where(F.col("distance") <= radius_m)
     best = shore.unionByName(bank).groupBy("qid").agg(F.min(F.struct("distance", "osm_id")).alias("b"))
     return best.select("qid", "b.osm_id", "b.distance")
