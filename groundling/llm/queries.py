@@ -78,5 +78,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in own.items() if n.startswith("op") and callable(f)}
 
 
+_WORDS = "[^\\x20\\x09-\\x0D]+"
+#: The windows joined as plain text: too slow for large tables, but independent of every hash.
+SEEN_WINDOWS_SQL = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS l FROM documents),
+ g AS (SELECT doc_id, i, array_to_string(list_slice(l, i, i + 12), ' ') AS k FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 12)) AS i FROM d WHERE len(l) >= 13)),
+ m AS (SELECT k, min(doc_id) AS d0 FROM g GROUP BY k),
+ r AS (SELECT DISTINCT g.doc_id, g.i + t.j AS pos FROM g JOIN m ON m.k = g.k CROSS JOIN (SELECT unnest(generate_series(0, 12)) AS j) t WHERE m.d0 < g.doc_id),
+ w AS (SELECT doc_id, unnest(l) AS word, unnest(generate_series(1, len(l))) AS pos FROM d),
+ k AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.pos) AS kept FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.pos = w.pos WHERE r.pos IS NULL GROUP BY w.doc_id),
+ n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id)
+ SELECT d.doc_id, CAST(len(d.l) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+SHINGLE_JOIN_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS l FROM documents),
+ s AS (SELECT DISTINCT doc_id, CASE WHEN len(l) < 3 THEN array_to_string(l, ' ') ELSE array_to_string(list_slice(l, i, i + 2), ' ') END AS k FROM (SELECT doc_id, l, unnest(generate_series(1, greatest(1, len(l) - 2))) AS i FROM d WHERE len(l) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON b.k = a.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ e AS (SELECT c.x, c.y FROM c JOIN n p ON p.doc_id = c.x JOIN n q ON q.doc_id = c.y WHERE 100 * c.c >= 90 * (p.n + q.n - c.c)),
+ reach(x, y) AS (SELECT DISTINCT x, x FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y),
+ least AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.m, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.x = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_seen_windows": SEEN_WINDOWS_SQL, "op9_shingle_join": SHINGLE_JOIN_SQL}
