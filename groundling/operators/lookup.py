@@ -89,8 +89,11 @@ def nearest_roads(points: DataFrame, roads: DataFrame, n: int = 1, radius_m: flo
 
 def containing(points: DataFrame, shapes: DataFrame) -> DataFrame:
     """(qid, osm_id, ...) of every ring that contains each point."""
-    rows = points.withColumn("_cell", grid.cell(F.col("lat_micro"), F.col("lon_micro"))).join(shapes.withColumn("_cell", F.explode(grid.cover(geo.bounds(F.col("coords"))))), "_cell").drop("_cell")
-    return rows.where(geo.contains(geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), F.col("coords")))
+    boxed = shapes.withColumn("_box", geo.bounds(F.col("coords")))
+    rows = points.withColumn("_cell", grid.cell(F.col("lat_micro"), F.col("lon_micro"))).join(boxed.withColumn("_cell", F.explode(grid.cover(F.col("_box")))), "_cell").drop("_cell")
+    lat, lon = geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro"))
+    rows = rows.where(lat.between(F.col("_box.min_lat"), F.col("_box.max_lat")) & lon.between(F.col("_box.min_lon"), F.col("_box.max_lon"))).drop("_box")
+    return rows.where(geo.contains(lat, lon, F.col("coords")))
 
 
 def building_at(points: DataFrame, buildings: DataFrame, fallback_m: float | None = None) -> DataFrame:
