@@ -11,7 +11,7 @@ from groundling.llm._spark import written
 from groundling.llm.decontam import find_leaks
 from groundling.llm.fertility import quality
 from groundling.llm.jaccard_join import near_duplicates
-from groundling.llm.line_dedup import remove_repeated_lines
+from groundling.llm.line_dedup import remove_all_repeated_lines
 from groundling.llm.packing import pack_sequences
 
 #: Not expressible in SQL: tokenisers, prefix trees and packing; tests hold every stage against brute force.
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of runs of lines; one of which no word is left goes. n_chars follows the text."""
-    out = remove_repeated_lines(docs, out_col="_lines").withColumn("text", F.col("_lines.kept")).where("text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    out = remove_all_repeated_lines(docs, out_col="_lines").withColumn("text", F.col("_lines.kept")).where("text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

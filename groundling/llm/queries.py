@@ -11,7 +11,7 @@ from .decontam import find_leaks
 from .fertility import quality
 from .html_text import main_text
 from .jaccard_join import near_duplicates
-from .line_dedup import remove_repeated_lines
+from .line_dedup import remove_all_repeated_lines
 from .packing import pack_sequences
 from .secrets import scan_secrets, span_text
 from .sharding import shard_by_bytes
@@ -55,7 +55,7 @@ def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = remove_all_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "lines.n_lines", "lines.n_removed", "lines.n_runs", F.sha2(F.coalesce("lines.kept", F.lit("")), 256).alias("kept_sha256"))
 
 

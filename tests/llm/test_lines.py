@@ -1,10 +1,12 @@
+import hashlib
 import random
 import re
 
 import duckdb
 
+import corpus_pipeline
 from groundling.llm import queries
-from groundling.llm.line_dedup import remove_repeated_lines
+from groundling.llm.line_dedup import remove_all_repeated_lines, remove_repeated_lines
 
 COUNT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -76,3 +78,74 @@ def test_edges(spark):
     twice = remove_repeated_lines(df.where("doc_id = 103").union(df.where("doc_id = 103")).union(df.where("doc_id = 102")).union(spark.createDataFrame([(None, long_line, 1)], df.schema))).collect()
     assert sorted((str(r.doc_id), r.lines.n_removed) for r in twice) == [("102", 0), ("103", 1), ("103", 1), ("None", 1)]
     assert remove_repeated_lines(df.limit(0)).count() == 0
+
+
+def whole(docs, min_words=20, long_line=50):
+    """Every earlier place of every line, by extension both ways: (lines, removed, stretches, kept) by document."""
+    lines = {k: t.split("\n") for k, t in docs}
+    words = {k: [len(COUNT.findall(x)) for x in ls] for k, ls in lines.items()}
+    at = {}
+    for k in sorted(lines):
+        for i, x in enumerate(lines[k]):
+            at.setdefault(x, []).append((k, i))
+    out = {}
+    for k, ls in lines.items():
+        gone, done = set(), set()
+        for i, x in enumerate(ls):
+            for a, j in at[x]:
+                if (a, j) >= (k, i):
+                    break
+                if (a, j, i) in done:
+                    continue
+                o, s, e = lines[a], i, i
+                while s and s - 1 + j - i >= 0 and ls[s - 1] == o[s - 1 + j - i]:
+                    s -= 1
+                while e + 1 < len(ls) and e + 1 + j - i < len(o) and ls[e + 1] == o[e + 1 + j - i]:
+                    e += 1
+                done |= {(a, p + j - i, p) for p in range(s, e + 1)}
+                n = sum(words[k][s : e + 1])
+                if n >= min_words and (e > s or n >= long_line):
+                    gone |= set(range(s, e + 1))
+        out[k] = (len(ls), len(gone), sum(i - 1 not in gone for i in gone), "\n".join(x for i, x in enumerate(ls) if i not in gone))
+    return out
+
+
+def removed(df, *args):
+    return {r.doc_id: tuple(r.lines) for r in remove_all_repeated_lines(df, *args).collect()}
+
+
+def test_passage_of_frequent_lines(spark):
+    """Once every neighbouring pair stands in some earlier document, a first place of a pair leads nowhere."""
+    rng = random.Random(5)
+    pool = [" ".join(f"w{i}x{j}" for j in range(8)) for i in range(30)]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(30))) for i in range(200)]
+    passage = [rng.choice(pool) for _ in range(12)]
+    docs += [(500 + i, "\n".join([f"head {i}", *passage, f"tail {i}"])) for i in range(2)]
+    want = whole(docs)
+    got = removed(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got == want and got[501][1] == 12 and got[501][3] == "head 1\ntail 1"
+
+
+def test_all_runs_against_every_earlier_place(spark):
+    rng = random.Random(7)
+    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([0, 0, 1, 3, 9, 15, 60]))) for _ in range(12)] + [""]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 40)))) for i in range(50)]
+    docs += [(100, ""), (101, "\n"), (104, "same line of five words\n" * 200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for args in ((), (10,), (30, 12), (1, 1), (0, 5)):
+        assert removed(df, *args) == whole(docs, *args), args
+    assert removed(spark.createDataFrame([(1, None)], df.schema)) == {1: (0, 0, 0, None)}
+    assert remove_all_repeated_lines(df.limit(0)).count() == 0
+    line = " ".join(f"v{i}" for i in range(60))
+    twice = [(103, "a\n" + line), (103, "a\n" + line), (102, line), (None, line)]
+    rows = remove_all_repeated_lines(spark.createDataFrame(twice, df.schema)).collect()
+    assert sorted((str(r.doc_id), r.lines.n_removed) for r in rows) == [("102", 0), ("103", 1), ("103", 1), ("None", 1)]
+
+
+def test_whole_table_and_stage(spark):
+    d = "/root/testdata/sf0.01"
+    want = whole(duckdb.sql(f"select doc_id, text from '{d}/documents.parquet'").fetchall())
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, r.kept_sha256) for r in queries.op7_line_runs(spark, d).collect()}
+    assert got == {k: (*v[:3], hashlib.sha256(v[3].encode()).hexdigest()) for k, v in want.items()}
+    kept = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    assert {r.doc_id: r.text for r in kept.collect()} == {k: v[3] for k, v in want.items() if COUNT.search(v[3])}
