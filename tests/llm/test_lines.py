@@ -149,3 +149,13 @@ def test_whole_table_and_stage(spark):
     assert got == {k: (*v[:3], hashlib.sha256(v[3].encode()).hexdigest()) for k, v in want.items()}
     kept = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
     assert {r.doc_id: r.text for r in kept.collect()} == {k: v[3] for k, v in want.items() if COUNT.search(v[3])}
+
+
+def test_every_run_of_two_lines(spark):
+    """Such a run has one pair, which winnowing selects only if it is the smaller one on both sides."""
+    word = iter(range(1_000_000))
+    line = lambda n: " ".join(f"u{next(word)}" for _ in range(n))
+    runs = [(line(12), line(12)) for _ in range(40)]
+    docs = [(side * 100 + i, "\n".join([line(9), line(9), *r, line(9), line(9)])) for side in (0, 1) for i, r in enumerate(runs)]
+    got = removed(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert [got[i][1] for i, _ in docs] == [0] * 40 + [2] * 40 and got == whole(docs)
