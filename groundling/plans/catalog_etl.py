@@ -10,6 +10,8 @@ from ..operators import routing as R
 from .fixtures import buildings, oracle, shape, view
 
 QUERIES: dict = {}
+#: Queries over whole tables whose SQL would be too slow; brute force in tests/test_routing.py holds them.
+WHOLE: dict = {}
 SQL: dict[str, str] = {}
 CELL = "(CAST(floor({a}lat_micro / 2000) AS BIGINT) + 8388608) * 16777216 + CAST(floor({a}lon_micro / 2000) AS BIGINT) + 8388608"
 CELL_V = CELL.format(a="")
@@ -349,9 +351,10 @@ SMALL = "id < 240"
 _NODE = "(CAST(floor(lat_micro * 0.5) AS BIGINT) + 16777216) * 67108864 + CAST(floor(lon_micro * 0.5) AS BIGINT) + 33554432"
 
 
-def _graph(s, d):
+def _graph(s, d, where=SMALL):
+    """The road graph; of the first pieces only unless ``where`` says otherwise, as the recursive SQL is too slow for more."""
     v = view(s, d, "road_vertex").withColumns({"lat_micro": F.floor(F.col("lat_micro") / 400.0).cast("int") * 400, "lon_micro": F.floor(F.col("lon_micro") / 400.0).cast("int") * 400})
-    return R.graph(v.where(SMALL), view(s, d, "road"))
+    return R.graph(v.where(where), view(s, d, "road"))
 
 
 _GRAPH = (
@@ -406,3 +409,24 @@ SQL["snap_to_component"] = (
  k AS (SELECT p.qid, l.node, {_HAV.replace('lat1', 'p.lat_micro / 100000.0').replace('lat2', 'n.la / 100000.0').replace('lon1', 'p.lon_micro / 100000.0').replace('lon2', 'n.lo / 100000.0')} AS dist FROM ping p CROSS JOIN lab l JOIN big ON big.component = l.component JOIN nd n ON n.node = l.node)
  SELECT qid, node, round(dist, 1) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, node) AS r FROM k WHERE dist <= 3000) WHERE r = 1"""
 )
+
+
+@query("road_graph_whole")
+def road_graph_whole(s, d):
+    return _graph(s, d, "true")[1]
+
+
+SQL["road_graph_whole"] = _GRAPH.replace(f" WHERE {SMALL}", "") + " SELECT * FROM edge"
+
+
+def connected_components_whole(s, d):
+    return R.components(R._cut(_graph(s, d, "true")[1]))
+
+
+def snap_to_component_whole(s, d):
+    nodes, edges = _graph(s, d, "true")
+    hit = R.snap_to_largest(view(s, d, "ping"), nodes, R.components(R._cut(edges)), 3000.0)
+    return hit.select("qid", "node", F.round("distance", 1).alias("distance"))
+
+
+WHOLE |= {f.__name__: f for f in (connected_components_whole, snap_to_component_whole)}

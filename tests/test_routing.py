@@ -1,4 +1,12 @@
+import heapq
+from collections import Counter
+from math import asin, cos, radians, sin, sqrt
+
 from groundling.operators import routing as R
+from groundling.plans import catalog
+from groundling.plans.fixtures import view
+
+D = "/root/testdata/sf0.001"
 
 
 def edges(spark, rows):
@@ -31,3 +39,52 @@ def test_estimate(spark):
     assert 900 < r.distance_m < 1100 and abs(r.duration_s - r.distance_m / 1.4) < 0.2
     path = pairs.select(R.sample_path(*(pairs[c] for c in ("lat1", "lon1", "lat2", "lon2"))).alias("p")).first().p
     assert len(path) == int(r.distance_m / 100) + 1 and (path[0].lat, path[-1].lat) == (36.1627, 36.17)
+
+
+def whole(spark):
+    """Every road's steps as (node, node), and the places of nodes, from all rows of the table."""
+    place, lines = {}, {}
+    for r in view(spark, D, "road_vertex").collect():
+        lat, lon = r.lat_micro // 400 * 400, r.lon_micro // 400 * 400
+        node = (lat // 2 + (1 << 24)) * (1 << 26) + lon // 2 + (1 << 25)
+        place[node] = (lat / 1e5, lon / 1e5)
+        lines.setdefault(r.id, {})[r.pos] = node
+    assert max(lines) > 240
+    steps = {(v[p], v[p + 1]) for v in lines.values() for p in v if p + 1 in v and v[p] != v[p + 1]}
+    return place, steps | {(b, a) for a, b in steps}
+
+
+def labelled(steps):
+    up = {a: a for a, _ in steps}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in steps:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in up}
+
+
+def metres(a, b):
+    la, lo, lb, lp = map(radians, (*a, *b))
+    return 2 * 6_371_000 * asin(sqrt(sin((lb - la) / 2) ** 2 + cos(la) * cos(lb) * sin((lp - lo) / 2) ** 2))
+
+
+def test_whole_graph_components_and_snapping(spark):
+    place, steps = whole(spark)
+    assert {(r.src, r.dst) for r in catalog.queries()["road_graph_whole"](spark, D).collect()} == steps
+    label = labelled(steps)
+    assert {r.node: r.component for r in catalog.whole_queries()["connected_components_whole"](spark, D).collect()} == label
+    n = Counter(label.values())
+    largest = min(n, key=lambda c: (-n[c], c))
+    got = {r.qid: r for r in catalog.whole_queries()["snap_to_component_whole"](spark, D).collect()}
+    inside = [x for x in label if label[x] == largest]
+    for p in view(spark, D, "ping").collect():
+        at = (p.lat_micro / 1e5, p.lon_micro / 1e5)
+        least = min(metres(at, place[x]) for x in inside)
+        assert (p.qid in got) == (least <= 3000)
+        if p.qid in got:
+            assert label[got[p.qid].node] == largest and abs(got[p.qid].distance - least) < 0.2 and abs(metres(at, place[got[p.qid].node]) - least) < 0.2
