@@ -423,10 +423,17 @@ def connected_components_whole(s, d):
     return R.components(R._cut(_graph(s, d, "true")[1]))
 
 
+def shortest_path_whole(s, d):
+    """Every node that the least one reaches, at whatever cost."""
+    edges = R._cut(_graph(s, d, "true")[1])
+    start = edges.agg(F.min("src").alias("source"))
+    return R.shortest_paths(edges, start).select("node", "cost")
+
+
 def snap_to_component_whole(s, d):
     nodes, edges = _graph(s, d, "true")
     hit = R.snap_to_largest(view(s, d, "ping"), nodes, R.components(R._cut(edges)), 3000.0)
     return hit.select("qid", "node", F.round("distance", 1).alias("distance"))
 
 
-WHOLE |= {f.__name__: f for f in (connected_components_whole, snap_to_component_whole)}
+WHOLE |= {f.__name__: f for f in (connected_components_whole, shortest_path_whole, snap_to_component_whole)}

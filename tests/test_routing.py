@@ -88,3 +88,19 @@ def test_whole_graph_components_and_snapping(spark):
         assert (p.qid in got) == (least <= 3000)
         if p.qid in got:
             assert label[got[p.qid].node] == largest and abs(got[p.qid].distance - least) < 0.2 and abs(metres(at, place[got[p.qid].node]) - least) < 0.2
+
+
+def test_whole_graph_paths(spark):
+    d = "/root/testdata/sf0.01"
+    near = {}
+    for r in catalog.queries()["road_graph_whole"](spark, d).collect():
+        near.setdefault(r.src, []).append((r.dst, r.weight))
+    cost, heap = {}, [(0, min(near))]
+    while heap:
+        c, x = heapq.heappop(heap)
+        if x not in cost:
+            cost[x] = c
+            for y, w in near[x]:
+                heapq.heappush(heap, (c + w, y))
+    assert max(cost.values()) > 12_000
+    assert {r.node: r.cost for r in catalog.whole_queries()["shortest_path_whole"](spark, d).collect()} == cost
