@@ -11,15 +11,29 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """Folder named by ``spark.checkpoint.dir``; a temporary one only where none is set, in local mode: executors elsewhere could not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="groundling-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2 ... that no column has; names are compared without case, as Spark does."""
+    have = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(have) + 2))) if n.lower() not in have)
+
+
+def making_room(df: DataFrame, name: str) -> DataFrame:
+    """``df`` ready for a result column ``name``: an input column of that name stays under the first free name of ``unused``."""
+    clash = [c for c in df.columns if c.lower() == name.lower()]
+    return df.withColumnRenamed(clash[0], unused(df, name)) if clash else df
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet in the shared folder and read it back.
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import making_room
+
 RESULT = "struct<text:string,n_lines:int,n_content_lines:int,region:string>"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -18,33 +20,45 @@ BLOCK = frozenset(
 #: A start tag of the key ends these open elements, as far up as the nearest of the scope's tags.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head", "title", "style", "script"}}
 SCOPE = frozenset("article aside body div dl fieldset footer form header html main menu nav ol section table ul".split())
-NEVER = frozenset("head title script style noscript template iframe object svg math canvas audio video nav aside form button select textarea dialog menu footer".split())
+#: Text that no reader sees as such.
+UNSEEN = frozenset("head title script style noscript template iframe object svg math canvas audio video button select textarea".split())
+NEVER = frozenset("nav aside form dialog menu footer".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidenav footer header masthead comment comments disqus replies reply share sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay widget login signin signup search toolbar skip pagination pager".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Beside a name of NAMES these make a mark doubtful, as in "content with-sidebar" or "page no-comments"; so is that of a form, as it can hold a whole page.
+HOLDERS = frozenset("with no has content main article post entry story body page text wrapper wrap container layout site".split())
 ROOTS = frozenset("html body".split())
+#: What a line that is no content line counts against its elements, by character; and the share of the best score that decides for an article element.
+AGAINST, ENOUGH = 0.5, 0.5
 
 
 class Lines(HTMLParser):
-    """Lines of a page as (text, tags, path, innermost block tag, characters in links): path is the chain of open elements, by number."""
+    """Lines of a page as (text, tags, innermost open element, characters in links), and its elements by number, parents before children.
+
+    Where each tag and the nearest scope are open is kept beside the open elements, so an end tag costs what it closes, however deep the page is.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], str, int]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.tag: list[str] = ["html"]  # by element; the first stands for the page
+        self.parent: list[int] = [0]
+        self.mark: list[int] = [0]  # 1: doubtful
         self.open: list[int] = [0]
-        self.tag: list[str] = ["html"]  # by element number; the first stands for the page
-        self.marked: list[bool] = [False]
+        self.places: dict[str, list[int]] = {}  # tag: depths at which it is open
+        self.scopes: list[int] = [0]
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
+        self.unseen = 0  # open elements of UNSEEN
 
     def line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            inner = next((self.tag[e] for e in reversed(self.open) if self.tag[e] in BLOCK), "")
-            self.lines.append((text, self.tags, tuple(self.open), inner, self.linked))
+            self.lines.append((text, self.tags, self.open[-1], self.linked))
             self.tags = 0
         self.parts = []
         self.linked = 0
@@ -53,8 +67,8 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.line()
-            if tag not in ("br", "option", "optgroup"):
-                self._end_open({"p"} if tag not in ("body", "html") else set())
+            if tag not in ("br", "option", "optgroup", "body", "html"):
+                self._end_open({"p"})
         if tag in ENDS:
             self._end_open(ENDS[tag])
         if tag in VOID:
@@ -62,11 +76,21 @@ class Lines(HTMLParser):
         a = dict(attrs)
         names = re.split(r"[\s_-]+", f"{a.get('class') or ''} {a.get('id') or ''}".lower())
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower()
-        self.tag.append(tag)
-        mark = (tag in NEVER or (a.get("role") or "").lower() in ROLES or hidden or not NAMES.isdisjoint(names))
+        mark = 0
+        if tag not in ROOTS:
+            if tag in UNSEEN or tag in NEVER or (a.get("role") or "").lower() in ROLES or hidden:
+                mark = 1 if tag == "form" else 2
+            elif not NAMES.isdisjoint(names):
+                mark = 2 if HOLDERS.isdisjoint(names) else 1
         if mark:
             self.line()
-        self.marked.append(mark)
+        self.parent.append(self.open[-1])
+        self.tag.append(tag)
+        self.mark.append(mark)
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in SCOPE:
+            self.scopes.append(len(self.open))
+        self.unseen += tag in UNSEEN
         self.open.append(len(self.tag) - 1)
 
     def handle_startendtag(self, tag, attrs):
@@ -74,29 +98,35 @@ class Lines(HTMLParser):
         if tag not in VOID and tag in ("svg", "path", "iframe", "script"):
             self.handle_endtag(tag)
 
+    def _cut(self, at: int) -> None:
+        """Close the open elements from depth ``at`` on."""
+        for e in self.open[at:]:
+            self.places[self.tag[e]].pop()
+            self.unseen -= self.tag[e] in UNSEEN
+        while self.scopes[-1] >= at:
+            self.scopes.pop()
+        del self.open[at:]
+
     def _end_open(self, tags) -> None:
-        for at in range(len(self.open) - 1, -1, -1):
-            tag = self.tag[self.open[at]]
-            if tag in tags:
-                del self.open[at:]
-                return
-            if tag in SCOPE:
-                return
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        if at and at >= self.scopes[-1]:
+            self._cut(at)
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BLOCK:
             self.line()
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[at]] == tag:
-                if any(self.marked[e] for e in self.open[at:]):
-                    self.line()
-                del self.open[at:]
-                return
+        if self.places.get(tag):
+            at = self.places[tag][-1]
+            if any(self.mark[e] for e in self.open[at:]):
+                self.line()
+            self._cut(at)
 
     def handle_data(self, data):
+        if self.unseen:
+            return
         self.parts.append(data)
-        if any(self.tag[e] == "a" for e in self.open):
+        if self.places.get("a"):
             self.linked += len(data.strip())
 
 
@@ -107,6 +137,19 @@ def smoothed(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(ratio, r, mode="symmetric" if len(ratio) >= r else "edge"), kernel / kernel.sum(), "valid")
 
 
+def chosen(page: Lines, score: list[float], barred: list[bool]) -> int:
+    """The element whose content lines outweigh its other lines most. An article or main element with more than half of that
+    is taken instead, and the best of them where no element has content lines at all; a heading or paragraph only if nothing else is as good."""
+    most = max(score)
+    named = [e for e, t in enumerate(page.tag) if t in ("article", "main") and not barred[e] and (most <= 0 or score[e] >= ENOUGH * most)]
+    if named:
+        return max(named, key=lambda e: (score[e], -e))
+    if most <= 0:
+        return 0
+    best = [e for e in range(len(score)) if score[e] >= most]
+    return max((e for e in best if page.tag[e] != "p" and page.tag[e] not in HEADINGS), default=best[-1])
+
+
 def extract(html: str | None) -> tuple[str, int, int, str]:
     """(text, lines, content lines, region's tag) of a page."""
     page = Lines()
@@ -115,61 +158,67 @@ def extract(html: str | None) -> tuple[str, int, int, str]:
         page.feed(html[at : at + (1 << 16)])
     page.close()
     page.line()
-    lines = page.lines
+    lines, tag, parent = page.lines, page.tag, page.parent
     if not lines:
         return "", 0, 0, ""
     size = np.array([len(x[0]) for x in lines], float)
     smooth = smoothed(size / np.maximum([x[1] for x in lines], 1))
     content = smooth >= min(smooth.std(), smooth.mean())  # threshold clustering: at least one standard deviation
-    vote: dict[int, float] = {}  # by element outside marked parts: text of content lines, and a little of any line
-    whole: dict[int, float] = {}  # by element: text of content lines outside marked parts
-    covered: set[int] = set()  # articles inside marked parts, for pages that have no other
-    for i, (_, _, path, _, _) in enumerate(lines):
-        barred = [page.marked[e] and page.tag[e] not in ROOTS for e in path]
-        out = False
-        for e, bar in zip(path, barred, strict=True):
-            article = page.tag[e] in ("article", "main")
-            out = out or (bar and not article)
-            if out or (article and bar):
-                covered |= {e} if article and not bar else set()
-                continue
-            vote[e] = vote.get(e, 0) + size[i] * (1 if content[i] else 1e-3)
-            whole[e] = whole.get(e, 0) + size[i] * bool(content[i] and not any(barred))
-    best = None
-    for held in ([e for e in vote if page.tag[e] == "article"], [e for e in vote if page.tag[e] == "main"], covered):
-        if held:
-            best = max(held, key=lambda e: (vote.get(e, 0), -e))
-            break
-    if best is None and whole:  # the innermost element that holds all content lines outside marked parts
-        most = max(whole.values())
-        best = max((e for e in whole if whole[e] >= most and page.tag[e] not in HEADINGS and page.tag[e] != "p"), default=None)
-    if best is None:
-        return "", len(lines), int(content.sum()), ""
+
+    def below(values: list[float]) -> list[float]:
+        """Sums over each element and all inside it."""
+        for e in range(len(values) - 1, 0, -1):
+            values[parent[e]] += values[e]
+        return values
+
+    n = len(tag)
+    sure = [False] * n
+    for e in range(1, n):
+        sure[e] = sure[parent[e]] or page.mark[e] == 2
+    own = [0.0] * n
+    for (_, _, e, _), s, c in zip(lines, size.tolist(), content.tolist(), strict=True):
+        own[e] += s * (c and not sure[e])
+    weight = below(own)
+    outside = weight[0]  # content outside sure marks
+    # a marked part is left out, but not a doubtful one without which next to no content would be left
+    barred, inner = [False] * n, [""] * n
+    for e in range(1, n):
+        up = parent[e]
+        inner[e] = tag[e] if tag[e] in BLOCK else inner[up]
+        barred[e] = barred[up] or page.mark[e] == 2 or (page.mark[e] == 1 and outside - weight[e] >= 0.1 * outside)
+    own = [0.0] * n
+    for (_, _, e, _), s, c in zip(lines, size.tolist(), content.tolist(), strict=True):
+        if not barred[e]:
+            own[e] += s if c else -AGAINST * s
+    score = below(own)
+    region = chosen(page, score, barred)
+    within, header = [False] * n, [False] * n
+    within[region] = True
+    for e in range(region + 1, n):
+        within[e] = within[parent[e]]
+        header[e] = within[e] and (header[parent[e]] or tag[e] == "header")
+    link = [within[x[2]] and x[3] >= 0.9 * len(x[0]) for x in lines]
+    named = tag[region] in ("article", "main")
     kept = []
-    link = [best in x[2] and x[4] >= 0.9 * len(x[0]) for x in lines]
-    sure = page.tag[best] in ("article", "main")
-    for i, (text, _, path, inner, _) in enumerate(lines):
-        if best not in path:
+    for i, (text, _, e, _) in enumerate(lines):
+        if not within[e] or barred[e] or (header[e] and inner[e] not in HEADINGS):
             continue
-        if not sure and link[i] and (link[i - 1 : i] == [True] or link[i + 1 : i + 2] == [True]):
+        if not named and link[i] and (link[i - 1 : i] == [True] or link[i + 1 : i + 2] == [True]):
             continue  # lists of nothing but links
-        below = path[path.index(best) + 1 :]
-        if any(page.marked[e] and not (page.tag[e] == "header" and inner in HEADINGS) for e in below):
-            continue
-        if any(page.tag[e] == "header" for e in below) and inner not in HEADINGS:
-            continue
         kept.append(text)
-    return " ".join(kept), len(lines), int(content.sum()), page.tag[best]
+    return " ".join(kept), len(lines), int(content.sum()), tag[region]
 
 
 def main_text(html_col: str = "html"):
     """Column of RESULT for a column of whole pages, in Arrow batches.
 
     Lines are runs of text between block tags. Their text-to-tag ratios are smoothed and those above
-    the threshold are content; content lines vote for the element that is the article
-    (an article or main element where the page has one), and every line of that element outside marked
-    parts (menus, adverts, forms, comments and the like) is returned in page order.
-    Null, empty or textless html: empty text. Each page stands alone; repeated rows give equal results.
+    the threshold are content. Content lines count for the elements around them and other lines against them; the best element
+    is the region (an article or main element settles near cases), and every line of it outside marked
+    parts (menus, adverts, forms, comments and the like) is returned in page order. A part whose mark is doubtful
+    (a form, or a class like content-with-sidebar) stays if next to no content would be left without it.
+    Null, empty or textless html: empty text. Very long or deep pages: the work follows their length. Empty table: no rows. Each page stands
+    alone; repeated rows give equal results.
     """
 
     @F.arrow_udf(RESULT)
@@ -183,5 +232,5 @@ def main_text(html_col: str = "html"):
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "main") -> DataFrame:
-    """``pages`` with the struct column ``out_col``; rows and other columns stay as they are."""
-    return pages.withColumn(out_col, main_text(html_col))
+    """``pages`` with the struct column ``out_col`` (see ``main_text``); rows and other columns stay as they are, one of that name as ``out_col``_1."""
+    return making_room(pages, out_col).withColumn(out_col, main_text(html_col))
