@@ -1,11 +1,11 @@
-"""Removal of later copies of runs of lines: by shortest windows that count as runs, or by winnowed fingerprints, joined places and extension both ways."""
+"""Removal of later copies of runs of lines: winnowed line hashes, joined places, extension both ways."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import making_room, unused, written
 
 
 def _key(id_col: str, text_col: str) -> list:
@@ -21,34 +21,41 @@ def _body(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _without(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str, out_col: str) -> DataFrame:
     """``docs`` with the struct ``out_col``, without the lines of ``runs`` (k, runs: array of first and last line)."""
-    rows = docs.withColumn("_k", F.when(F.col(text_col).isNotNull(), F.struct(*_key(id_col, text_col))))
-    rows = rows.join(runs.select(F.col("k").alias("_k"), F.col("runs").alias("_runs")), "_k", "left")
-    keep = f"filter(transform(split(`{text_col}`, '\\n', -1), (x, i) -> struct(x AS x, i AS i)), s -> NOT exists(coalesce(_runs, array()), r -> s.i BETWEEN r.s AND r.e))"
-    rows = rows.withColumn("_kept", F.expr(keep))
-    n_lines = F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(n_lines)
+    key, gone, kept = (unused(docs, n) for n in ("_k", "_runs", "_kept"))
+    rows = docs.withColumn(key, F.when(F.col(text_col).isNotNull(), F.struct(*_key(id_col, text_col))))
+    rows = rows.join(runs.select(F.col("k").alias(key), F.col("runs").alias(gone)), key, "left")
+    keep = f"filter(transform(split(`{text_col}`, '\\n', -1), (x, i) -> struct(x AS x, i AS i)), s -> NOT exists(coalesce(`{gone}`, array()), r -> s.i BETWEEN r.s AND r.e))"
+    rows = rows.withColumn(kept, F.expr(keep))
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0)))
     result = F.struct(
         n_lines.cast("long").alias("n_lines"),
-        F.when(F.col(text_col).isNull(), 0).otherwise(n_lines - F.size("_kept")).cast("long").alias("n_removed"),
-        F.coalesce(F.size("_runs"), F.lit(0)).cast("long").alias("n_runs"),
-        F.array_join(F.expr("transform(_kept, s -> s.x)"), "\n").alias("kept"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(n_lines - F.size(kept)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_runs"),
+        F.array_join(F.expr(f"transform(`{kept}`, s -> s.x)"), "\n").alias("kept"),
     )
-    return rows.withColumn(out_col, result).drop("_k", "_runs", "_kept")
+    rows = rows.withColumn(unused(rows, "_result"), result)
+    result = rows.columns[-1]
+    room = making_room(docs, out_col).columns
+    return rows.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, room, strict=True)], F.col(result).alias(out_col))
 
 
 def remove_all_repeated_lines(docs: DataFrame, min_words: int = 20, long_line: int = 50, id_col: str = "doc_id", text_col: str = "text", out_col: str = "lines") -> DataFrame:
     """``docs`` with the struct ``out_col``: n_lines, n_removed, n_runs and kept, the text without any later repeated run of lines.
 
     A run of two lines or more with ``min_words`` words, or a line of ``long_line`` words, that stands at an earlier place is
-    removed, whichever place that is. Every line of such a run is in a shortest window that counts as a run itself: the one that starts or ends
-    there or spans it, cut as soon as it has ``min_words`` words and two lines. Where a window is cut depends on
-    its lines alone, so equal windows are cut alike everywhere and the first place in the table (least id) decides for all others;
-    nothing is extended or compared further. n_runs counts stretches of removed lines.
+    removed, whichever place that is. Every line of such a run is in a window: the shortest run that starts or ends there or spans it, cut as soon as it
+    has ``min_words`` words and two lines. Where a window is cut depends on its lines alone, so equal windows are cut alike everywhere.
 
-    Only hashes and places of windows are shuffled, with partial aggregates for the first place; both sides of their join are
+    Winnowing: of each window the least line hash (the last of equals) is selected. As the windows are the shortest runs that count,
+    every repeated run holds a selected place, with the same hash wherever it stands; a hash selected in one place only rules all windows around it
+    out. The others are joined by their lines with the window's first place in the table (least id), which is enough, as whatever
+    window has any earlier place is removed. Matches extend both ways through all windows that overlap or touch; n_runs counts these stretches.
+
+    Only hashes and places are shuffled, with partial aggregates for selected places and the first place; both sides of each join are
     exchanges, so a window that stands in many documents can be split. Windows of wordless lines are as long as the stretch of such lines.
-    Null text: no lines, kept stays null. Empty text: one empty line. Null ids come last in order.
-    Rows equal in id and text are one document and share its result. Empty table: no rows. All other columns stay.
+    Null text: no lines, kept stays null. Empty text: one empty line. Very long texts: work by lines, each in few windows. Null ids come last in order.
+    Rows equal in id and text are one document and share its result. Empty table: no rows. All other columns stay, one named like
+    ``out_col`` as ``out_col``_1.
     """
     least, most = min(1, max(0, min_words)), max(1, min_words)
     body = _body(docs, id_col, text_col).select("k", "h", "w", F.expr(f"filter(sequence(0, size(w) - 1), i -> w[i] >= {least})").alias("v"), F.expr(f"filter(w, x -> x >= {least})").alias("wv"))
@@ -63,9 +70,14 @@ def remove_all_repeated_lines(docs: DataFrame, min_words: int = 20, long_line: i
     ends = f"transform(v, (y, t) -> IF(since[t] IS NULL, array(), transform(sequence(y, IF(t + 1 = size(v), size(h), v[t + 1]) - 1), i -> IF(least(since[t], i - 1) >= 0, {place.format('least(since[t], i - 1)', 'i')}, NULL))))"
     alone = f"transform(filter(v, i -> w[i] >= {max(min_words, long_line)}), i -> {place.format('i', 'i')})"
     windows = cut.select("k", "h", F.expr(f"filter(array_distinct(concat(flatten({starts}), flatten({ends}), {alone})), x -> x IS NOT NULL)").alias("x"))
-    lines = "slice(h, CAST(shiftright(x, 31) AS INT) + 1, CAST((x & 2147483647) - shiftright(x, 31) AS INT) + 1)"
-    places = windows.select("k", F.explode(F.expr(f"transform(x, x -> struct(xxhash64({lines}) AS f, hash({lines}) AS g, CAST((x & 2147483647) - shiftright(x, 31) AS INT) + 1 AS m, CAST(shiftright(x, 31) AS INT) AS s))")).alias("p"))
+    windows = windows.select("k", "h", F.expr("transform(x, x -> struct(CAST(shiftright(x, 31) AS INT) AS s, CAST((x & 2147483647) - shiftright(x, 31) AS INT) + 1 AS m)) AS x"))
+    lines = "slice(h, x.s + 1, x.m)"
+    places = windows.select("k", F.explode(F.expr(f"transform(x, x -> struct(array_min({lines}) AS c, xxhash64({lines}) AS f, hash({lines}) AS g, x.m AS m, x.s AS s, x.s + x.m - array_position(reverse({lines}), array_min({lines})) AS p))")).alias("p"))
     places = written(places.select("k", "p.*"))
+    # a hash selected at two places: least and greatest name of a place differ
+    name = F.xxhash64("k", "p")
+    again = places.groupBy("c").agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low <> high").select("c")
+    places = written(places.join(again, "c", "left_semi").select("k", "f", "g", "m", "s"))
     first = written(places.groupBy("f", "g", "m").agg(F.min(F.struct("k", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").select("f", "g", "m", "first"))
     later = places.join(first, ["f", "g", "m"]).where("k <> first.k OR s <> first.s").select("k", "s", (F.col("s") + F.col("m") - 1).alias("e"))
 

@@ -78,6 +78,9 @@ def test_edges(spark):
     twice = remove_repeated_lines(df.where("doc_id = 103").union(df.where("doc_id = 103")).union(df.where("doc_id = 102")).union(spark.createDataFrame([(None, long_line, 1)], df.schema))).collect()
     assert sorted((str(r.doc_id), r.lines.n_removed) for r in twice) == [("102", 0), ("103", 1), ("103", 1), ("None", 1)]
     assert remove_repeated_lines(df.limit(0)).count() == 0
+    clash = df.where("doc_id = 103").selectExpr("doc_id", "text", "'a' AS _k", "'b' AS _runs", "'c' AS _kept", "'d' AS lines")
+    row = remove_all_repeated_lines(clash).first()
+    assert (row._k, row._runs, row._kept, row.lines_1, row.lines.n_removed) == ("a", "b", "c", "d", 0)
 
 
 def whole(docs, min_words=20, long_line=50):
@@ -151,6 +154,15 @@ def test_whole_table_and_stage(spark):
     assert {r.doc_id: r.text for r in kept.collect()} == {k: v[3] for k, v in want.items() if COUNT.search(v[3])}
 
 
+def test_run_whose_fingerprint_stands_elsewhere_too(spark):
+    """Two lines of a repeated run of three stand together in a still earlier document, without the third."""
+    line = lambda x: " ".join(f"{x}{i}" for i in range(9))
+    run = [line("a"), line("b"), line("c")]
+    docs = [(1, "\n".join([*run[:2], line("x")])), (2, "\n".join([line("y"), *run, line("z")])), (3, "\n".join([line("v"), *run, line("w")]))]
+    got = removed(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got == whole(docs) and [got[i][1] for i in (1, 2, 3)] == [0, 0, 3]
+
+
 def test_every_run_of_two_lines(spark):
     """Such a run has one pair, which winnowing selects only if it is the smaller one on both sides."""
     word = iter(range(1_000_000))
