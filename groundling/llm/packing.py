@@ -21,6 +21,8 @@ from ._hash import SPACE, TABLES, BASES, _inverse, buffers, chunks, mix, powers
 from ._spark import written
 
 END_ID = 1
+#: Pieces of one length that are ranked in one task.
+RANK_ROWS = 500_000
 CACHE_WORDS = 1_500_000
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
@@ -319,28 +321,30 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 24, large: floa
     return runs, n_seq
 
 
-def pack_sequences(docs: DataFrame, capacity: int = 4096, vocabulary: str | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), salts: int = 16) -> DataFrame:
+def pack_sequences(docs: DataFrame, capacity: int = 4096, vocabulary: str | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), rank_rows: int = RANK_ROWS) -> DataFrame:
     """One row per piece: ``keep``, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and END_ID; only longer ones are cut, into pieces of
-    ``capacity``. Pieces of one length are ranked in ``salts`` parts (a length may be hot), and the
-    runs of ``plan`` say where the pieces of a length with given ranks go.
-    Null text: as empty, so END_ID alone. Repeated rows: documents of their own. Empty table: no rows.
+    ``capacity``. Pieces of one length are ranked in parts of about ``rank_rows``, as many as the histogram asks for, so that
+    a hot length (whole pieces are one) is no larger a task on more data; the runs of ``plan`` say where the pieces of a
+    length with given ranks go. Null text: as empty, so END_ID alone. Very long texts: many pieces. Repeated rows and null ids: documents of their
+    own. Empty table: no rows. Other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     names = [f"_k{i}" for i in range(len(keep))]
     pieces = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], token_pieces(text_col, capacity, vocabulary or vocabulary_path()).alias("_p"))
     pieces = pieces.select(*names, F.monotonically_increasing_id().alias("_row"), F.explode_outer("_p").alias("_p")).select(*names, "_row", "_p.*")  # outer: a filter on the pieces would tokenise twice
-    pieces = written(pieces.withColumn("_salt", F.pmod(F.xxhash64("_row", "piece"), F.lit(salts)).cast("int")))
-    parts = pieces.groupBy("length", "_salt").count()
-    by_length = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = written(parts.select("length", "_salt", "count", F.coalesce(F.sum("count").over(by_length), F.lit(0)).alias("_before")))
-    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
+    pieces = written(pieces)
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     runs, _ = plan(histogram, capacity)
+    salts = spark.createDataFrame([(k, -(-n // rank_rows)) for k, n in histogram.items()], "length long, _salts long")  # at most capacity rows
+    pieces = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("_row", "piece"), F.col("_salts")))
+    by_length = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = pieces.groupBy("length", "_salt").count().select("length", "_salt", F.coalesce(F.sum("count").over(by_length), F.lit(0)).alias("_before"))
     schema = "length long, _rank0 long, _many long, _seq long, _each long, _offset long"
     table = spark.createDataFrame(runs, schema)
     place = Window.partitionBy("length", "_salt").orderBy("_row", "piece")
-    ranked = pieces.withColumn("_n", F.row_number().over(place) - 1).join(F.broadcast(parts.select("length", "_salt", "_before")), ["length", "_salt"])  # capacity x salts rows at most
+    ranked = pieces.withColumn("_n", F.row_number().over(place) - 1).join(parts, ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_n"))
     placed = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("_rank") >= F.col("_rank0")) & (F.col("_rank") < F.col("_rank0") + F.col("_many")))
     step = F.col("_rank") - F.col("_rank0")
