@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hash import Words, buffers, chunks
+from ._spark import making_room, written
 
 SHINGLE = 5
 K1, B = 1.2, 0.75
@@ -32,26 +35,51 @@ def answer_at(text: str) -> int:
     return cut
 
 
+@dataclass
+class Corpus:
+    """Statistics of all items together, so that scores do not depend on how many indexes hold them."""
+
+    n: int
+    mean: float  # words of an item
+    most: int
+    terms: np.ndarray  # hashes, sorted; of the items of one index at least
+    df: np.ndarray
+
+
+def item_words(texts: list[str]) -> tuple[Words, np.ndarray]:
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    return Words(np.frombuffer(b"".join(raw), np.uint8), off, hashes=1, lower=True, between=_BETWEEN), off
+
+
+def corpus_of(texts: list[str]) -> Corpus:
+    """Statistics of items that are all at hand."""
+    w, _ = item_words(texts)
+    words = np.bincount(w.doc, minlength=len(texts))
+    terms, term = np.unique(w.hashes[0], return_inverse=True)
+    df = np.bincount(np.unique(term * max(len(texts), 1) + w.doc) // max(len(texts), 1), minlength=len(terms))
+    return Corpus(len(texts), float(words.mean()) if len(texts) else 1.0, int(words.max(initial=0)), terms, df)
+
+
 class Index:
     """Postings of test items in blocks of items, with weights as shares of the item's own score.
 
     term -> (item, weight) and term -> (block, largest weight in it), both in compressed rows.
     """
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], corpus: Corpus | None = None):
+        corpus = corpus or corpus_of([t for _, t in items])
         self.ids = [i for i, _ in items]
-        raw = [t.encode() for _, t in items]
-        off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        w = Words(np.frombuffer(b"".join(raw), np.uint8), off, hashes=1, lower=True, between=_BETWEEN)
+        w, off = item_words([t for _, t in items])
         n = len(items)
         self.words = np.bincount(w.doc, minlength=n)
-        self.stride = int(max(32, self.words.max(initial=0)))
+        self.stride = max(32, corpus.most)
         self.terms, term = np.unique(w.hashes[0], return_inverse=True)
         pair, tf = np.unique(term * max(n, 1) + w.doc, return_counts=True)
         term, item = pair // max(n, 1), pair % max(n, 1)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        length = self.words / max(self.words.mean() if n else 1, 1e-9)
+        df = corpus.df[np.searchsorted(corpus.terms, self.terms)] if len(self.terms) else np.zeros(0)
+        idf = np.log1p((corpus.n - df + 0.5) / (df + 0.5))
+        length = self.words / max(corpus.mean, 1e-9)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item]))
         whole = np.bincount(item, weights=weight, minlength=n)
         self.item, self.weight = item, weight / whole[item]
@@ -148,11 +176,9 @@ def search(index: Index, data: np.ndarray, off: np.ndarray, threshold: float, mo
     return [(d, item, *v) for (d, item), v in sorted(found.items())]
 
 
-def leaks(question: float, answer: float, both: float = 0.5, alone: float = 0.6) -> bool:
-    """Whether overlaps make a leak: question and answer together, or a question nearly whole. A missing part (-1) asks nothing."""
-    if question < 0:
-        return answer >= both
-    return question >= alone or (question >= both and (answer < 0 or answer >= both))
+def leaks(question: float, answer: float, both: float = 0.5) -> bool:
+    """Whether overlaps make a leak: question and answer together. An item without one of them (-1) asks for the other."""
+    return max(question, answer) >= 0 and all(x < 0 or x >= both for x in (question, answer))
 
 
 def leaked_items(index, threshold: float = 0.4, text_col: str = "text"):
@@ -183,19 +209,53 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, te
     Every passage of every document is a BM25 query against an inverted index of the items; scores are shares of the score that an
     item has against itself, and all items above ``threshold`` are retrieved, skipping blocks of items whose
     largest weights cannot reach it. A retrieved item is verified by five-word shingles: half of
-    the question's and half of the answer's, or three fifths of the question's, have to be in the passage.
+    the question's and half of the answer's have to be in the passage.
 
     The index goes to every executor, so a benchmark of more than ``index_bytes`` is dealt into that many indexes by item,
-    and the documents pass each. Null or empty text: no items. Items without words: never found. Null item ids: found, as null. Repeated rows: as they
-    come. Empty tables: nothing found. All other columns stay.
+    and the documents pass one after the other, written in between; document frequencies, lengths and passages are those of all items, so the result is the same for any
+    number of indexes. Items come in order of id (null first), score and overlaps.
+
+    Null or empty text: no items. Very long texts: passage by passage. Items without words: never found. Null item ids: found, as null. Repeated
+    rows: as they come. Empty tables: nothing found. All other columns stay, one named like ``out_col`` as ``out_col``_1.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("t IS NOT NULL AND t RLIKE '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]'")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = max(1, -(-size // index_bytes))
-    found = []
+    docs = making_room(docs, out_col)
+    for i, (part, corpus) in enumerate(_dealt(items, shards)):
+        index = spark.sparkContext.broadcast(Index(part, corpus))
+        hits = leaked_items(index, threshold, text_col)
+        docs = docs.withColumn(out_col, F.array_sort(F.concat(out_col, hits) if i else hits))
+        if shards > 1:  # one index at a time is held
+            docs = written(docs)
+            index.destroy()
+    return docs
+
+
+def _dealt(items: DataFrame, shards: int) -> Iterator[tuple[list[tuple[int | None, str]], Corpus | None]]:
+    """(items, statistics of all items) of each shard; one shard at a time is on the driver, and of the statistics its own terms."""
+    read = lambda df: sorted(((r["i"], r["t"]) for r in df.collect()), key=lambda x: (x[0] is not None, x[0], x[1]))
+    if shards == 1:
+        yield read(items), None
+        return
+
+    @F.arrow_udf("struct<words:bigint,terms:array<bigint>>")
+    def counted(texts: pa.Array) -> pa.Array:
+        words, lists = [], []
+        for t in texts.to_pylist():
+            w, _ = item_words([t])
+            words.append(len(w.doc))
+            lists.append(np.unique(w.hashes[0]).view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["words", "terms"])
+
+    rows = written(items.select("i", "t", F.pmod(F.xxhash64("i", "t"), F.lit(shards)).alias("s"), counted("t").alias("c")).select("i", "t", "s", "c.*"))
+    n, mean, most = rows.agg(F.count("*"), F.avg("words"), F.max("words")).first()
+    term = rows.select("s", F.explode("terms").alias("term"))
+    df = term.groupBy("term").agg(F.count("*").alias("df"))
+    df = written(term.distinct().join(df, "term"))
     for s in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == s)
-        held = sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1]))  # index_bytes at most, checked above
-        found.append(leaked_items(spark.sparkContext.broadcast(Index(held)), threshold, text_col))
-    return docs.withColumn(out_col, found[0] if shards == 1 else F.concat(*found))
+        own = df.where(F.col("s") == s).select("term", "df").toPandas()
+        terms, times = own["term"].to_numpy().view(np.uint64), own["df"].to_numpy()
+        order = np.argsort(terms)
+        yield read(rows.where(F.col("s") == s)), Corpus(n, mean, most, terms[order], times[order])

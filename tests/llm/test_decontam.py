@@ -69,12 +69,29 @@ def test_bounds_lose_no_item():
     assert {(d, i) for d, i, _, q, a in got if leaks(q, a)} == brute(list(enumerate(docs)), items)
 
 
+def test_any_number_of_indexes_finds_the_same(spark):
+    """Scores too: frequencies, lengths and passages are those of all items."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{d}/benchmark.parquet")
+    size = items.selectExpr("sum(octet_length(text)) s").first().s
+    flat = lambda n: sorted((r.doc_id, x.item_id, x.question_overlap, x.answer_overlap, round(x.score, 9)) for r in find_leaks(docs, items, threshold=0.2, index_bytes=n).collect() for x in r.leaks)
+    one = flat(1 << 30)
+    assert one and one == flat(size // 2 + 1) == flat(size // 4 + 1)
+
+
+def test_question_alone_is_no_leak():
+    assert leaks(0.5, 0.5) and leaks(1.0, -1) and leaks(-1, 0.5) and not leaks(1.0, 0.4) and not leaks(0.4, 1.0) and not leaks(-1, -1)
+
+
 def test_edges(spark):
     item = "What is the colour of the sky on a clear summer day at noon? It is blue."
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (None, "one two three"), (4, "?! --")], "item_id long, text string")
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "x " * 50_000 + item.upper().replace(" ", "\n"), 0), (3, "clean text of no interest", 0), (5, "zero one two three four", 0), (6, item[:58], 0)], "doc_id long, text string, score int")
     for size in (1 << 20, 40):
-        rows = find_leaks(docs, bench, index_bytes=size).collect()
-        assert [sorted((x.item_id or -1) for x in r.leaks) for r in rows] == [[], [], [1, 1], [], [-1], [1, 1]]
+        rows = sorted(find_leaks(docs, bench, index_bytes=size).collect(), key=lambda r: (r.doc_id, -len(r.text or "")))
+        assert [sorted((x.item_id or -1) for x in r.leaks) for r in rows] == [[], [], [1, 1], [], [-1], []]
+    clash = find_leaks(docs.withColumnRenamed("score", "Leaks"), bench).first()
+    assert (clash.leaks_1, clash.leaks) == (0, [])
     assert find_leaks(docs.limit(0), bench).count() == 0
     assert [r.leaks for r in find_leaks(docs, bench.limit(0)).collect()] == [[]] * 6
