@@ -13,7 +13,7 @@ from .html_text import main_text
 from .jaccard_join import near_duplicates
 from .line_dedup import remove_all_repeated_lines
 from .packing import pack_sequences
-from .secrets import scan_secrets, span_text
+from .secrets import link_text, scan_secrets, span_text
 from .sharding import shard_by_bytes
 from .substring_dedup import remove_seen_windows
 from .suffix_dedup import remove_repeated_bytes
@@ -50,7 +50,7 @@ def op5_seen_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
-        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("found").alias("spans"), "n_linked"
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("found").alias("spans"), "n_linked", link_text("links").alias("links")
     )
 
 
