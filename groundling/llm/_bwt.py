@@ -37,14 +37,14 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         step *= 2
 
 
-def long_prefixes(texts: list[bytes], least: int) -> list[np.ndarray]:
+def long_prefixes(texts: list[bytes], least: int, times: list[int] | None = None) -> list[np.ndarray]:
     """For every text the sorted starts of strings of ``least`` bytes that occur again in any of ``texts``.
 
     The lengths of common prefixes of neighbouring suffixes are found by increasing value: a
     boundary of value l, extended backward by each character before it, gives the
     boundaries of value l + 1. Expansion stops at ``least``; neighbours without a
     boundary by then share that much. While boundaries are many, all are extended in one sweep; later only their own
-    runs of the transform are visited. ``texts`` are distinct.
+    runs of the transform are visited. ``texts`` are distinct; one of ``times`` 2 is there twice: its suffixes, sorted once, have two rows each in the transform.
     """
     size = np.array([len(t) for t in texts], np.int64)
     bound = np.concatenate([[0], np.cumsum(size + 1)])
@@ -54,15 +54,21 @@ def long_prefixes(texts: list[bytes], least: int) -> list[np.ndarray]:
     inside[bound[1:] - 1] = False
     symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1
     sa, rank = suffix_order(symbols)
+    copies = np.repeat(np.ones(len(texts), np.int64) if times is None else np.array(times, np.int64), size + 1)[sa]
+    row = np.cumsum(copies) - copies  # the first row of each
+    sa = np.repeat(sa, copies)
+    n = len(sa)
+    copy = np.arange(n) - np.repeat(row, copies)
     bwt = symbols[sa - 1]
-    bwt[rank[0]] = 300  # before the first suffix stands nothing
+    bwt[sa == 0] = 300  # before the first suffix stands nothing
+    of = rank[sa - 1]
+    target = (row[of] + np.minimum(copy, copies[of] - 1)).astype(np.int32)  # where extending a place backward leads; from one text into the one before only beyond its end
+    target[sa == 0] = 0
     order = np.argsort(bwt, kind="stable").astype(np.int32)  # by character, then place
     same = np.zeros(n, dtype=bool)
     same[1:] = bwt[order][1:] == bwt[order][:-1]
     before = np.full(n, -1, np.int32)  # place of the same character's previous occurrence
     before[order[1:][same[1:]]] = order[:-1][same[1:]]
-    target = rank[sa - 1]  # where extending a place backward leads
-    target[rank[0]] = 0
     target_in_order = target[order]
     run = np.concatenate([[0], np.flatnonzero(bwt[1:] != bwt[:-1]) + 1]).astype(np.int32)
     run_of = np.repeat(np.arange(len(run), dtype=np.int32), np.diff(np.append(run, n)))
@@ -96,7 +102,7 @@ def long_prefixes(texts: list[bytes], least: int) -> list[np.ndarray]:
         if not len(last):
             break
     joined = np.flatnonzero(~found)
-    repeated = np.zeros(n, dtype=bool)
+    repeated = np.zeros(len(symbols), dtype=bool)
     repeated[sa[joined]] = True
     repeated[sa[joined - 1]] = True
     return [np.flatnonzero(repeated[bound[i] : max(bound[i], bound[i] + size[i] - least + 1)]) for i in range(len(texts))]

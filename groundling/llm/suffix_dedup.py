@@ -144,30 +144,25 @@ def _expand(sent: list[tuple[int, bytes]], block: int, least: int) -> pa.Table:
             times[i] += 1 + t
             mine.append(i)
         asked.append((pid, mine))
-    starts: list[np.ndarray | None] = [None] * len(texts)
+    starts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     members: dict[int, list[int]] = {}
     for i, k in enumerate(anchor):
         members.setdefault(k, []).append(i)
     batch: list[int] = []
     held = 0
     for group in [*members.values(), None]:
-        if group is None or held + sum(len(texts[i]) for i in group) > TRANSFORM_BYTES:
-            for i, found in zip(batch, long_prefixes([texts[i] for i in batch], least) if batch else [], strict=True):
+        more = group and sum(len(texts[i]) for i in group)
+        if group is None or held + more > TRANSFORM_BYTES:
+            for i, found in zip(batch, long_prefixes([texts[i] for i in batch], least, [min(times[i], 2) for i in batch]) if batch else [], strict=True):
                 starts[i] = found
             batch, held = [], 0
-        if group and len(group) > 1:
+        if group and (len(group) > 1 or times[group[0]] > 1):
             batch += group
-            held += sum(len(texts[i]) for i in group)
+            held += more
     runs = []
-    for i, text in enumerate(texts):
-        if times[i] > 1:
-            runs.append([(0, len(text) - least + 1)])
-        elif starts[i] is None or not len(starts[i]):
-            runs.append([])
-        else:
-            s = starts[i]
-            cut = np.flatnonzero(np.diff(s) > 1) + 1
-            runs.append([(int(x[0]), len(x)) for x in np.split(s, cut)])
+    for s in starts:
+        cut = np.flatnonzero(np.diff(s) > 1) + 1
+        runs.append([(int(x[0]), len(x)) for x in np.split(s, cut) if len(x)])
     out = []
     for pid, mine in asked:
         flat = [r for i in mine for r in runs[i]]

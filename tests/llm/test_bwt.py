@@ -30,3 +30,14 @@ def test_long_overlaps():
     texts |= {b"q" * 350, b"ab" * 170, bytes(rng.randrange(256) for _ in range(3000))}
     texts = sorted(texts)
     assert [x.tolist() for x in long_prefixes(texts, 200)] == brute(texts, 200)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.binary(max_size=40).map(lambda b: bytes(x % 3 for x in b)), st.integers(1, 2)), min_size=1, max_size=8, unique_by=lambda t: t[0]), st.integers(1, 8))
+def test_texts_that_stand_twice(texts, least):
+    """As if they were listed twice."""
+    both = [t for t, n in texts for _ in range(n)]
+    starts = [t[i : i + least] for t in both for i in range(len(t) - least + 1)]
+    got = long_prefixes([t for t, _ in texts], least, [n for _, n in texts])
+    for (t, _), found in zip(texts, got, strict=True):
+        assert found.tolist() == [i for i in range(len(t) - least + 1) if starts.count(t[i : i + least]) > 1]
