@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Use class of building types.
+#: Use class of building types; of any other type it is unknown.
 USE_CLASS = {
-    "residential": ("house", "residential", "apartments", "detached", "terrace", "dormitory", "bungalow", "cabin", "farm", "static_caravan", "semidetached_house"),
-    "commercial": ("retail", "commercial", "office", "hotel", "supermarket", "kiosk", "restaurant", "bank"),
-    "industrial": ("industrial", "warehouse", "factory", "manufacture", "storage_tank"),
-    "civic": ("school", "hospital", "church", "public", "government", "university", "college", "civic", "fire_station", "library"),
-    "agricultural": ("barn", "farm_auxiliary", "greenhouse", "silo", "stable", "cowshed"),
-}
+    "residential": ("house", "residential", "detached", "terrace", "apartments"),
+    "commercial": ("commercial", "retail", "office", "warehouse", "hotel"),
+    "industrial/institutional": ("industrial", "school", "church", "hospital", "public"),
+}
+#: Storeys that a height in metres stands for, up to 6, up to 15 and beyond.
+HEIGHT_TIERS = ("unknown", "1-2", "3-5", "6+")
 #: Seconds lost at intersections of kinds 1 to 4.
 DELAYS = {1: 20, 2: 4, 3: 3, 4: 2}
 #: Metres a second by profile.
@@ -34,11 +34,14 @@ def oneway(text: Column) -> Column:
 
 
 def lanes(text: Column) -> Column:
-    return F.split(text, ";")[0].try_cast("int")
+    """A whole number, 255 at most; anything else gives none."""
+    number = F.trim(text).try_cast("int")
+    return F.when(number > 255, 255).otherwise(number)
 
 
 def bridge_tunnel(bridge: Column, tunnel: Column) -> Column:
-    return F.when(bridge.isNotNull() & (bridge != "no"), "bridge").when(tunnel.isNotNull() & (tunnel != "no"), "tunnel")
+    """A tunnel comes before a bridge; only these values name one."""
+    return F.when(tunnel.isin("yes", "building_passage"), "tunnel").when(bridge.isin("yes", "viaduct"), "bridge")
 
 
 def height(text: Column) -> Column:
@@ -46,7 +49,8 @@ def height(text: Column) -> Column:
 
 
 def height_tier(metres: Column) -> Column:
-    return F.when(metres.isNull(), "unknown").when(metres <= 6, "low").when(metres <= 15, "mid").otherwise("high")
+    none, low, mid, high = HEIGHT_TIERS
+    return F.when(metres.isNull() | (metres <= 0), none).when(metres <= 6, low).when(metres <= 15, mid).otherwise(high)
 
 
 def use_class(building_type: Column) -> Column:
@@ -56,16 +60,22 @@ def use_class(building_type: Column) -> Column:
     return out.otherwise("unknown")
 
 
-def water_type(natural: Column, water: Column, waterway: Column, landuse: Column) -> Column:
-    """First rule that holds; a lake is named as such or is water of no further kind."""
-    return (
-        F.when((water == "lake") | ((natural == "water") & (F.coalesce(water, F.lit("")) == "")), "lake")
-        .when(water.isin("pond", "reservoir", "river", "canal", "lagoon", "basin"), water)
-        .when(landuse.isin("reservoir", "basin"), landuse)
-        .when(waterway.isin("river", "stream", "canal", "drain", "ditch"), waterway)
-        .when(natural.isin("wetland", "bay", "spring", "coastline"), natural)
-        .otherwise("water")
-    )
+#: Fixed values: (tag, values that it may have, water type), the first that holds decides.
+WATER_RULES = (
+    ("water", ("reservoir",), "reservoir"), ("water", ("pond",), "pond"), ("water", ("river",), "river"), ("waterway", ("river", "riverbank"), "river"),
+    ("waterway", ("stream",), "stream"), ("waterway", ("creek",), "creek"), ("waterway", ("canal", "ditch"), "canal"), ("waterway", ("drain",), "drain"),
+    ("water", ("bay",), "bay"), ("natural", ("coastline",), "ocean"), ("natural", ("wetland",), "wetland"), ("water", ("wetland",), "wetland"),
+    ("water", ("marsh",), "marsh"), ("water", ("swamp",), "swamp"), ("water", ("estuary",), "estuary"),
+)
+
+
+def water_type(natural: Column, water: Column, waterway: Column) -> Column:
+    """First rule that holds: a lake is named as such or is water of no further kind; what no rule knows is a stream if it is a waterway, else a lake."""
+    tags = {"natural": natural, "water": water, "waterway": waterway}
+    out = F.when((water == "lake") | ((natural == "water") & (F.coalesce(water, F.lit("")) == "")), "lake")
+    for tag, values, name in WATER_RULES:
+        out = out.when(tags[tag].isin(*values), name)
+    return out.when(F.coalesce(waterway, F.lit("")) != "", "stream").otherwise("lake")
 
 
 def place_kind(tag: Column) -> Column:

@@ -24,6 +24,11 @@ def micro(deg: Column) -> Column:
     return F.rint(deg * F.lit(float(MICRO))).cast("int")
 
 
+def turned(d: Column) -> Column:
+    """A difference of longitudes the short way round; those below half a turn stay as they are."""
+    return F.when(F.abs(d) <= 180, d).otherwise(d - F.signum(d) * 360.0)
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle metres."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
@@ -64,9 +69,9 @@ def to_line(lat: Column, lon: Column, coords: Column, closed: bool = False) -> C
 
     def offsets(s: Column) -> Column:
         a, b, mlon = s["a"], s["b"], metres_per_lon(lat)
-        wx, wy = b["lon"] - a["lon"], b["lat"] - a["lat"]
+        wx, wy = turned(b["lon"] - a["lon"]), b["lat"] - a["lat"]
         return F.struct(
-            s["i"].alias("i"), a.alias("a"), wx.alias("wx"), wy.alias("wy"), ((a["lon"] - lon) * mlon).alias("ax"), ((a["lat"] - lat) * METRES_PER_DEGREE).alias("ay"), (wx * mlon).alias("dx"), (wy * METRES_PER_DEGREE).alias("dy"),
+            s["i"].alias("i"), a.alias("a"), wx.alias("wx"), wy.alias("wy"), (turned(a["lon"] - lon) * mlon).alias("ax"), ((a["lat"] - lat) * METRES_PER_DEGREE).alias("ay"), (wx * mlon).alias("dx"), (wy * METRES_PER_DEGREE).alias("dy"),
         )
 
     def along(s: Column) -> Column:
@@ -117,8 +122,9 @@ def overlaps(b: Column, min_lat: float, min_lon: float, max_lat: float, max_lon:
 def reaches(b: Column, lat: Column, lon: Column, radius_m: float) -> Column:
     """Whether a box, widened by the radius, holds the point: cheap, and true for every box within the radius."""
     dlat = radius_m * 1.01 / METRES_PER_DEGREE
-    dlon = F.lit(radius_m * 1.01) / metres_per_lon(lat)
-    return (lat >= b["min_lat"] - dlat) & (lat <= b["max_lat"] + dlat) & (lon >= b["min_lon"] - dlon) & (lon <= b["max_lon"] + dlon)
+    dlon = F.lit(radius_m * 1.01) / metres_per_lon(F.least(F.abs(lat) + dlat, F.lit(89.9)))
+    ways = [(lon + t >= b["min_lon"] - dlon) & (lon + t <= b["max_lon"] + dlon) for t in (0, 360, -360)]
+    return (lat >= b["min_lat"] - dlat) & (lat <= b["max_lat"] + dlat) & (ways[0] | ways[1] | ways[2])
 
 
 def side_of(lat: Column, lon: Column, a: Column, b: Column) -> Column:

@@ -1,8 +1,9 @@
-"""Square cells in integer micro-degrees: the key that turns distance questions into equi-joins."""
+"""Square cells in integer micro-degrees: the key that turns distance questions into equi-joins.
 
-from __future__ import annotations
+Cells come in four sizes, each ten times the one before, so that a feature of any extent has a bounded number of them.
+"""
 
-import math
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ STEP = 2000
 WRAP = 1 << 24
 OFFSET = 1 << 23
 AROUND = 360 * MICRO // STEP
+#: Cell sizes by level, in cells of the smallest; each divides the way round.
+SIZES = (1, 10, 100, 1000)
+LEVEL = 1 << 48
+#: Cells a side that a feature has at its level.
+MOST_CELLS = 8
 
 
 def cell_y(lat_micro: Column) -> Column:
@@ -23,10 +29,11 @@ def cell_x(lon_micro: Column) -> Column:
     return F.floor(lon_micro / F.lit(float(STEP))).cast("long")
 
 
-def cell_id(cy: Column, cx: Column) -> Column:
+def cell_id(cy: Column, cx: Column, level: int = 0) -> Column:
     """One number; columns beyond the date line come round to the other side."""
-    wrapped = F.pmod(cx + AROUND // 2, F.lit(AROUND)) - AROUND // 2
-    return (cy + OFFSET) * WRAP + wrapped + OFFSET
+    around = AROUND // SIZES[level]
+    wrapped = F.pmod(cx + around // 2, F.lit(around)) - around // 2
+    return (cy + OFFSET) * WRAP + wrapped + OFFSET + level * LEVEL
 
 
 def cell(lat_micro: Column, lon_micro: Column) -> Column:
@@ -38,37 +45,72 @@ def centre(cell_: Column) -> Column:
     return F.struct(((cx + 0.5) * STEP / MICRO).alias("lon"), ((cy + 0.5) * STEP / MICRO).alias("lat"))
 
 
-def rings(radius_m: float, max_lat: float = 72.0) -> tuple[int, int]:
-    """Cells to look at each side, north-south and east-west, so that a circle is covered at any latitude up to max_lat."""
-    side = METRES_PER_DEGREE * STEP / MICRO
-    return math.ceil(radius_m * 1.01 / side), math.ceil(radius_m * 1.01 / (side * max(math.cos(math.radians(max_lat)), 0.01)))
+def boundary(cell_: Column) -> Column:
+    """Closed ring of a cell's corners, as array<struct<lon,lat>>."""
+    cy, cx = F.shiftright(cell_, 24) - OFFSET, cell_ % WRAP - OFFSET
+    corner = lambda dy, dx: F.struct(((cx + dx) * STEP / MICRO).alias("lon"), ((cy + dy) * STEP / MICRO).alias("lat"))
+    return F.array(*[corner(dy, dx) for dy, dx in ((0, 0), (0, 1), (1, 1), (1, 0), (0, 0))])
 
 
-def _box(y0: Column, y1: Column, x0: Column, x1: Column) -> Column:
-    return F.flatten(F.transform(F.sequence(y0, y1), lambda y: F.transform(F.sequence(x0, x1), lambda x: cell_id(y, x))))
+def overlay_width(zoom: Column) -> Column:
+    """Cells to show on each side of a map's centre: fewer as it is nearer, from 6 to 14."""
+    return F.least(F.greatest(F.lit(6), F.floor(36 - zoom * 2.5 + 0.5)), F.lit(14)).cast("int")
 
 
-def disk(lat_micro: Column, lon_micro: Column, radius_m: float, max_lat: float = 72.0) -> Column:
-    """Cells that a circle can touch."""
-    ky, kx = rings(radius_m, max_lat)
-    y, x = cell_y(lat_micro), cell_x(lon_micro)
-    return _box(y - ky, y + ky, x - kx, x + kx)
+def overlay(views: DataFrame) -> DataFrame:
+    """(view, cell, ring) of the cells to draw for maps (view, lat, lon, zoom), and min_lat .. max_lon: the box of them all."""
+    y, x = F.floor(F.col("lat") * MICRO / STEP).cast("long"), F.floor(F.col("lon") * MICRO / STEP).cast("long")
+    k = overlay_width(F.col("zoom"))
+    box = [((c + d) * (STEP / MICRO)).alias(n) for c, d, n in ((y, -k, "min_lat"), (x, -k, "min_lon"), (y, k + 1, "max_lat"), (x, k + 1, "max_lon"))]
+    cells = views.select("view", *box, F.explode(_box(y - k, y + k, x - k, x + k)).alias("cell"))
+    return cells.withColumn("ring", boundary(F.col("cell")))
 
 
-def cover(bounds: Column) -> Column:
-    """Cells that a bounding box in degrees touches."""
-    low = lambda c: F.floor(F.round(c * MICRO, 3) / STEP).cast("long")
-    return _box(low(bounds["min_lat"]), low(bounds["max_lat"]), low(bounds["min_lon"]), low(bounds["max_lon"]))
+def _box(y0: Column, y1: Column, x0: Column, x1: Column, level: int = 0) -> Column:
+    return F.flatten(F.transform(F.sequence(y0, y1), lambda y: F.transform(F.sequence(x0, x1), lambda x: cell_id(y, x, level))))
+
 
+def disk(lat_micro: Column, lon_micro: Column, radius_m: float, levels: tuple[int, ...] = (0,)) -> Column:
+    """Cells of each level that a circle can touch: as wide as the latitude asks for, the whole way round near the poles."""
+    high = radius_m * 1.01 / METRES_PER_DEGREE * MICRO + 1
+    far = F.least(F.abs(lat_micro) + high, F.lit(89.9 * MICRO))  # of its latitudes the one whose columns are narrowest
+    wide = F.lit(high) / F.cos(F.radians(far / MICRO))
+    out = []
+    for level in levels:
+        step, around = float(STEP * SIZES[level]), AROUND // SIZES[level]
+        down = lambda c: F.floor(c / F.lit(step)).cast("long")  # noqa: B023, E731
+        x0, x1 = down(lon_micro - wide), down(lon_micro + wide)
+        out.append(_box(down(lat_micro - high), down(lat_micro + high), x0, F.least(x1, x0 + (around - 1)), level))
+    return F.concat(*out) if len(out) > 1 else out[0]
 
-def near(points: DataFrame, features: DataFrame, radius_m: float, max_lat: float = 72.0, cells: Column | None = None) -> DataFrame:
+
+def here(lat_micro: Column, lon_micro: Column) -> Column:
+    """A point's cell of each level."""
+    return F.array(*[cell_id(F.floor(lat_micro / F.lit(float(STEP * n))).cast("long"), F.floor(lon_micro / F.lit(float(STEP * n))).cast("long"), i) for i, n in enumerate(SIZES)])
+
+
+def cover(bounds: Column) -> Column:
+    """Cells that a bounding box in degrees touches, of the smallest size that makes them few."""
+    micro = {n: F.round(bounds[n] * MICRO, 3) for n in ("min_lat", "max_lat", "min_lon", "max_lon")}
+    extent = F.greatest(micro["max_lat"] - micro["min_lat"], micro["max_lon"] - micro["min_lon"])
+    out = None
+    for level, n in enumerate(SIZES):
+        low = lambda c: F.floor(micro[c] / F.lit(float(STEP * n))).cast("long")  # noqa: B023, E731
+        cells = _box(low("min_lat"), low("max_lat"), low("min_lon"), low("max_lon"), level)
+        fits = extent <= MOST_CELLS * STEP * n
+        out = F.when(fits, cells) if out is None else out.when(fits, cells) if level + 1 < len(SIZES) else out.otherwise(cells)
+    return out
+
+
+def near(points: DataFrame, features: DataFrame, radius_m: float, cells: Column | None = None) -> DataFrame:
     """Pairs of a point and a feature that share a cell of the point's disk, by an equi-join.
 
-    ``points`` has lat_micro, lon_micro; features the same, or ``cells`` gives every cell that a feature's
+    ``points`` has lat_micro, lon_micro; features the same, or ``cells`` (see ``cover``) gives every cell that a feature's
     extent touches. A pair can come more than once when a feature has several cells. The join's key is hashed, so
     dense cells are split by adaptive execution and neither side is sent whole to all executors unless it is small.
     """
-    left = points.withColumn("_cell", F.explode(disk(F.col("lat_micro"), F.col("lon_micro"), radius_m, max_lat)))
+    levels = (0,) if cells is None else tuple(range(len(SIZES)))
+    left = points.withColumn("_cell", F.explode(disk(F.col("lat_micro"), F.col("lon_micro"), radius_m, levels)))
     if cells is None:
         right = features.withColumn("_cell", cell(F.col("lat_micro"), F.col("lon_micro"))).withColumnsRenamed({"lat_micro": "f_lat_micro", "lon_micro": "f_lon_micro"})
     else:

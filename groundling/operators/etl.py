@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, grid
-from ..functions.simplify import douglas_peucker
+from ..functions.simplify import kept_vertices
 from .lookup import containing
+from .routing import _cut
 
 
 def split_ways(vertices: DataFrame) -> DataFrame:
@@ -50,9 +53,17 @@ def resolve_categories(features: DataFrame, sidecar: DataFrame) -> DataFrame:
 
 
 def string_table(features: DataFrame, column: str) -> DataFrame:
-    """(idx, value): distinct values in order, from 0."""
+    """(idx, value): distinct values in order, from 0.
+
+    Values are sorted in ranges; an index is the number of values in the ranges before and the place in its own, so only one number a
+    range is summed in one place.
+    """
     values = features.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return values.withColumn("idx", F.row_number().over(Window.orderBy("value")) - 1)
+    rows = _cut(values.orderBy("value").withColumn("_id", F.monotonically_increasing_id()))  # fixed, so that ranges cannot change between uses
+    rows = rows.select("value", F.shiftright("_id", 33).alias("_range"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_at"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return rows.join(starts, "_range").select((F.col("_start") + F.col("_at")).cast("int").alias("idx"), "value")
 
 
 def businesses_in_buildings(businesses: DataFrame, buildings: DataFrame) -> DataFrame:
@@ -132,8 +143,10 @@ def cell_presence(features: DataFrame, code: str) -> DataFrame:
     return features.groupBy("cell").agg(presence_mask(F.col(code)).alias("mask"))
 
 
-def weighted_pick(states: DataFrame, draws: DataFrame) -> DataFrame:
-    """(draw, name): a state for each draw u in [0,1), in proportion to its area. ``states`` is the fixed dimension of 51 rows."""
+def weighted_pick(states: DataFrame, draws: DataFrame, most_states: int = 1000) -> DataFrame:
+    """(draw, name): a state for each draw u in [0,1), in proportion to its area. ``states`` is a small dimension: more than ``most_states`` are an error."""
+    if states.count() > most_states:
+        raise ValueError(f"more than {most_states} states")
     upto = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy()
     bands = states.select("name", (F.sum("area").over(upto) / F.sum("area").over(whole)).alias("hi"), ((F.sum("area").over(upto) - F.col("area")) / F.sum("area").over(whole)).alias("lo"))
@@ -141,24 +154,52 @@ def weighted_pick(states: DataFrame, draws: DataFrame) -> DataFrame:
 
 
 def simplify(coords: DataFrame, tolerance: float) -> DataFrame:
-    """(osm_id, coords) by Douglas-Peucker: an Arrow UDF, as the recursion has no expression form."""
-    @F.pandas_udf("array<struct<lon:double,lat:double>>")
-    def reduced(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda v: [{"lon": x, "lat": y} for x, y in douglas_peucker([(p["lon"], p["lat"]) for p in v], tolerance)])
+    """(osm_id, coords) by Douglas-Peucker: an Arrow UDF over whole batches of vertices, as the method has no expression form."""
+    line = "array<struct<lon:double,lat:double>>"
+
+    @F.arrow_udf(line)
+    def reduced(lines: pa.Array) -> pa.Array:
+        size = np.array([0 if n is None else n for n in pa.compute.list_value_length(lines).to_pylist()], np.int64)
+        flat = lines.flatten()
+        x, y = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat"))
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        keep = kept_vertices(x, y, offsets, tolerance)
+        left = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        points = pa.StructArray.from_arrays([pa.array(x[keep]), pa.array(y[keep])], names=["lon", "lat"])
+        return pa.ListArray.from_arrays(pa.array(left, pa.int32()), points, mask=lines.is_null())
 
     return coords.select("osm_id", reduced("coords").alias("coords"))
 
 
+def block_cells(blocks: DataFrame, homes: DataFrame, tries: int = 4) -> DataFrame:
+    """(block, cell): the cell of each block's first feature that has one in ``homes`` (osm_id, cell), of the first ``tries`` of its features (block, n, osm_id); null for none."""
+    known = blocks.where(F.col("n") < tries).join(homes, "osm_id").groupBy("block").agg(F.min_by("cell", "n").alias("cell"))
+    return blocks.select("block").distinct().join(known, "block", "left")
+
+
 def write_clustered(features: DataFrame, path: str, by: str = "state") -> None:
     """Parquet, one folder a state, rows of a cell together: the layout whose row-group statistics prune cells and boxes."""
     features.repartitionByRange(by, "cell").sortWithinPartitions(by, "cell", "osm_id").write.partitionBy(by).option("compression", "zstd").parquet(path)
 
 
-def as_geojson(features: DataFrame) -> DataFrame:
-    """One GeoJSON feature a row from (osm_id, coords, other columns as properties)."""
-    rest = [c for c in features.columns if c not in ("coords", "osm_id")]
-    shape = F.struct(F.lit("LineString").alias("type"), F.transform("coords", lambda v: F.array(v["lon"], v["lat"])).alias("coordinates"))
-    return features.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("osm_id").alias("id"), shape.alias("geometry"), F.struct(*rest).alias("properties"))).alias("value"))
+def as_geojson(features: DataFrame, kind: str = "LineString") -> DataFrame:
+    """One GeoJSON feature a row from (osm_id, coords or lon and lat, other columns as properties): kind is Point, LineString or Polygon (one ring, closed if it is not)."""
+    rest = [c for c in features.columns if c not in ("coords", "osm_id", "lon", "lat")]
+    if kind == "Point":
+        places = F.array("lon", "lat")
+    else:
+        places = F.transform("coords", lambda v: F.array(v["lon"], v["lat"]))
+        if kind == "Polygon":
+            places = F.array(F.when(F.get(places, F.lit(0)) == F.element_at(places, -1), places).otherwise(F.concat(places, F.slice(places, 1, 1))))
+    shape = F.struct(F.lit(kind).alias("type"), places.alias("coordinates"))
+    return features.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("osm_id").alias("id"), shape.alias("geometry"), F.struct(*rest).alias("properties") if rest else F.lit(None).alias("properties"))).alias("value"))
+
+
+def feature_collection(features: DataFrame, kind: str = "LineString", most: int = 5000) -> DataFrame:
+    """One row: the FeatureCollection of the first ``most`` features by id, as a map's reply holds no more."""
+    first = as_geojson(features.orderBy("osm_id").limit(most), kind)
+    joined = F.array_join(F.array_sort(F.collect_list("value")), ",")
+    return first.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), joined, F.lit("]}")).alias("value"))
 
 
 def box_of(vertices: DataFrame) -> DataFrame:

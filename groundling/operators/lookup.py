@@ -6,19 +6,28 @@ single point is a table of one row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, grid
 
-#: Road classes of each travel profile.
-PROFILES = {
-    "driving": ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link"),
-    "walking": ("footway", "path", "pedestrian", "steps", "residential", "living_street", "service", "track"),
-    "cycling": ("cycleway", "path", "residential", "tertiary", "secondary", "track"),
-}
-#: Road classes that a route may use.
-ROUTABLE = (*PROFILES["driving"], "residential", "unclassified", "service", "living_street")
+#: Road classes of each travel profile; null: all classes.
+DRIVING = ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "tertiary", "tertiary_link")
+PROFILES: dict[str, tuple[str, ...] | None] = {"driving": DRIVING, "walking": None, "cycling": (*DRIVING, "cycleway")}
+#: Road classes that a route of each profile may use.
+ROUTABLE = {
+    "driving": ("motorway", "trunk", "primary", "secondary", "tertiary", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link", "unclassified", "residential", "living_street", "service", "road"),
+    "walking": ("footway", "pedestrian", "path", "steps", "sidewalk", "crossing", "residential", "living_street", "service", "track"),
+    "cycling": ("cycleway", "path", "residential", "living_street", "service", "track", "unclassified"),
+}
+
+
+def of_profile(roads: DataFrame, profile: str | None) -> DataFrame:
+    """Roads of the classes of a profile; null or an unknown profile: all."""
+    classes = PROFILES.get(profile) if profile else None
+    return roads if classes is None else roads.where(F.col("road_class").isin(*classes))
 
 
 def in_cell(features: DataFrame, cell: int) -> DataFrame:
@@ -58,16 +67,16 @@ def nearby(points: DataFrame, features: DataFrame, radius_m: float = 500.0, limi
     if prefix is not None:
         features = features.where(F.col("category").startswith(prefix))
     if exclude_closed:
-        features = features.where(F.col("operating_status") != "closed")
+        features = features.where(~F.col("operating_status").eqNullSafe("closed"))
     d = geo.haversine(*(geo.degrees(F.col(c)) for c in ("lat_micro", "lon_micro", "f_lat_micro", "f_lon_micro")))
-    hit = grid.near(points, features, radius_m, 45.0).withColumn("distance", d).where(F.col("distance") <= radius_m)
+    hit = grid.near(points, features, radius_m).withColumn("distance", d).where(F.col("distance") <= radius_m)
     return hit if limit is None else top_n(hit, limit, F.col("distance"), F.col("osm_id"))
 
 
 def _reachable(points: DataFrame, shapes: DataFrame, radius_m: float) -> DataFrame:
     """Pairs whose shape's extent comes within the radius: the cell join, then a test of the extent's four numbers."""
     boxed = shapes.withColumn("_box", geo.bounds(F.col("coords")))
-    rows = grid.near(points, boxed, radius_m, 45.0, grid.cover(F.col("_box")))
+    rows = grid.near(points, boxed, radius_m, grid.cover(F.col("_box")))
     return rows.where(geo.reaches(F.col("_box"), geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), radius_m)).drop("_box")
 
 
@@ -79,9 +88,7 @@ def _distances(points: DataFrame, shapes: DataFrame, radius_m: float, closed: bo
 
 def nearest_roads(points: DataFrame, roads: DataFrame, n: int = 1, radius_m: float = 100.0, profile: str | None = None) -> DataFrame:
     """The n nearest roads of each point, a split way once, at its nearest piece."""
-    if profile is not None:
-        roads = roads.where(F.col("road_class").isin(*PROFILES[profile]))
-    rows = _distances(points, roads, radius_m)
+    rows = _distances(points, of_profile(roads, profile), radius_m)
     best = rows.groupBy("qid", "osm_id").agg(F.min(F.struct(F.col("_near.d").alias("d"), "piece_id", F.col("_near").alias("near"), "road_class", "name")).alias("b"))
     flat = best.where(F.col("b.d") <= radius_m).select("qid", "osm_id", F.col("b.d").alias("distance"), "b.piece_id", "b.road_class", "b.name", F.col("b.near.i").alias("segment"), F.col("b.near.t").alias("t"), F.col("b.near.lat").alias("snap_lat"), F.col("b.near.lon").alias("snap_lon"))
     return top_n(flat, n, F.col("distance"), F.col("osm_id"))
@@ -90,7 +97,7 @@ def nearest_roads(points: DataFrame, roads: DataFrame, n: int = 1, radius_m: flo
 def containing(points: DataFrame, shapes: DataFrame) -> DataFrame:
     """(qid, osm_id, ...) of every ring that contains each point."""
     boxed = shapes.withColumn("_box", geo.bounds(F.col("coords")))
-    rows = points.withColumn("_cell", grid.cell(F.col("lat_micro"), F.col("lon_micro"))).join(boxed.withColumn("_cell", F.explode(grid.cover(F.col("_box")))), "_cell").drop("_cell")
+    rows = points.withColumn("_cell", F.explode(grid.here(F.col("lat_micro"), F.col("lon_micro")))).join(boxed.withColumn("_cell", F.explode(grid.cover(F.col("_box")))), "_cell").drop("_cell")
     lat, lon = geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro"))
     rows = rows.where(lat.between(F.col("_box.min_lat"), F.col("_box.max_lat")) & lon.between(F.col("_box.min_lon"), F.col("_box.max_lon"))).drop("_box")
     return rows.where(geo.contains(lat, lon, F.col("coords")))
@@ -119,16 +126,25 @@ def nearest_centroid(points: DataFrame, buildings: DataFrame, box_deg: float = 0
     c = geo.centroid(F.col("coords"))
     mid = buildings.select("osm_id", c["lat"].alias("c_lat"), c["lon"].alias("c_lon"))
     mid = mid.withColumns({"lat_micro": geo.micro(F.col("c_lat")), "lon_micro": geo.micro(F.col("c_lon"))})
-    rows = grid.near(points, mid, box_deg * geo.METRES_PER_DEGREE * 1.1, 45.0)
+    rows = grid.near(points, mid, box_deg * geo.METRES_PER_DEGREE * 1.1)  # at least as wide as the box at any latitude
     dy, dx = F.col("c_lat") - geo.degrees(F.col("lat_micro")), F.col("c_lon") - geo.degrees(F.col("lon_micro"))
     rows = rows.where((F.abs(dy) <= box_deg) & (F.abs(dx) <= box_deg))
     return rows.groupBy("qid").agg(F.min(F.struct((dy * dy + dx * dx).alias("d2"), "osm_id")).alias("b")).select("qid", "b.osm_id", F.sqrt("b.d2").alias("degrees"))
 
 
+def within_centroid(points: DataFrame, buildings: DataFrame, radius_m: float) -> DataFrame:
+    """(qid, osm_id, distance): buildings whose centroid lies within the radius."""
+    c = geo.centroid(F.col("coords"))
+    mid = buildings.select("osm_id", geo.micro(c["lat"]).alias("lat_micro"), geo.micro(c["lon"]).alias("lon_micro"))
+    return nearby(points, mid, radius_m, None).select("qid", "osm_id", "distance")
+
+
 def within_corridor(features: DataFrame, path: list[tuple[float, float]], buffer_m: float, exact: bool = True) -> DataFrame:
     """Point features within a buffer of a path of (lon, lat): of the path itself, or of its box."""
     lats, lons = [p[1] for p in path], [p[0] for p in path]
-    dlat, dlon = buffer_m / geo.METRES_PER_DEGREE, buffer_m / (geo.METRES_PER_DEGREE * 0.76)
+    dlat = buffer_m / geo.METRES_PER_DEGREE
+    narrowest = max(math.cos(math.radians(min(max(map(abs, lats)) + dlat, 89.9))), 0.001)
+    dlon = dlat / (narrowest if exact else 0.76)  # the box alone is defined with one fixed width
     rows = points_in_box(features, min(lats) - dlat, min(lons) - dlon, max(lats) + dlat, max(lons) + dlon, None)
     if not exact:
         return rows
@@ -143,22 +159,35 @@ def admin_at(points: DataFrame, admin: DataFrame) -> DataFrame:
     return keyed.join(admin, ["cy", "cx"], "left")
 
 
+def named_cells(cells: DataFrame, strings: DataFrame) -> DataFrame:
+    """(cell, country, state, county, zip, timezone, boundary_flags): cells with an index of each level (country_idx ...) and their
+    names from ``strings`` (level, idx, value). An index beyond its table names nothing (empty)."""
+    out = cells
+    for level in ADMIN:
+        table = strings.where(F.col("level") == level).select(F.col("idx").alias(f"{level}_idx"), F.col("value").alias(level))
+        out = out.join(table, f"{level}_idx", "left").withColumn(level, F.coalesce(level, F.lit("")))
+    return out.select("cell", *ADMIN, "boundary_flags")
+
+
 def first_matching_box(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(qid, name): the first of the boxes (ordinal, name, bounds), in order, that holds the point. Boxes are a small fixed dimension of a few dozen rows."""
+    """(qid, name): the first of the boxes (ordinal, name, bounds), in order, that holds the point. Boxes are found by cell, so there may be many."""
     lat, lon = geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro"))
-    hit = points.join(boxes, lat.between(F.col("min_lat"), F.col("max_lat")) & lon.between(F.col("min_lon"), F.col("max_lon")), "left")
-    return hit.groupBy("qid").agg(F.min_by("name", "ordinal").alias("name"))
+    keyed = boxes.withColumn("_cell", F.explode(grid.cover(F.struct("min_lat", "min_lon", "max_lat", "max_lon"))))
+    hit = points.withColumn("_cell", F.explode(grid.here(F.col("lat_micro"), F.col("lon_micro")))).join(keyed, "_cell")
+    hit = hit.where(lat.between(F.col("min_lat"), F.col("max_lat")) & lon.between(F.col("min_lon"), F.col("max_lon")))
+    return points.select("qid").join(hit.groupBy("qid").agg(F.min_by("name", "ordinal").alias("name")), "qid", "left")
 
 
 def resolve_references(water: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Water features; one that refers to a large body takes its place and name from it, where there is one."""
-    b = bodies.select(F.col("feature_id").alias("ref_feature_id"), F.col("name").alias("body_name"), F.col("lat_micro").alias("b_lat"), F.col("lon_micro").alias("b_lon"))
+    """Water features; one that refers to a large body (feature_id, name, and lat_micro and lon_micro or coords) takes its place or line from it, where there is one."""
+    shape = [c for c in ("lat_micro", "lon_micro", "coords") if c in water.columns]
+    b = bodies.select(F.col("feature_id").alias("ref_feature_id"), F.col("name").alias("body_name"), *[F.col(c).alias(f"_b_{c}") for c in shape])
     out = water.join(b, "ref_feature_id", "left")
-    return out.select("osm_id", "geom_type", "water_type", "ref_feature_id", "body_name", F.coalesce("b_lat", "lat_micro").alias("lat_micro"), F.coalesce("b_lon", "lon_micro").alias("lon_micro"))
+    return out.select("osm_id", "geom_type", "water_type", "ref_feature_id", "body_name", *[F.coalesce(f"_b_{c}", c).alias(c) for c in shape])
 
 
 #: How far a place's name reaches, in metres, and how specific it is.
-INFLUENCE = {"city": (15000.0, 5), "town": (5000.0, 4), "village": (2000.0, 3), "hamlet": (1000.0, 2), "suburb": (3000.0, 1), "neighborhood": (1000.0, 0)}
+INFLUENCE = {"city": (15000.0, 5), "town": (5000.0, 4), "village": (2000.0, 3), "hamlet": (500.0, 2), "suburb": (3000.0, 1), "neighborhood": (1000.0, 0)}
 
 
 def place_of(points: DataFrame, places: DataFrame) -> DataFrame:
@@ -183,17 +212,42 @@ def reverse_geocode(points: DataFrame, roads: DataFrame, ranges: DataFrame, cuto
     return rows.select("qid", "osm_id", "piece_id", side.alias("side"), number.cast("long").alias("house_number"), "distance")
 
 
-def point_report(points: DataFrame, buildings: DataFrame, roads: DataFrame, businesses: DataFrame, places: DataFrame, admin: DataFrame, radius_m: float = 300.0) -> DataFrame:
-    """One row a point: building, nearest road, businesses in the radius, place and administrative names; each layer is joined on its own."""
-    return (
+def nearest_rail(points: DataFrame, lines: DataFrame, stations: DataFrame, radius_m: float) -> DataFrame:
+    """(qid, osm_id, kind, distance): the nearest of rail lines (coords) and stations (points) within the radius; a line comes before a station as near."""
+    line = _distances(points, lines, radius_m).groupBy("qid", "osm_id").agg(F.min("_near.d").alias("distance")).where(F.col("distance") <= radius_m)
+    stop = nearby(points, stations, radius_m, None).select("qid", "osm_id", "distance")
+    both = line.withColumn("kind", F.lit("line")).unionByName(stop.withColumn("kind", F.lit("station")))
+    best = both.groupBy("qid").agg(F.min(F.struct("distance", "kind", "osm_id")).alias("b"))
+    return best.select("qid", "b.osm_id", "b.kind", "b.distance")
+
+
+ADMIN = ("country", "state", "county", "zip", "timezone")
+
+
+def point_report(
+    points: DataFrame, buildings: DataFrame, roads: DataFrame, businesses: DataFrame, places: DataFrame, admin: DataFrame, radius_m: float = 300.0, water: DataFrame | None = None, parks: DataFrame | None = None,
+    rail: DataFrame | None = None, stations: DataFrame | None = None, ranges: DataFrame | None = None, water_m: float = 100.0, rail_m: float = 3000.0,
+) -> DataFrame:
+    """One row a point over every layer given: building, nearest road, businesses in the radius, place, administrative names, water within ``water_m``,
+    park, rail line or station and house number; each layer is joined on its own and a layer that is not given has no columns."""
+    out = (
         points.select("qid")
         .join(building_at(points, buildings).select("qid", F.col("osm_id").alias("building_id")), "qid", "left")
         .join(nearest_roads(points, roads, 1, radius_m).select("qid", F.col("osm_id").alias("road_id"), F.col("distance").alias("road_distance")), "qid", "left")
         .join(nearby(points, businesses, radius_m, None).groupBy("qid").agg(F.count("*").alias("n_businesses"), F.min_by("osm_id", F.struct("distance", "osm_id")).alias("nearest_business")), "qid", "left")
         .join(place_of(points, places).select("qid", F.col("name").alias("place")), "qid", "left")
-        .join(admin_at(points, admin).select("qid", "country", "state"), "qid", "left")
+        .join(admin_at(points, admin).select("qid", *[c for c in ADMIN if c in admin.columns]), "qid", "left")
         .withColumn("n_businesses", F.coalesce("n_businesses", F.lit(0)))
     )
+    if water is not None:
+        out = out.join(buildings_within(points, water, water_m).groupBy("qid").agg(F.min_by("osm_id", F.struct("distance", "osm_id")).alias("water_id")), "qid", "left")
+    if parks is not None:
+        out = out.join(containing(points, parks).groupBy("qid").agg(F.min("osm_id").alias("park_id")), "qid", "left")
+    if rail is not None and stations is not None:
+        out = out.join(nearest_rail(points, rail, stations, rail_m).select("qid", F.col("osm_id").alias("rail_id"), F.col("kind").alias("rail_kind")), "qid", "left")
+    if ranges is not None:
+        out = out.join(reverse_geocode(points, roads, ranges).groupBy("qid").agg(F.min("house_number").alias("house_number")), "qid", "left")
+    return out
 
 
 def admin_exact(points: DataFrame, admin: DataFrame, areas: DataFrame) -> DataFrame:

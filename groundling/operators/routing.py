@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, geo, grid
+from .lookup import ROUTABLE, nearby
 
 NODE_SCALE = 50_000
 
@@ -22,6 +23,22 @@ def sample_path(lat1, lon1, lat2, lon2, step_m: float = 100.0):
     return F.transform(F.sequence(F.lit(0), n), lambda i: F.struct((lon1 + (lon2 - lon1) * i / n).alias("lon"), (lat1 + (lat2 - lat1) * i / n).alias("lat")))
 
 
+#: Fixed values: (metres up to, sampling step in metres, cells each side) by the distance of a route; nearer routes go by rings.
+CORRIDORS = ((200_000.0, 3_000.0, 8), (1_000_000.0, 6_000.0, 7), (float("inf"), 12_000.0, 6))
+NEAR_M, NEAR_STEP = 50_000.0, 1_800.0
+#: Widths of the rings of near routes and of the last resort; the widest corridor and the step of a widened one.
+RINGS, WIDEST, DENSE_STEP = (3, 6, 12, 20), 14, 2_000.0
+
+
+def schedule(distance_m: float) -> list[tuple[float, int]]:
+    """(sampling step, width) to try in order for a route of that length."""
+    rings = [(NEAR_STEP, w) for w in RINGS]
+    if distance_m < NEAR_M:
+        return rings
+    step, width = next((s, w) for most, s, w in CORRIDORS if distance_m <= most)
+    return [(step, width), (DENSE_STEP, min(2 * width, WIDEST)), *rings]
+
+
 def corridor_cells(pairs: DataFrame, step_m: float = 500.0, widen: int = 1) -> DataFrame:
     """(route_id, cell): cells within ``widen`` of the sampled straight line."""
     path = sample_path(*(F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")), step_m)
@@ -30,23 +47,43 @@ def corridor_cells(pairs: DataFrame, step_m: float = 500.0, widen: int = 1) -> D
     return p.select("route_id", F.explode(grid._box(y - widen, y + widen, x - widen, x + widen)).alias("cell")).distinct()
 
 
-def graph(vertices: DataFrame, roads: DataFrame, profile: str = "driving") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of lines: vertices at the same snapped place are one node; weights are hundredths of seconds."""
-    snapped = vertices.select("id", "pos", "lat_micro", "lon_micro", F.floor(F.col("lat_micro") * (NODE_SCALE / geo.MICRO)).cast("long").alias("ny"), F.floor(F.col("lon_micro") * (NODE_SCALE / geo.MICRO)).cast("long").alias("nx"))
-    snapped = snapped.withColumn("node", (F.col("ny") + (1 << 24)) * (1 << 26) + F.col("nx") + (1 << 25))
+def _node(lat_micro, lon_micro):
+    ny, nx = (F.floor(c * (NODE_SCALE / geo.MICRO)).cast("long") for c in (lat_micro, lon_micro))
+    return (ny + (1 << 24)) * (1 << 26) + nx + (1 << 25)
+
+
+def graph(vertices: DataFrame, roads: DataFrame, profile: str = "driving", intersections: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the roads (piece_id, road_class, and oneway if it is known) that a profile may use: vertices at the same
+    snapped place are one node; weights are hundredths of seconds.
+
+    A road that is oneway (1 along its vertices, -1 against them, else both ways) has edges in its direction only, but for walkers. An edge into a
+    node with ``intersections`` (kind, lat_micro, lon_micro) costs the longest of their delays on top.
+    """
+    classes = ROUTABLE.get(profile)
+    use = roads if classes is None else roads.where(F.col("road_class").isin(*classes))
+    way = F.coalesce(F.col("oneway").cast("int"), F.lit(0)) if "oneway" in roads.columns and profile != "walking" else F.lit(0)
+    use = use.select(F.col("piece_id").alias("id"), way.alias("way"))
+    snapped = vertices.select("id", "pos", "lat_micro", "lon_micro", _node(F.col("lat_micro"), F.col("lon_micro")).alias("node")).join(use, "id")
     nodes = snapped.groupBy("node").agg(F.min("lat_micro").alias("lat_micro"), F.min("lon_micro").alias("lon_micro"))
-    a, b = snapped.alias("a"), snapped.alias("b")
-    d = geo.haversine(*(geo.degrees(F.col(c)) for c in ("a.lat_micro", "a.lon_micro", "b.lat_micro", "b.lon_micro")))
-    steps = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("b.pos") == F.col("a.pos") + 1)).where("a.node <> b.node")
-    edges = steps.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), F.rint(d / classify.speed_ms(profile) * 100).cast("long").alias("weight"))
-    both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    return nodes, both.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    line = Window.partitionBy("id").orderBy("pos")
+    after = {c: F.lead(c).over(line) for c in ("node", "lat_micro", "lon_micro", "pos")}
+    steps = snapped.select("id", "pos", "way", "node", "lat_micro", "lon_micro", *[c.alias(f"to_{n}") for n, c in after.items()]).where("to_node <> node AND to_pos = pos + 1")
+    d = geo.haversine(*(geo.degrees(F.col(c)) for c in ("lat_micro", "lon_micro", "to_lat_micro", "to_lon_micro")))
+    steps = steps.select(F.col("node").alias("src"), F.col("to_node").alias("dst"), "way", F.rint(d / classify.speed_ms(profile) * 100).cast("long").alias("weight"))
+    edges = steps.where("way >= 0").select("src", "dst", "weight").union(steps.where("way <= 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    edges = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    if intersections is not None:
+        late = intersections.groupBy(_node(F.col("lat_micro"), F.col("lon_micro")).alias("dst")).agg(F.max(classify.delay_s(F.col("kind"))).alias("delay"))
+        edges = edges.join(late, "dst", "left").select("src", "dst", (F.col("weight") + 100 * F.coalesce("delay", F.lit(0))).alias("weight"))
+    return nodes, edges
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """checkpoint() in the session's folder; a temporary one only where none is set, as in tests."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="groundling-"))
@@ -54,7 +91,8 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """(node, component): the least node reachable, by label propagation with shortcuts."""
+    """(node, component): the least node connected whichever way its edges go, by label propagation with shortcuts."""
+    edges = _cut(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = _cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("component", F.col("node")))
     for _ in range(most_rounds):
         low = edges.join(labels, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("low"))
@@ -90,8 +128,6 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 1000
 
 def snap_to_largest(points: DataFrame, nodes: DataFrame, labels: DataFrame, radius_m: float) -> DataFrame:
     """(qid, node, distance): the nearest node of the largest component; its size is an aggregate, and ties go to the least."""
-    from .lookup import nearby
-
     sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
     largest = sizes.agg(F.min_by("component", F.struct(-F.col("n"), "component")).alias("component"))
     inside = nodes.join(labels.join(F.broadcast(largest), "component"), "node")  # one row
@@ -99,18 +135,18 @@ def snap_to_largest(points: DataFrame, nodes: DataFrame, labels: DataFrame, radi
     return hit.select("qid", F.col("osm_id").alias("node"), "distance")
 
 
-def widening_corridor(spark: SparkSession, route: DataFrame, vertices: DataFrame, roads: DataFrame, src: int, dst: int, most: int = 14) -> tuple[DataFrame, int]:
-    """Paths of one route inside a corridor that doubles until its ends are connected; (paths from src, width)."""
-    widen = 1
-    cell = grid.cell(F.col("lat_micro"), F.col("lon_micro"))
-    while True:
-        cells = corridor_cells(route, widen=widen).select("cell")
-        inside = vertices.withColumn("cell", cell).join(cells, "cell", "left_semi")
-        _, edges = graph(inside, roads)
-        paths = shortest_paths(_cut(edges), spark.createDataFrame([(src,)], "source long"))
-        if widen >= most or not paths.where(F.col("node") == dst).isEmpty():
-            return paths, widen
-        widen = min(most, widen * 2)
+def widening_corridor(spark: SparkSession, route: DataFrame, vertices: DataFrame, roads: DataFrame, src: int, dst: int, profile: str = "driving", intersections: DataFrame | None = None) -> tuple[DataFrame, int | None]:
+    """Paths of one route (route_id, lat1, lon1, lat2, lon2) inside a corridor that follows ``schedule`` until its ends are connected;
+    (paths from src, width). Where the widest ring is not enough the whole graph is used, and the width is null."""
+    first = estimate(route).first()  # one row
+    keyed = vertices.withColumn("cell", grid.cell(F.col("lat_micro"), F.col("lon_micro")))
+    source = spark.createDataFrame([(src,)], "source long")
+    for step, width in schedule(first["distance_m"]):
+        inside = keyed.join(corridor_cells(route, step, width).select("cell"), "cell", "left_semi")
+        paths = shortest_paths(_cut(graph(inside, roads, profile, intersections)[1]), source)
+        if not paths.where(F.col("node") == dst).isEmpty():
+            return paths, width
+    return shortest_paths(_cut(graph(vertices, roads, profile, intersections)[1]), source), None
 
 
 def compare_routes(ours: DataFrame, other: DataFrame) -> DataFrame:

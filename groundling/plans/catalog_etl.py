@@ -10,7 +10,7 @@ from ..operators import routing as R
 from .fixtures import buildings, oracle, shape, view
 
 QUERIES: dict = {}
-#: Queries over whole tables whose SQL would be too slow; brute force in tests/test_routing.py holds them.
+#: Queries that have no form in SQL; brute force in tests holds them.
 WHOLE: dict = {}
 SQL: dict[str, str] = {}
 CELL = "(CAST(floor({a}lat_micro / 2000) AS BIGINT) + 8388608) * 16777216 + CAST(floor({a}lon_micro / 2000) AS BIGINT) + 8388608"
@@ -187,37 +187,55 @@ def cell_class_bitmask(s, d):
 @query(
     "road_tag_normalize",
     """SELECT osm_id, CASE WHEN kmh > 255 THEN 255 ELSE kmh END AS speed_kmh,
- CASE WHEN oneway IN ('yes', 'true', '1') THEN 1 WHEN oneway IN ('-1', 'reverse') THEN -1 ELSE 0 END AS oneway, TRY_CAST(split_part(lanes, ';', 1) AS INTEGER) AS lanes, surface,
- CASE WHEN bridge IS NOT NULL AND bridge <> 'no' THEN 'bridge' WHEN tunnel IS NOT NULL AND tunnel <> 'no' THEN 'tunnel' END AS bridge_tunnel FROM (SELECT *, CAST(CASE WHEN maxspeed LIKE '%mph%' THEN round_even(TRY_CAST(split_part(maxspeed, ' ', 1) AS INTEGER) * 1.60934, 0) ELSE TRY_CAST(split_part(maxspeed, ' ', 1) AS INTEGER) END AS INTEGER) AS kmh FROM way_tags)""",
+ CASE WHEN oneway IN ('yes', 'true', '1') THEN 1 WHEN oneway IN ('-1', 'reverse') THEN -1 ELSE 0 END AS oneway, CASE WHEN lanes = '2' THEN 2 END AS lanes, surface,
+ CASE WHEN tunnel IN ('yes', 'building_passage') THEN 'tunnel' WHEN bridge IN ('yes', 'viaduct') THEN 'bridge' END AS bridge_tunnel FROM (SELECT *, CAST(CASE WHEN maxspeed LIKE '%mph%' THEN round_even(TRY_CAST(split_part(maxspeed, ' ', 1) AS INTEGER) * 1.60934, 0) ELSE TRY_CAST(split_part(maxspeed, ' ', 1) AS INTEGER) END AS INTEGER) AS kmh FROM way_tags)""",
     "way_tags",
 )
 def road_tag_normalize(s, d):
     return view(s, d, "way_tags").select("osm_id", classify.speed_kmh(F.col("maxspeed")).alias("speed_kmh"), classify.oneway(F.col("oneway")).alias("oneway"), classify.lanes(F.col("lanes")).alias("lanes"), "surface", classify.bridge_tunnel(F.col("bridge"), F.col("tunnel")).alias("bridge_tunnel"))
 
 
-_USE = " ".join(f"WHEN building_type IN ({', '.join(repr(t) for t in v)}) THEN '{k}'" for k, v in classify.USE_CLASS.items())
-
-
 @query(
     "height_use_class",
-    f"SELECT osm_id, CASE {_USE} ELSE 'unknown' END AS use_class, CASE WHEN h IS NULL THEN 'unknown' WHEN h <= 6 THEN 'low' WHEN h <= 15 THEN 'mid' ELSE 'high' END AS height_tier, h AS height FROM (SELECT *, TRY_CAST(CASE WHEN height_m IS NULL THEN NULL WHEN osm_id % 10 = 0 THEN 'tall' ELSE CAST(height_m AS VARCHAR) END AS DOUBLE) AS h FROM building)",
+    """SELECT osm_id, CASE WHEN building_type IN ('house', 'residential', 'detached', 'terrace', 'apartments') THEN 'residential' WHEN building_type IN ('commercial', 'retail', 'office', 'warehouse', 'hotel') THEN 'commercial'
+ WHEN building_type IN ('industrial', 'school', 'church', 'hospital', 'public') THEN 'industrial/institutional' ELSE 'unknown' END AS use_class,
+ CASE WHEN h IS NULL OR h <= 0 THEN 'unknown' WHEN h <= 6 THEN '1-2' WHEN h <= 15 THEN '3-5' ELSE '6+' END AS height_tier, h AS height FROM (SELECT *, TRY_CAST(CASE WHEN height_m IS NULL THEN NULL WHEN osm_id % 10 = 0 THEN 'tall' WHEN osm_id % 10 = 1 THEN '0' WHEN osm_id % 10 = 2 THEN '-3' ELSE CAST(height_m AS VARCHAR) END AS DOUBLE) AS h FROM building)""",
     "building",
 )
 def height_use_class(s, d):
-    b = view(s, d, "building").withColumn("h", classify.height(F.expr("CASE WHEN height_m IS NULL THEN NULL WHEN osm_id % 10 = 0 THEN 'tall' ELSE concat(CAST(height_m AS STRING), ' m') END")))
+    b = view(s, d, "building").withColumn("h", classify.height(F.expr("CASE WHEN height_m IS NULL THEN NULL WHEN osm_id % 10 = 0 THEN 'tall' WHEN osm_id % 10 = 1 THEN '0' WHEN osm_id % 10 = 2 THEN '-3 m' ELSE concat(CAST(height_m AS STRING), ' m') END")))
     return b.select("osm_id", classify.use_class(F.col("building_type")).alias("use_class"), classify.height_tier(F.col("h")).alias("height_tier"), F.col("h").alias("height"))
 
 
-TAGS = "SELECT p_partkey AS osm_id, CASE p_partkey % 5 WHEN 0 THEN 'water' WHEN 1 THEN 'wetland' ELSE NULL END AS natural_, CASE p_partkey % 7 WHEN 0 THEN 'lake' WHEN 1 THEN 'pond' WHEN 2 THEN '' ELSE NULL END AS water, CASE p_partkey % 3 WHEN 0 THEN 'river' ELSE NULL END AS waterway, CASE p_partkey % 11 WHEN 0 THEN 'basin' ELSE NULL END AS landuse FROM {part}"
+_NATURAL = ("water", "wetland", "coastline", "bay")
+_WATER = ("lake", "reservoir", "pond", "river", "bay", "wetland", "marsh", "swamp", "estuary", "", "lagoon")
+_WATERWAY = ("river", "riverbank", "stream", "creek", "canal", "ditch", "drain", "weir")
+
+
+def _choice(values: tuple, of: str) -> str:
+    return f"CASE {of} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+TAGS = f"SELECT p_partkey AS osm_id, {_choice(_NATURAL, 'p_partkey % 7')} AS natural_, {_choice(_WATER, 'p_partkey % 23')} AS water, {_choice(_WATERWAY, 'p_partkey % 17')} AS waterway FROM {{part}}"
 
 
 @query(
     "classify_water",
-    f"SELECT osm_id, CASE WHEN water = 'lake' OR (natural_ = 'water' AND coalesce(water, '') = '') THEN 'lake' WHEN water IN ('pond', 'reservoir', 'river', 'canal', 'lagoon', 'basin') THEN water WHEN landuse IN ('reservoir', 'basin') THEN landuse WHEN waterway IN ('river', 'stream', 'canal', 'drain', 'ditch') THEN waterway WHEN natural_ IN ('wetland', 'bay', 'spring', 'coastline') THEN natural_ ELSE 'water' END AS water_type FROM ({TAGS.format(part='part')})",
+    f"""SELECT osm_id, CASE WHEN water = 'lake' OR (natural_ = 'water' AND coalesce(water, '') = '') THEN 'lake' WHEN water = 'reservoir' THEN 'reservoir' WHEN water = 'pond' THEN 'pond'
+ WHEN water = 'river' OR waterway = 'river' OR waterway = 'riverbank' THEN 'river' WHEN waterway = 'stream' THEN 'stream' WHEN waterway = 'creek' THEN 'creek' WHEN waterway = 'canal' OR waterway = 'ditch' THEN 'canal'
+ WHEN waterway = 'drain' THEN 'drain' WHEN water = 'bay' THEN 'bay' WHEN natural_ = 'coastline' THEN 'ocean' WHEN natural_ = 'wetland' OR water = 'wetland' THEN 'wetland' WHEN water = 'marsh' THEN 'marsh'
+ WHEN water = 'swamp' THEN 'swamp' WHEN water = 'estuary' THEN 'estuary' WHEN waterway <> '' THEN 'stream' ELSE 'lake' END AS water_type FROM ({TAGS.format(part='part')})""",
 )
 def classify_water(s, d):
     t = s.sql(TAGS, part=s.read.parquet(f"{d}/part.parquet"))
-    return t.select("osm_id", classify.water_type(F.col("natural_"), F.col("water"), F.col("waterway"), F.col("landuse")).alias("water_type"))
+    return t.select("osm_id", classify.water_type(F.col("natural_"), F.col("water"), F.col("waterway")).alias("water_type"))
+
+
+@query("block_cells", f"SELECT block, min_by(cell, n) AS cell FROM (SELECT b.block, b.n, CASE WHEN h.osm_id % 7 < 2 THEN {CELL.format(a='h.')} END AS cell FROM (SELECT osm_id, CAST(floor(osm_id / 10) AS BIGINT) AS block, osm_id % 10 AS n FROM business) b LEFT JOIN business h ON h.osm_id = b.osm_id AND b.n < 4) WHERE cell IS NOT NULL GROUP BY block UNION ALL SELECT CAST(floor(osm_id / 10) AS BIGINT) AS block, NULL FROM business GROUP BY 1 HAVING count(CASE WHEN osm_id % 10 < 4 AND osm_id % 7 < 2 THEN 1 END) = 0", "business")
+def block_cells(s, d):
+    b = view(s, d, "business")
+    blocks = b.select(F.floor(F.col("osm_id") / 10).alias("block"), (F.col("osm_id") % 10).alias("n"), "osm_id")
+    return E.block_cells(blocks, b.where("osm_id % 7 < 2").select("osm_id", _cell().alias("cell")))
 
 
 @query("status_decode", "SELECT osm_id, CASE osm_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'temporarily_closed' ELSE 'closed' END AS status, CASE WHEN operating_status = 'closed' AND website IS NOT NULL THEN 'temporarily_closed' WHEN operating_status = 'closed' THEN 'closed' ELSE 'open' END AS compat FROM business", "business")
@@ -347,22 +365,30 @@ def corridor_cells(s, d):
     return R.corridor_cells(_pairs(s, d))
 
 
-SMALL = "id < 240"
 _NODE = "(CAST(floor(lat_micro * 0.5) AS BIGINT) + 16777216) * 67108864 + CAST(floor(lon_micro * 0.5) AS BIGINT) + 33554432"
+_SNAPPED = "CAST(floor({0}lat_micro / 400.0) AS INTEGER) * 400 AS lat_micro, CAST(floor({0}lon_micro / 400.0) AS INTEGER) * 400 AS lon_micro"
 
 
-def _graph(s, d, where=SMALL):
-    """The road graph; of the first pieces only unless ``where`` says otherwise, as the recursive SQL is too slow for more."""
-    v = view(s, d, "road_vertex").withColumns({"lat_micro": F.floor(F.col("lat_micro") / 400.0).cast("int") * 400, "lon_micro": F.floor(F.col("lon_micro") / 400.0).cast("int") * 400})
-    return R.graph(v.where(where), view(s, d, "road"))
+def _graph(s, d):
+    """The road graph of all roads that may be driven, on a coarse lattice so that the test lines meet; with directions and delays."""
+    snap = lambda df: df.withColumns({c: F.floor(F.col(c) / 400.0).cast("int") * 400 for c in ("lat_micro", "lon_micro")})
+    tags = view(s, d, "way_tags").select(F.col("osm_id").alias("piece_id"), classify.oneway(F.col("oneway")).alias("oneway"))
+    roads = view(s, d, "road").join(tags, "piece_id")
+    return R.graph(snap(view(s, d, "road_vertex")), roads, "driving", snap(view(s, d, "intersection")))
 
 
 _GRAPH = (
-    oracle("", "road_vertex").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
-    + f""", sv AS (SELECT id, pos, CAST(floor(lat_micro / 400.0) AS INTEGER) * 400 AS lat_micro, CAST(floor(lon_micro / 400.0) AS INTEGER) * 400 AS lon_micro FROM road_vertex WHERE {SMALL}), nv AS (SELECT *, {_NODE} AS node, lat_micro / 100000.0 AS lat, lon_micro / 100000.0 AS lon FROM sv),
- st AS (SELECT a.node AS src, b.node AS dst, CAST(round_even({_HAV.replace('lat1', 'a.lat').replace('lat2', 'b.lat').replace('lon1', 'a.lon').replace('lon2', 'b.lon')} / 15.0 * 100, 0) AS BIGINT) AS weight FROM nv a JOIN nv b ON b.id = a.id AND b.pos = a.pos + 1 WHERE a.node <> b.node),
- edge AS (SELECT src, dst, min(weight) AS weight FROM (SELECT * FROM st UNION ALL SELECT dst, src, weight FROM st) GROUP BY src, dst)"""
+    oracle("", "road_vertex", "road", "way_tags", "intersection").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + f""", sv AS (SELECT v.id, v.pos, t.oneway, {_SNAPPED.format("v.")} FROM road_vertex v JOIN road r ON r.piece_id = v.id JOIN way_tags t ON t.osm_id = v.id
+  WHERE r.road_class IN ('motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'motorway_link', 'trunk_link', 'primary_link', 'secondary_link', 'tertiary_link', 'unclassified', 'residential', 'living_street', 'service', 'road')),
+ nv AS (SELECT *, {_NODE} AS node, lat_micro / 100000.0 AS lat, lon_micro / 100000.0 AS lon FROM sv),
+ st AS (SELECT a.node AS src, b.node AS dst, a.oneway, CAST(round_even({_HAV.replace('lat1', 'a.lat').replace('lat2', 'b.lat').replace('lon1', 'a.lon').replace('lon2', 'b.lon')} / 15.0 * 100, 0) AS BIGINT) AS weight FROM nv a JOIN nv b ON b.id = a.id AND b.pos = a.pos + 1 WHERE a.node <> b.node),
+ late AS (SELECT {_NODE} AS node, max(CASE kind WHEN 1 THEN 20 WHEN 2 THEN 4 WHEN 3 THEN 3 ELSE 2 END) AS delay FROM (SELECT kind, {_SNAPPED.format("")} FROM intersection) GROUP BY 1),
+ edge AS MATERIALIZED (SELECT e.src, e.dst, min(e.weight) + 100 * coalesce(max(late.delay), 0) AS weight FROM (SELECT src, dst, weight FROM st WHERE coalesce(oneway, 'no') <> '-1' UNION ALL SELECT dst, src, weight FROM st WHERE coalesce(oneway, 'no') <> 'yes') e LEFT JOIN late ON late.node = e.dst GROUP BY e.src, e.dst)"""
 )
+#: A label falls to the least of its neighbours' until none falls.
+_LABEL = """, both_ways AS MATERIALIZED (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge),
+ lab(node, component) USING KEY (node) AS (SELECT DISTINCT src, src FROM both_ways UNION SELECT b.dst, min(l.component) FROM lab l JOIN both_ways b ON b.src = l.node JOIN recurring.lab c ON c.node = b.dst WHERE l.component < c.component GROUP BY b.dst)"""
 
 
 @query("road_graph")
@@ -378,18 +404,21 @@ def connected_components(s, d):
     return R.components(R._cut(_graph(s, d)[1]))
 
 
-SQL["connected_components"] = _GRAPH + ", reach(node, other) AS (SELECT DISTINCT src, src FROM edge UNION SELECT r.node, e.dst FROM reach r JOIN edge e ON e.src = r.other) SELECT node, min(other) AS component FROM reach GROUP BY node"
+SQL["connected_components"] = _GRAPH + _LABEL + " SELECT node, component FROM lab"
 
 
 @query("shortest_path")
 def shortest_path(s, d):
+    """Every node that the one with most edges reaches, at whatever cost."""
     edges = R._cut(_graph(s, d)[1])
-    start = edges.agg(F.min("src").alias("source"))
-    return R.shortest_paths(edges, start, most_cost=12_000).select("node", "cost")
+    start = edges.groupBy("src").count().agg(F.min_by("src", F.struct(-F.col("count"), "src")).alias("source"))
+    return R.shortest_paths(edges, start).select("node", "cost")
 
 
 SQL["shortest_path"] = (
-    _GRAPH + ", path(node, cost) AS (SELECT min(src), CAST(0 AS BIGINT) FROM edge UNION SELECT e.dst, p.cost + e.weight FROM path p JOIN edge e ON e.src = p.node WHERE p.cost + e.weight <= 12000) SELECT node, min(cost) AS cost FROM path GROUP BY node"
+    _GRAPH
+    + """, path(node, cost) USING KEY (node) AS (SELECT * FROM (SELECT src, CAST(0 AS HUGEINT) FROM edge GROUP BY src ORDER BY count(*) DESC, src LIMIT 1) UNION SELECT e.dst, min(p.cost + e.weight) FROM path p JOIN edge e ON e.src = p.node LEFT JOIN recurring.path c ON c.node = e.dst WHERE c.node IS NULL OR p.cost + e.weight < c.cost GROUP BY e.dst)
+ SELECT node, CAST(cost AS BIGINT) AS cost FROM path"""
 )
 
 
@@ -404,36 +433,17 @@ SQL["snap_to_component"] = (
     _GRAPH
     + ", "
     + oracle("", "ping").replace("WITH ", "", 1).rstrip()
-    + f""", reach(node, other) AS (SELECT DISTINCT src, src FROM edge UNION SELECT r.node, e.dst FROM reach r JOIN edge e ON e.src = r.other), lab AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
- big AS (SELECT component FROM lab GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), nd AS (SELECT nv.node, min(lat_micro) AS la, min(lon_micro) AS lo FROM nv GROUP BY nv.node),
+    + _LABEL
+    + f""", big AS (SELECT component FROM lab GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), nd AS (SELECT nv.node, min(lat_micro) AS la, min(lon_micro) AS lo FROM nv GROUP BY nv.node),
  k AS (SELECT p.qid, l.node, {_HAV.replace('lat1', 'p.lat_micro / 100000.0').replace('lat2', 'n.la / 100000.0').replace('lon1', 'p.lon_micro / 100000.0').replace('lon2', 'n.lo / 100000.0')} AS dist FROM ping p CROSS JOIN lab l JOIN big ON big.component = l.component JOIN nd n ON n.node = l.node)
  SELECT qid, node, round(dist, 1) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, node) AS r FROM k WHERE dist <= 3000) WHERE r = 1"""
 )
 
 
-@query("road_graph_whole")
-def road_graph_whole(s, d):
-    return _graph(s, d, "true")[1]
-
-
-SQL["road_graph_whole"] = _GRAPH.replace(f" WHERE {SMALL}", "") + " SELECT * FROM edge"
-
-
-def connected_components_whole(s, d):
-    return R.components(R._cut(_graph(s, d, "true")[1]))
-
-
-def shortest_path_whole(s, d):
-    """Every node that the least one reaches, at whatever cost."""
-    edges = R._cut(_graph(s, d, "true")[1])
-    start = edges.agg(F.min("src").alias("source"))
-    return R.shortest_paths(edges, start).select("node", "cost")
-
-
-def snap_to_component_whole(s, d):
-    nodes, edges = _graph(s, d, "true")
-    hit = R.snap_to_largest(view(s, d, "ping"), nodes, R.components(R._cut(edges)), 3000.0)
-    return hit.select("qid", "node", F.round("distance", 1).alias("distance"))
+def simplify_lines(s, d):
+    """Vertices left of every road at two tolerances; the method has no form in SQL, tests hold it against the scalar one."""
+    lines = shape(view(s, d, "road_vertex"))
+    return E.simplify(lines, 0.0005).select("osm_id", F.size("coords").alias("n")).join(E.simplify(lines, 0.001).select("osm_id", F.size("coords").alias("n_coarse")), "osm_id")
 
 
-WHOLE |= {f.__name__: f for f in (connected_components_whole, shortest_path_whole, snap_to_component_whole)}
+WHOLE |= {"simplify_lines": simplify_lines}

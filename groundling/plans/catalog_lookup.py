@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import geo, grid
@@ -43,6 +45,13 @@ INSIDE = """inside AS (SELECT p.qid, e.id FROM ping p CROSS JOIN seg2 e WHERE (e
  AND p.lon_micro / 100000.0 < (e.bx - e.ax) * (p.lat_micro / 100000.0 - e.ay) / (e.by_ - e.ay) + e.ax GROUP BY p.qid, e.id HAVING count(*) % 2 = 1)"""
 
 
+def prefixed(sql: str, p: str) -> str:
+    """The same steps under names of their own, beside others."""
+    sql = re.sub(r"\bseg(2?)\b", p + r"seg\1", sql)
+    sql = re.sub(r"\b([mnd]) AS \(", p + r"\1 AS (", sql)
+    return re.sub(r"FROM ([mn])\)", rf"FROM {p}\1)", sql).replace("inside AS", f"{p}inside AS")
+
+
 def with_views(sql: str, *names: str) -> str:
     return oracle("", *names).rstrip() + ", " + sql
 
@@ -137,16 +146,16 @@ def _road_columns(df):
     return df.select("qid", "osm_id", "rank", "piece_id", "road_class", F.round("distance", 1).alias("distance"), *[F.round(c, 6).alias(c) for c in ("snap_lat", "snap_lon")])
 
 
-def _road(name: str, n: int, radius: float, profile: str | None = None):
-    cls = "road_class IN ('" + "', '".join(L.PROFILES[profile]) + "')" if profile else "true"
+def _road(name: str, n: int, radius: float, profile: str | None = None, cls: str = "true"):
     QUERIES[name] = lambda s, d: _road_columns(L.nearest_roads(view(s, d, "ping"), roads(s, d), n, radius, profile))
     SQL[name] = _roads(n, radius, cls)
 
 
 _road("nearest_road", 1, 100.0)
 _road("nearest_n_roads", 5, 150.0)
-_road("nearest_road_driving", 1, 200.0, "driving")
+_road("nearest_road_driving", 1, 200.0, "driving", "road_class IN ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary', 'primary_link', 'secondary', 'tertiary', 'tertiary_link')")
 _road("nearest_road_walking", 3, 200.0, "walking")
+_road("nearest_road_cycling", 2, 200.0, "cycling", "road_class IN ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary', 'primary_link', 'secondary', 'tertiary', 'tertiary_link', 'cycleway')")
 
 RINGS = steps("building_vertex", True) + ", " + INSIDE
 
@@ -213,7 +222,7 @@ SQL["rail_nearest"] = with_views(
 
 @query("segment_distance_compat", None)
 def segment_distance_compat(s, d):
-    rows = grid.near(view(s, d, "ping"), buildings(s, d), 400.0, 45.0, grid.cover(geo.bounds(F.col("coords"))))
+    rows = grid.near(view(s, d, "ping"), buildings(s, d), 400.0, grid.cover(geo.bounds(F.col("coords"))))
     dist = geo.to_ring_compat(geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), F.col("coords"))
     return rows.select("qid", "osm_id", dist.alias("x")).where("x <= 300").groupBy("qid", "osm_id").agg(F.round(F.min("x"), 1).alias("distance"))
 
@@ -261,7 +270,7 @@ def places_near(s, d):
 
 @query(
     "place_best_match",
-    f"SELECT qid, osm_id, name, place_type, round(d, 1) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sp, d, osm_id) AS k FROM (SELECT p.qid, b.osm_id, b.name, b.place_type, CASE b.place_type WHEN 'city' THEN 5 WHEN 'town' THEN 4 WHEN 'village' THEN 3 ELSE 0 END AS sp, CASE b.place_type WHEN 'city' THEN 15000 WHEN 'town' THEN 5000 WHEN 'village' THEN 2000 ELSE 1000 END AS reach, {HAV.format(f='b')} AS d FROM ping p CROSS JOIN place b) WHERE d <= reach) WHERE k = 1",
+    f"SELECT qid, osm_id, name, place_type, round(d, 1) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sp, d, osm_id) AS k FROM (SELECT p.qid, b.osm_id, b.name, b.place_type, CASE b.place_type WHEN 'city' THEN 5 WHEN 'town' THEN 4 WHEN 'village' THEN 3 WHEN 'hamlet' THEN 2 ELSE 0 END AS sp, CASE b.place_type WHEN 'city' THEN 15000 WHEN 'town' THEN 5000 WHEN 'village' THEN 2000 WHEN 'hamlet' THEN 500 ELSE 1000 END AS reach, {HAV.format(f='b')} AS d FROM ping p CROSS JOIN place b) WHERE d <= reach) WHERE k = 1",
     "ping", "place",
 )
 def place_best_match(s, d):
@@ -305,16 +314,120 @@ def point_report(s, d):
     return r.withColumn("road_distance", F.round("road_distance", 1))
 
 
-SQL["point_report"] = with_views(
+REPORT_STEPS = (
     steps("road_vertex").replace("seg AS MATERIALIZED", "rseg AS MATERIALIZED").replace("CROSS JOIN seg s", "CROSS JOIN rseg s").replace(" m AS", " rm AS").replace("FROM m)", "FROM rm)").replace(" n AS", " rn AS").replace("FROM n)", "FROM rn)").replace(" d AS", " rd AS")
     + ", " + RINGS
     + f""", bl AS (SELECT qid, min(id) AS building_id FROM inside GROUP BY qid), rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, osm_id) AS k FROM (SELECT rd.qid, r.osm_id, min(rd.dist) AS dist FROM rd JOIN road r ON r.piece_id = rd.id WHERE rd.dist <= 300 GROUP BY rd.qid, r.osm_id)),
  bs AS (SELECT qid, count(*) AS n, min_by(osm_id, struct_pack(a := dd, b := osm_id)) AS nb FROM (SELECT p.qid, b.osm_id, {HAV.format(f='b')} AS dd FROM ping p CROSS JOIN business b) WHERE dd <= 300 GROUP BY qid),
- pl AS (SELECT qid, name FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sp, dd, osm_id) AS k FROM (SELECT p.qid, b.osm_id, b.name, CASE b.place_type WHEN 'city' THEN 5 WHEN 'town' THEN 4 WHEN 'village' THEN 3 ELSE 0 END AS sp, CASE b.place_type WHEN 'city' THEN 15000 WHEN 'town' THEN 5000 WHEN 'village' THEN 2000 ELSE 1000 END AS reach, {HAV.format(f='b')} AS dd FROM ping p CROSS JOIN place b) WHERE dd <= reach) WHERE k = 1)
- SELECT p.qid, bl.building_id, rr.osm_id AS road_id, round(rr.dist, 1) AS road_distance, coalesce(bs.n, 0) AS n_businesses, bs.nb AS nearest_business, pl.name AS place, g.country, g.state
- FROM ping p LEFT JOIN bl ON bl.qid = p.qid LEFT JOIN rr ON rr.qid = p.qid AND rr.k = 1 LEFT JOIN bs ON bs.qid = p.qid LEFT JOIN pl ON pl.qid = p.qid LEFT JOIN admin_grid g ON g.cy = floor(p.lat_micro / 2000) AND g.cx = floor(p.lon_micro / 2000)""",
-    "ping", "road", "road_vertex", "building_vertex", "business", "place", "admin_grid",
+ pl AS (SELECT qid, name FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sp, dd, osm_id) AS k FROM (SELECT p.qid, b.osm_id, b.name, CASE b.place_type WHEN 'city' THEN 5 WHEN 'town' THEN 4 WHEN 'village' THEN 3 WHEN 'hamlet' THEN 2 ELSE 0 END AS sp, CASE b.place_type WHEN 'city' THEN 15000 WHEN 'town' THEN 5000 WHEN 'village' THEN 2000 WHEN 'hamlet' THEN 500 ELSE 1000 END AS reach, {HAV.format(f='b')} AS dd FROM ping p CROSS JOIN place b) WHERE dd <= reach) WHERE k = 1)"""
+)
+REPORT_COLUMNS = "p.qid, bl.building_id, rr.osm_id AS road_id, round(rr.dist, 1) AS road_distance, coalesce(bs.n, 0) AS n_businesses, bs.nb AS nearest_business, pl.name AS place, g.country, g.state, g.county, g.zip, g.timezone"
+REPORT_JOINS = "ping p LEFT JOIN bl ON bl.qid = p.qid LEFT JOIN rr ON rr.qid = p.qid AND rr.k = 1 LEFT JOIN bs ON bs.qid = p.qid LEFT JOIN pl ON pl.qid = p.qid LEFT JOIN admin_grid g ON g.cy = floor(p.lat_micro / 2000) AND g.cx = floor(p.lon_micro / 2000)"
+SQL["point_report"] = with_views(f"{REPORT_STEPS} SELECT {REPORT_COLUMNS} FROM {REPORT_JOINS}", "ping", "road", "road_vertex", "building_vertex", "business", "place", "admin_grid")
+
+
+@query("point_context", None)
+def point_context(s, d):
+    """Every layer at each point: the report and water, park, rail or station, and house number."""
+    v = lambda n: view(s, d, n)
+    areas, ranges = shape(v("park_vertex")), v("road").where("piece_id % 3 = 0").select("piece_id", (F.col("piece_id") % 90 + 1).alias("from_no"), (F.col("piece_id") % 90 + 41).alias("to_no"))
+    stations = v("intersection").select(F.col("id").alias("osm_id"), "lat_micro", "lon_micro")
+    r = L.point_report(v("ping"), buildings(s, d), roads(s, d), v("business"), v("place"), v("admin_grid"), water=areas, parks=areas, rail=shape(v("rail_vertex")), stations=stations, ranges=ranges)
+    return r.withColumn("road_distance", F.round("road_distance", 1))
+
+
+_STATIONS = f"SELECT p.qid, b.id, {HAV.format(f='b')} AS dist FROM ping p CROSS JOIN intersection b"
+SQL["point_context"] = with_views(
+    f"""{REPORT_STEPS}, {prefixed(steps("park_vertex", True) + ", " + INSIDE, "k")}, {prefixed(steps("rail_vertex"), "t")},
+ wa AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS k FROM (SELECT qid, id, 0.0 AS dist FROM kinside UNION ALL SELECT qid, id, dist FROM kd WHERE dist <= 100 AND (qid, id) NOT IN (SELECT (qid, id) FROM kinside))),
+ pk AS (SELECT qid, min(id) AS id FROM kinside GROUP BY qid),
+ ra AS (SELECT qid, id, kind, row_number() OVER (PARTITION BY qid ORDER BY dist, kind, id) AS k FROM (SELECT qid, id, 'line' AS kind, min(dist) AS dist FROM td GROUP BY qid, id UNION ALL SELECT qid, id, 'station', dist FROM ({_STATIONS})) WHERE dist <= 3000),
+ ad AS (SELECT rd.*, r.osm_id, row_number() OVER (PARTITION BY rd.qid ORDER BY rd.dist, r.osm_id, r.piece_id, rd.i) AS k FROM rd JOIN road r ON r.piece_id = rd.id WHERE rd.dist <= 50 AND r.piece_id % 3 = 0),
+ ax AS (SELECT a.qid, (s.bx - s.ax) * (p.lat_micro / 100000.0 - s.ay) - (s.by_ - s.ay) * (p.lon_micro / 100000.0 - s.ax) AS c, a.id % 90 + 1 + CAST(floor((a.i + a.t) / 3 * 40 / 2) AS BIGINT) * 2 AS base FROM ad a JOIN rseg s ON s.id = a.id AND s.i = a.i JOIN ping p ON p.qid = a.qid WHERE a.k = 1)
+ SELECT {REPORT_COLUMNS}, wa.id AS water_id, pk.id AS park_id, ra.id AS rail_id, ra.kind AS rail_kind, CASE WHEN ax.c IS NULL THEN NULL WHEN (ax.c > 0) = (ax.base % 2 = 1) THEN ax.base ELSE ax.base + 1 END AS house_number
+ FROM {REPORT_JOINS} LEFT JOIN wa ON wa.qid = p.qid AND wa.k = 1 LEFT JOIN pk ON pk.qid = p.qid LEFT JOIN ra ON ra.qid = p.qid AND ra.k = 1 LEFT JOIN ax ON ax.qid = p.qid""",
+    "ping", "road", "road_vertex", "building_vertex", "business", "place", "admin_grid", "park_vertex", "rail_vertex", "intersection",
+)
+
+
+@query("rail_or_station", None)
+def rail_or_station(s, d):
+    stations = view(s, d, "intersection").select(F.col("id").alias("osm_id"), "lat_micro", "lon_micro")
+    return L.nearest_rail(view(s, d, "ping"), shape(view(s, d, "rail_vertex")), stations, 3000.0).select("qid", "osm_id", "kind", F.round("distance", 1).alias("distance"))
+
+
+SQL["rail_or_station"] = with_views(
+    steps("rail_vertex")
+    + f""" SELECT qid, id AS osm_id, kind, round(dist, 1) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, kind, id) AS k FROM (SELECT qid, id, 'line' AS kind, min(dist) AS dist FROM d GROUP BY qid, id
+ UNION ALL SELECT qid, id, 'station', dist FROM ({_STATIONS})) WHERE dist <= 3000) WHERE k = 1""",
+    "ping", "rail_vertex", "intersection",
+)
+
+
+FAR = (500, 3000, 15000)
+
+
+@query("nearby_far_north", " UNION ALL ".join(f"SELECT {r} AS radius, qid, osm_id, round(d, 1) AS distance FROM (SELECT p.qid, b.osm_id, {HAV.format(f='b')} AS d FROM far_ping p CROSS JOIN far_business b) WHERE d <= {r}" for r in FAR), "far_ping", "far_business")
+def nearby_far_north(s, d):
+    """Radius searches up to 80 degrees, half of them at the date line."""
+    hit = [L.nearby(view(s, d, "far_ping"), view(s, d, "far_business"), float(r), None).select(F.lit(r).alias("radius"), "qid", "osm_id", F.round("distance", 1).alias("distance")) for r in FAR]
+    return hit[0].union(hit[1]).union(hit[2])
+
+
+@query("nearest_road_far_north", None)
+def nearest_road_far_north(s, d):
+    lines = shape(view(s, d, "far_vertex")).withColumns({"piece_id": F.col("osm_id"), "road_class": F.lit("track"), "name": F.lit(None).cast("string")})
+    return L.nearest_roads(view(s, d, "far_ping"), lines, 3, 5000.0).select("qid", "osm_id", "rank", F.round("distance", 1).alias("distance"))
+
+
+SQL["nearest_road_far_north"] = with_views(
+    steps("far_vertex").replace("FROM ping p", "FROM far_ping p") + " SELECT * FROM (SELECT qid, id AS osm_id, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank, round(dist, 1) AS distance FROM (SELECT qid, id, min(dist) AS dist FROM d GROUP BY qid, id) WHERE dist <= 5000) WHERE rank <= 3",
+    "far_ping", "far_vertex",
+)
+
+
+@query(
+    "buildings_by_centroid",
+    f"SELECT qid, osm_id, round(d, 1) AS distance FROM (SELECT p.qid, b.osm_id, {HAV.format(f='b')} AS d FROM ping p CROSS JOIN (SELECT id AS osm_id, CAST(round_even(avg(lat_micro / 100000.0) * 100000.0, 0) AS INTEGER) AS lat_micro, CAST(round_even(avg(lon_micro / 100000.0) * 100000.0, 0) AS INTEGER) AS lon_micro FROM building_vertex GROUP BY id) b) WHERE d <= 300",
+    "ping", "building_vertex",
+)
+def buildings_by_centroid(s, d):
+    return L.within_centroid(view(s, d, "ping"), buildings(s, d), 300.0).select("qid", "osm_id", F.round("distance", 1).alias("distance"))
+
+
+LEVELS = {"country": ("region", "r_name", 6), "state": ("nation", "n_name", 27), "county": ("nation", "n_name", 25), "zip": ("region", "r_name", 5), "timezone": ("region", "r_name", 7)}
+
+
+@query(
+    "admin_names",
+    "SELECT (g.cy + 8388608) * 16777216 + g.cx + 8388608 AS cell, " + ", ".join(f"coalesce(t{i}.value, '') AS {k}" for i, k in enumerate(LEVELS)) + ", CAST(abs(g.cx) % 4 AS INTEGER) AS boundary_flags FROM admin_grid g"
+    + "".join(f" LEFT JOIN (SELECT row_number() OVER (ORDER BY {c}) - 1 AS idx, {c} AS value FROM {t}) t{i} ON t{i}.idx = abs(g.cx + g.cy) % {n}" for i, (t, c, n) in enumerate(LEVELS.values())),
+    "admin_grid",
+)
+def admin_names(s, d):
+    """Cells with an index of each level against five string tables; some indexes lie beyond their table."""
+    from ..operators.etl import string_table
+
+    strings = None
+    for level, (table, column, _) in LEVELS.items():
+        one = string_table(s.read.parquet(f"{d}/{table}.parquet"), column).withColumn("level", F.lit(level))
+        strings = one if strings is None else strings.unionByName(one)
+    cells = view(s, d, "admin_grid").select(
+        grid.cell_id(F.col("cy"), F.col("cx")).alias("cell"), (F.abs("cx") % 4).cast("int").alias("boundary_flags"), *[(F.abs(F.col("cx") + F.col("cy")) % n).cast("int").alias(f"{k}_idx") for k, (_, _, n) in LEVELS.items()]
+    )
+    return L.named_cells(cells, strings)
+
+
+@query(
+    "cell_overlay",
+    """SELECT qid, (cy + dy + 8388608) * 16777216 + cx + dx + 8388608 AS cell, round((cx + dx) * 0.02, 6) AS west, round((cy + dy + 1) * 0.02, 6) AS north, round((cy - w) * 0.02, 6) AS min_lat, round((cx + w + 1) * 0.02, 6) AS max_lon
+ FROM (SELECT qid, w, CAST(floor(lat_micro / 2000) AS BIGINT) AS cy, CAST(floor(lon_micro / 2000) AS BIGINT) AS cx FROM (SELECT *, CAST(least(14, greatest(6, floor(36 - qid % 20 * 2.5 + 0.5))) AS INTEGER) AS w FROM ping)) q, LATERAL (SELECT unnest(generate_series(-q.w, q.w)) AS dy) a, LATERAL (SELECT unnest(generate_series(-q.w, q.w)) AS dx) b""",
+    "ping",
 )
+def cell_overlay(s, d):
+    p = view(s, d, "ping").select(F.col("qid").alias("view"), geo.degrees(F.col("lat_micro")).alias("lat"), geo.degrees(F.col("lon_micro")).alias("lon"), (F.col("qid") % 20).alias("zoom"))
+    r = grid.overlay(p)
+    return r.select(F.col("view").alias("qid"), "cell", F.round(F.col("ring")[0]["lon"], 6).alias("west"), F.round(F.col("ring")[2]["lat"], 6).alias("north"), F.round("min_lat", 6).alias("min_lat"), F.round("max_lon", 6).alias("max_lon"))
 
 
 @query("admin_exact", None)

@@ -69,7 +69,7 @@ def test_texts(spark):
 def test_grid_wraps_and_covers(spark):
     east = one(spark, grid.cell(F.lit(5_100_000), F.lit(18_000_500)))
     assert east == one(spark, grid.cell(F.lit(5_100_000), F.lit(18_000_500 - 36_000_000)))
-    disk = one(spark, grid.disk(F.lit(0), F.lit(0), 5000.0, 45.0))
+    disk = one(spark, grid.disk(F.lit(0), F.lit(0), 5000.0))
     assert len(disk) == len(set(disk)) and one(spark, grid.cell(F.lit(0), F.lit(0))) in disk
     c = one(spark, grid.centre(grid.cell(F.lit(3_616_270), F.lit(-8_678_160))))
     assert abs(c.lat - 36.1627) < 0.011 and abs(c.lon + 86.7816) < 0.011
