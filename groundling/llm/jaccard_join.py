@@ -20,6 +20,8 @@ SKETCH_BLOCKS = 16
 TASK_BYTES = 8 << 20
 BLOCK_BYTES = 16 << 20
 PREFIX_BYTES = 2 << 20
+#: Bits of the map of sets that are looked at whole: 4 MB, a power of two.
+NEEDED_BITS = 1 << 25
 #: Members beyond which a group is not filtered by bitmaps but goes to the tree as it is.
 MOST_FILTERED = 4_000
 SETS = "struct<n:bigint,s0:bigint,s1:bigint,prefix:array<bigint>,parity:binary>"
@@ -169,20 +171,31 @@ def crossing(members: list[tuple[int, int, int, bytes]], num: int, den: int) ->
     return [x[0] for x, h in zip(members, hit, strict=True) if h]
 
 
-def crossing_members(members: DataFrame, parities: DataFrame, num: int, den: int) -> DataFrame:
-    """(gid, rep) of ``members`` (gid, rep, n, known) that may be similar to one of another class in their group."""
+def with_parities(members: DataFrame, parities: DataFrame, columns: list[str], cut, schema: str) -> DataFrame:
+    """``cut`` (rows of ``columns``, map from rep to its bitmap) over buckets of whole groups; a bucket gets the bitmap of each of its sets once, in however many groups the set is."""
     volume = members.agg(F.sum(F.col("n") + 400)).first()[0] or 0
     buckets = max(1, -(-int(volume) // TASK_BYTES))
+    keyed = members.select(F.pmod(F.xxhash64("gid"), F.lit(buckets)).alias("bucket"), *columns)
+    maps = keyed.select("bucket", "rep").distinct().join(parities, "rep").select(F.col("bucket").alias("of"), F.col("rep").alias("set"), F.col("parity").alias("map"))
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        of = dict(zip(right.column("set").to_pylist(), right.column("map").to_pylist(), strict=True))
+        return cut(zip(*(left.column(c).to_pylist() for c in columns), strict=True), of)
+
+    return keyed.groupBy("bucket").cogroup(maps.groupBy("of")).applyInArrow(run, schema)
+
+
+def crossing_members(members: DataFrame, parities: DataFrame, num: int, den: int) -> DataFrame:
+    """(gid, rep) of ``members`` (gid, rep, n, known) that may be similar to one of another class in their group."""
 
-    def cut(table: pa.Table) -> pa.Table:
+    def cut(rows, parity: dict[int, bytes]) -> pa.Table:
         groups: dict[int, list[tuple[int, int, int, bytes]]] = {}
-        for gid, *x in zip(*(table.column(c).to_pylist() for c in ("gid", "rep", "n", "known", "parity")), strict=True):
-            groups.setdefault(gid, []).append(tuple(x))
+        for gid, rep, n, known in rows:
+            groups.setdefault(gid, []).append((rep, n, known, parity[rep]))
         out = [(gid, rep) for gid, g in groups.items() for rep in crossing(g, num, den)]
         return pa.table({k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(("gid", "rep"))})
 
-    bucket = F.pmod(F.xxhash64("gid"), F.lit(buckets)).alias("bucket")
-    return members.join(parities, "rep").select("gid", "rep", "n", "known", "parity").groupBy(bucket).applyInArrow(cut, "gid long, rep long")
+    return with_parities(members, parities, ["gid", "rep", "n", "known"], cut, "gid long, rep long")
 
 
 def prefix_sets(text_col: str, words: int, num: int, den: int, rank: np.ndarray):
@@ -260,13 +273,11 @@ def similar_members(members: DataFrame, parities: DataFrame, num: int, den: int,
     one look go on as they are."""
     large = members.where(F.col("m") > MOST_FILTERED).select("gid", "rep", "n", "weight", "blocks")
     small = members.where(F.col("m") <= MOST_FILTERED)
-    volume = small.agg(F.sum(F.col("n") + 400)).first()[0] or 0
-    buckets = max(1, -(-int(volume) // TASK_BYTES))
 
-    def cut(table: pa.Table) -> pa.Table:
+    def cut(rows, parity: dict[int, bytes]) -> pa.Table:
         groups: dict[int, list[tuple[int, int, bytes]]] = {}
-        for gid, rep, n, parity in zip(*(table.column(c).to_pylist() for c in ("gid", "rep", "n", "parity")), strict=True):
-            groups.setdefault(gid, []).append((rep, n, parity))
+        for gid, rep, n in rows:
+            groups.setdefault(gid, []).append((rep, n, parity[rep]))
         out = []
         for group in groups.values():
             n_of = {rep: n for rep, n, _ in group}
@@ -277,8 +288,7 @@ def similar_members(members: DataFrame, parities: DataFrame, num: int, den: int,
         out = list(dict.fromkeys(out))
         return pa.table({k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(("gid", "rep", "n"))})
 
-    bucket = F.pmod(F.xxhash64("gid"), F.lit(buckets)).alias("bucket")
-    classes = small.join(parities, "rep").select("gid", "rep", "n", "parity").groupBy(bucket).applyInArrow(cut, "gid long, rep long, n long")
+    classes = with_parities(small, parities, ["gid", "rep", "n"], cut, "gid long, rep long, n long")
     classes = classes.distinct()
     sizes = classes.groupBy("gid").agg(F.sum("n").alias("weight"))
     blocks = F.ceil(F.col("weight") * 8 / F.lit(block_bytes)).cast("int").alias("blocks")
@@ -306,6 +316,36 @@ def linked(members: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
     return members.groupBy(bucket).applyInArrow(join, "a long, b long")
 
 
+def banded(members: DataFrame, num: int, den: int, block_bytes: int) -> DataFrame:
+    """``members`` (gid, rep, n, known, block, blocks, ...) with groups of several blocks cut by size: a set meets only those of its own band of sizes and
+    the next, as sets whose sizes differ by more than num / den are not similar. What is still too large for one look is dealt into blocks anew."""
+    columns = ["gid", "rep", "n", "known", "block", "blocks"]
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("long") if num < den else F.col("n")
+    large = members.where("blocks > 1").select("gid", "rep", "n", "known", F.explode(F.array(band, band - 1) if num < den else F.array(band)).alias("band"))
+    large = large.select(F.xxhash64("gid", "band").alias("gid"), "rep", "n", "known")
+    size = large.groupBy("gid").agg(F.ceil(F.sum("n") * 8 / F.lit(block_bytes)).cast("int").alias("blocks"))
+    large = large.join(size, "gid").withColumn("block", F.pmod(F.xxhash64("rep", "gid"), F.col("blocks")).cast("int"))
+    return members.where("blocks = 1").select(columns).union(large.select(columns))
+
+
+def maybe_in(keys: DataFrame, column: str):
+    """Condition that holds for every value of ``column`` that is in ``keys``, and for few others: a bitmap of NEEDED_BITS bits, whatever the input,
+    so that rows that the join to come would drop are dropped before they are moved."""
+    place = F.xxhash64(column).bitwiseAND(NEEDED_BITS - 1)
+    word = keys.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    got = word.toArrow()  # NEEDED_BITS / 64 rows at most
+    bitmap = np.zeros(NEEDED_BITS // 64, np.uint64)
+    bitmap[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    held = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def hit(at: pa.Array) -> pa.Array:
+        at = at.to_numpy(zero_copy_only=False).astype(np.uint64)
+        return pa.array((held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return hit(place)
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, block_entries: int = 1 << 18
 ) -> DataFrame:
@@ -317,10 +357,10 @@ def near_duplicates(
     shingles that nobody else has are dropped in packed exchanges, and groups with the same members count once.
     Sets are joined in a prefix tree, which adds only links between classes not joined yet: first each set in its largest
     group, then, of the groups whose members are not all in one class by then, every set that its bitmap allows a link to another class. A group with more than
-    ``block_bytes`` of sets is dealt into blocks, and every two of them are joined.
+    ``block_bytes`` of sets is cut by the sets' sizes, and what is still larger is dealt into blocks, of which every two are joined.
 
     Null text or no words: an empty set, linked with nothing. Fewer words than ``words``: the whole
-    sequence as one shingle. text_hash is xxhash64 of the text, to tell rows of one id apart. Null id: a row with its set's component, never a component's name unless alone (then null).
+    sequence as one shingle. Very long texts: as all others. text_hash is xxhash64 of the text, to tell rows of one id apart. Null id: a row with its set's component, never a component's name unless alone (then null).
     Repeated rows: rows of their own. Empty table: no rows. Other columns are left out.
     """
     total = text_bytes(docs, text_col)
@@ -329,6 +369,8 @@ def near_duplicates(
     one = written(one)
     reps = one.where("n > 0").groupBy("s0", "s1", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")).where("rep IS NOT NULL")
     some = reps.where("size(prefix) > 0").select("rep", "n", "prefix")
+    known = written(reps.select("rep", "n", "s0", "s1", "parity"))
+    parity = known.where("octet_length(parity) > 0").select("rep", "parity")
     parts = 1 + total * (den - num) // den * 8 // 6 // PREFIX_BYTES  # prefixes hold (den - num) / den of about a shingle for six bytes of text
     tokens = written(shared_tokens(some, int(parts), max(1, total * (den - num) // den // 6), block_entries))
 
@@ -336,7 +378,7 @@ def near_duplicates(
     groups = groups.groupBy("m", "weight", "who").agg(F.min("token").alias("gid"))
     blocks = F.ceil(F.col("weight") * 8 / block_bytes).cast("int")
     members = tokens.join(groups.select("gid", "m", "weight", blocks.alias("blocks")), F.col("token") == F.col("gid")).select("gid", "rep", "n", "m", "weight", "blocks")
-    members = written(similar_members(members, reps.select("rep", "parity"), num, den, block_bytes))
+    members = written(similar_members(members, parity, num, den, block_bytes))
     members = members.withColumn("block", F.pmod(F.xxhash64("rep", "gid"), F.col("blocks")).cast("int"))
 
     needed = members.select("rep").distinct()
@@ -355,10 +397,10 @@ def near_duplicates(
         whole = lambda x: pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64))
         return pa.StructArray.from_arrays([whole(s0), whole(s1), pa.array(out, pa.binary())], names=["s0", "s1", "keys"])
 
-    text = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(needed, "rep")
+    text = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where(maybe_in(needed, "rep")).join(needed, "rep")
     # ids can repeat with other texts: the one that the id stands for has its set's identity
     sets = text.select("rep", keys.asNondeterministic()(F.coalesce("text", F.lit(""))).alias("s")).select("rep", "s.*")
-    sets = written(sets.join(reps.select("rep", "s0", "s1"), ["rep", "s0", "s1"], "left_semi").dropDuplicates(["rep"]).select("rep", "keys"))
+    sets = written(sets.join(known.select("rep", "s0", "s1"), ["rep", "s0", "s1"], "left_semi").dropDuplicates(["rep"]).select("rep", "keys"))
     # first every set in one group only, its largest: that joins most classes, and groups all in one class are done
     pick = members.groupBy("rep").agg(F.max(F.struct("weight", "gid")).alias("p")).select("rep", "p.gid")
     volume = sets.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
@@ -371,8 +413,9 @@ def near_duplicates(
     open_ = rest.groupBy("gid").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.count("*").alias("m")).where("x <> y").select("gid", "m")
     rest = written(rest.join(open_, "gid"))
     small = rest.where(F.col("m") <= MOST_FILTERED)
-    may = crossing_members(small.select("gid", "rep", "n", "known"), reps.select("rep", "parity"), num, den)
+    may = crossing_members(small.select("gid", "rep", "n", "known"), parity, num, den)
     rest = written(small.join(may, ["gid", "rep"], "left_semi").union(rest.where(F.col("m") > MOST_FILTERED).select(small.columns)))
+    rest = written(banded(rest, num, den, block_bytes))
     volume = rest.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
     if volume:
         pairs = rest.select("gid", "rep", "known", "block", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).where("with <> block OR blocks = 1")
@@ -380,7 +423,7 @@ def near_duplicates(
         edges = written(edges.union(linked(pairs, max(1, -(-int(volume) * 8 // TASK_BYTES)), num, den)))
         classes = connected(edges)
 
-    named = reps.select("s0", "s1", "n", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    named = known.select("s0", "s1", "n", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("s0", "s1", "n", F.coalesce("component", "rep").alias("component_id"))
     full = one.where("n > 0").select("id", "n", "s0", "s1", "text_hash").join(named, ["s0", "s1", "n"], "left").select("id", "n", "component_id", "text_hash")
     empty = one.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "text_hash")
