@@ -58,6 +58,26 @@ def way_features(ways: DataFrame, key: str, values: list[str] | None = None, lea
     return ways.where(hit & (F.size("nodes") >= least) & sound).select(F.col("id").alias("osm_id"), tag.alias(key), F.element_at("tags", "name").alias("name"), F.col("nodes").alias("coords"))
 
 
+def addresses(ways: DataFrame) -> DataFrame:
+    """(osm_id, housenumber, street, lon, lat): buildings with a house number, at their first node."""
+    tag = lambda k: F.element_at("tags", k)
+    first = F.get("nodes", F.lit(0))
+    hit = ways.where(tag("building").isNotNull() & (F.coalesce(tag("addr:housenumber"), F.lit("")) != "") & (F.size("nodes") > 0))
+    return hit.select(F.col("id").alias("osm_id"), tag("addr:housenumber").alias("housenumber"), F.coalesce(tag("addr:street"), F.lit("")).alias("street"), first["lon"].alias("lon"), first["lat"].alias("lat"))
+
+
+def highways(roads: DataFrame) -> DataFrame:
+    """Roads of the long-distance classes alone."""
+    return roads.where(F.col("road_class").isin("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link"))
+
+
+def category_names(spark: SparkSession, path: str) -> DataFrame:
+    """(category_idx, category) of a sidecar, from 1: a JSON list, or an object that has it as ``categories``."""
+    text = spark.read.text(path, wholetext=True)
+    names = F.coalesce(F.from_json(F.get_json_object("value", "$.categories"), "array<string>"), F.from_json("value", "array<string>"))
+    return text.select(F.posexplode(names).alias("i", "category")).select((F.col("i") + 1).alias("category_idx"), "category")
+
+
 def wkb_points(df: DataFrame, column: str) -> DataFrame:
     """lon and lat of little-endian WKB points, by bytes: no UDF."""
 

@@ -1,3 +1,5 @@
+import math
+import random
 import struct
 
 import pytest
@@ -6,7 +8,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from groundling.functions import classify, codec, geo, grid, tiles
-from groundling.functions.simplify import douglas_peucker
 from groundling.operators import etl, lookup
 from groundling.sources import tables
 from groundling.sources.layerfile import Cursor
@@ -105,12 +106,67 @@ def test_tags(spark):
     assert one(spark, classify.rail_kind(F.lit("preserved"))) == "rail"
 
 
+def douglas_peucker(points, tolerance):
+    """One line, stretch by stretch: the vertices kept."""
+    def inner(a, b):
+        (ax, ay), (bx, by) = points[a], points[b]
+        size = math.hypot(bx - ax, by - ay)
+        off = [math.hypot(x - ax, y - ay) if size == 0 else abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / size for x, y in points[a + 1 : b]]
+        if not off or max(off) <= tolerance:
+            return []
+        m = a + 1 + off.index(max(off))
+        return [*inner(a, m), m, *inner(m, b)]
+
+    return [0, *inner(0, len(points) - 1), len(points) - 1] if len(points) > 1 else list(range(len(points)))
+
+
 def test_simplify(spark):
-    line = [(x / 100, 0.0001 * (x % 2)) for x in range(101)]
-    assert douglas_peucker(line, 0.001) == [line[0], line[-1]]
-    assert douglas_peucker([(0, 0), (1, 1), (2, 0)], 0.1) == [(0, 0), (1, 1), (2, 0)]
-    df = spark.createDataFrame([(1, line)], "osm_id long, coords array<struct<lon:double,lat:double>>")
-    assert len(etl.simplify(df, 0.001).first().coords) == 2
+    rng = random.Random(1)
+    lines = [[], [(1.0, 2.0)], [(x / 100, 0.0001 * (x % 2)) for x in range(101)], [(0.0, 0.0), (1.0, 1.0), (2.0, 0.0)], [(0.0, 0.0), (1.0, 1.0), (0.0, 0.0)]]
+    lines += [[(rng.random(), rng.random()) for _ in range(rng.randrange(2, 60))] for _ in range(40)] + [[(i * 0.01, rng.random() * 0.01) for i in range(3000)]]
+    df = spark.createDataFrame([*enumerate(lines), (999, None)], "osm_id long, coords array<struct<lon:double,lat:double>>")
+    for tolerance in (0.001, 0.1):
+        got = {r.osm_id: r.coords and [tuple(p) for p in r.coords] for r in etl.simplify(df, tolerance).collect()}
+        assert got.pop(999) is None
+        assert got == {i: [v[k] for k in douglas_peucker(v, tolerance)] for i, v in enumerate(lines)}
+
+
+def test_fixed_values(spark):
+    """The values that results depend on, as literals."""
+    pairs = lambda f, values: [one(spark, f(*[F.lit(x) for x in (v if isinstance(v, tuple) else (v,))])) for v in values]
+    assert pairs(classify.use_class, ["house", "warehouse", "school", "hospital", "barn", "bungalow", "university", None]) == ["residential", "commercial", "industrial/institutional", "industrial/institutional", "unknown", "unknown", "unknown", "unknown"]
+    assert pairs(classify.height_tier, [0.0, -1.0, 0.1, 6.0, 6.1, 15.0, 15.5]) == ["unknown", "unknown", "1-2", "1-2", "3-5", "3-5", "6+"]
+    assert pairs(classify.lanes, ["2", "2;3", " 4 ", "x", "300"]) == [2, None, 4, None, 255]
+    assert pairs(classify.bridge_tunnel, [("yes", "yes"), ("viaduct", "no"), ("aqueduct", "culvert"), ("no", "building_passage")]) == ["tunnel", "bridge", None, "tunnel"]
+    water = [("water", "", ""), ("wood", "lake", "river"), ("", "", "riverbank"), ("", "", "ditch"), ("", "", "weir"), ("coastline", "", ""), ("wetland", "marsh", ""), ("", "marsh", ""), ("", "moat", "")]
+    assert pairs(classify.water_type, water) == ["lake", "lake", "river", "canal", "stream", "ocean", "wetland", "marsh", "lake"]
+    assert lookup.PROFILES["walking"] is None and "secondary_link" not in lookup.PROFILES["driving"] and set(lookup.PROFILES["cycling"]) - set(lookup.PROFILES["driving"]) == {"cycleway"}
+    assert lookup.INFLUENCE["hamlet"][0] == 500.0
+
+
+def test_radius_at_any_latitude(spark):
+    """A feature due east at 0.97 of the radius, and at the date line."""
+    rows = [(i, lat, lon, r) for i, (lat, lon, r) in enumerate((lat, lon, r) for lat in (0, 47, 60, -70, 85, 89.5) for lon in (10.0, 179.99) for r in (500, 3000, 15000))]
+    for radius in (500, 3000, 15000):
+        mine = [x for x in rows if x[3] == radius]
+        east = lambda lat, lon: (lon + math.degrees(0.97 * radius / 6_371_000 / math.cos(math.radians(lat))) + 180) % 360 - 180  # noqa: B023, E731
+        points = spark.createDataFrame([(i, round(lat * 1e5), round(lon * 1e5)) for i, lat, lon, _ in mine], "qid long, lat_micro int, lon_micro int")
+        found = spark.createDataFrame([(i, round(lat * 1e5), round(east(lat, lon) * 1e5)) for i, lat, lon, _ in mine], "osm_id long, lat_micro int, lon_micro int")
+        assert {r.qid for r in lookup.nearby(points, found, radius, None).where("qid = osm_id").collect()} == {x[0] for x in mine}
+        lines = found.selectExpr("osm_id", "osm_id AS piece_id", "'track' AS road_class", "'' AS name", "array(named_struct('lon', lon_micro / 100000.0D, 'lat', lat_micro / 100000.0D), named_struct('lon', lon_micro / 100000.0D, 'lat', lat_micro / 100000.0D + 0.01D)) AS coords")
+        at_most_85 = {x[0] for x in mine if abs(x[1]) <= 85}  # the plane that lines are measured in holds near a point only
+        assert at_most_85 <= {r.qid for r in lookup.nearest_roads(points, lines, 50, radius).where("qid = osm_id").collect()}
+
+
+def test_large_shapes_have_few_cells(spark):
+    box = lambda *b: F.struct(*[F.lit(float(x)).alias(n) for x, n in zip(b, ("min_lat", "min_lon", "max_lat", "max_lon"), strict=True)])
+    for b in ((0, 0, 10, 10), (0, 0, 0.01, 0.01), (-80, -179, 80, 179), (47, 179.5, 48, 181)):
+        assert 1 <= len(one(spark, grid.cover(box(*b)))) <= 162
+    square = ring((0, 0), (12, 0), (12, 12), (0, 12))
+    points = spark.createDataFrame([(i, round(y * 1e5), round(x * 1e5)) for i, (x, y) in enumerate([(6, 6), (0.001, 11.999), (12.5, 6), (-0.001, 3)])], "qid long, lat_micro int, lon_micro int")
+    shapes = spark.range(1).select(F.lit(1).alias("osm_id"), square.alias("coords"))
+    assert sorted(r.qid for r in lookup.containing(points, shapes).collect()) == [0, 1]
+    assert sorted((r.qid, r.distance == 0) for r in lookup.buildings_within(points, shapes, 200.0).collect()) == [(0, True), (1, True), (3, False)]
 
 
 def test_wkb(spark):

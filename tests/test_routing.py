@@ -2,6 +2,8 @@ import heapq
 from collections import Counter
 from math import asin, cos, radians, sin, sqrt
 
+from pyspark.sql import functions as F
+
 from groundling.operators import routing as R
 from groundling.plans import catalog
 from groundling.plans.fixtures import view
@@ -22,15 +24,37 @@ def test_paths_and_components(spark):
 
 
 def test_corridor_widens_until_connected(spark):
-    # a road that leaves the straight line between its ends by three cells
-    line = [(3_600_000, -8_600_000), (3_606_500, -8_600_000), (3_606_500, -8_596_000), (3_600_000, -8_596_000)]
+    # a road that leaves the straight line between its ends by six cells
+    line = [(3_600_000, -8_600_000), (3_612_000, -8_600_000), (3_612_000, -8_596_000), (3_600_000, -8_596_000)]
     v = spark.createDataFrame([(1, i, lon, lat) for i, (lat, lon) in enumerate(line)], "id long, pos int, lon_micro int, lat_micro int")
     road = spark.createDataFrame([(1, "primary")], "piece_id long, road_class string")
     nodes, _ = R.graph(v, road)
     at = {(r.lat_micro, r.lon_micro): r.node for r in nodes.collect()}
     route = spark.createDataFrame([(1, 36.0, -86.0, 36.0, -85.96)], "route_id long, lat1 double, lon1 double, lat2 double, lon2 double")
     paths, width = R.widening_corridor(spark, route, v, road, at[line[0]], at[line[3]])
-    assert width == 4 and paths.where(paths.node == at[line[3]]).count() == 1
+    assert width == 6 and paths.where(paths.node == at[line[3]]).count() == 1
+
+
+def test_schedule():
+    assert R.schedule(10_000) == [(1800.0, 3), (1800.0, 6), (1800.0, 12), (1800.0, 20)]
+    assert R.schedule(100_000)[:2] == [(3000.0, 8), (2000.0, 14)] and R.schedule(500_000)[:2] == [(6000.0, 7), (2000.0, 14)]
+    assert R.schedule(2_000_000)[:2] == [(12000.0, 6), (2000.0, 12)] and R.schedule(2_000_000)[2:] == R.schedule(10_000)
+
+
+def test_classes_directions_and_delays(spark):
+    v = spark.createDataFrame([(i, p, 36 * 10**5 + 100 * i * (p % 2), -86 * 10**5 + 400 * p) for i in range(6) for p in range(2)], "id long, pos int, lat_micro int, lon_micro int")
+    kinds = [("primary", 1), ("primary", -1), ("residential", 0), ("footway", 0), ("cycleway", 1), ("proposed", 0)]
+    roads = spark.createDataFrame([(i, c, w) for i, (c, w) in enumerate(kinds)], "piece_id long, road_class string, oneway int")
+    lights = spark.createDataFrame([(1, 36 * 10**5 + 200, -86 * 10**5 + 400), (2, 36 * 10**5 + 200, -86 * 10**5 + 400)], "kind int, lat_micro int, lon_micro int")
+    name = {}
+    for r in R.graph(v, roads.withColumn("road_class", F.lit("primary")))[0].collect():
+        name[r.node] = "a" if r.lon_micro == -86 * 10**5 else f"b{(r.lat_micro - 36 * 10**5) // 100}"
+    edges = lambda profile, x=None: {(name[r.src], name[r.dst]): r.weight for r in R.graph(v, roads, profile, x)[1].collect()}
+    assert set(edges("driving")) == {("a", "b0"), ("b1", "a"), ("a", "b2"), ("b2", "a")}
+    assert set(edges("walking")) == {("a", "b2"), ("b2", "a"), ("a", "b3"), ("b3", "a")}
+    assert set(edges("cycling")) == {("a", "b2"), ("b2", "a"), ("a", "b4")}
+    plain, late = edges("driving"), edges("driving", lights)
+    assert {k: late[k] - plain[k] for k in plain} == {k: 2000 if k[1] == "b2" else 0 for k in plain}
 
 
 def test_estimate(spark):
@@ -41,21 +65,26 @@ def test_estimate(spark):
     assert len(path) == int(r.distance_m / 100) + 1 and (path[0].lat, path[-1].lat) == (36.1627, 36.17)
 
 
+DRIVEN = {"motorway", "primary", "secondary", "tertiary", "residential", "service"}  # of the classes in the test layer
+
+
 def whole(spark):
-    """Every road's steps as (node, node), and the places of nodes, from all rows of the table."""
+    """Every driven road's steps in the directions allowed as (node, node), and the places of nodes, from all rows of the tables."""
     place, lines = {}, {}
+    use = {r.piece_id for r in view(spark, D, "road").collect() if r.road_class in DRIVEN}
+    way = {r.osm_id: r.oneway for r in view(spark, D, "way_tags").collect()}
     for r in view(spark, D, "road_vertex").collect():
-        lat, lon = r.lat_micro // 400 * 400, r.lon_micro // 400 * 400
-        node = (lat // 2 + (1 << 24)) * (1 << 26) + lon // 2 + (1 << 25)
-        place[node] = (lat / 1e5, lon / 1e5)
-        lines.setdefault(r.id, {})[r.pos] = node
-    assert max(lines) > 240
-    steps = {(v[p], v[p + 1]) for v in lines.values() for p in v if p + 1 in v and v[p] != v[p + 1]}
-    return place, steps | {(b, a) for a, b in steps}
+        if r.id in use:
+            lat, lon = r.lat_micro // 400 * 400, r.lon_micro // 400 * 400
+            node = (lat // 2 + (1 << 24)) * (1 << 26) + lon // 2 + (1 << 25)
+            place[node] = (lat / 1e5, lon / 1e5)
+            lines.setdefault(r.id, {})[r.pos] = node
+    steps = {(v[p], v[p + 1], way[i]) for i, v in lines.items() for p in v if p + 1 in v and v[p] != v[p + 1]}
+    return place, {(a, b) for a, b, w in steps if w != "-1"} | {(b, a) for a, b, w in steps if w != "yes"}
 
 
 def labelled(steps):
-    up = {a: a for a, _ in steps}
+    up = {x: x for s in steps for x in s}
 
     def top(x):
         while up[x] != x:
@@ -75,12 +104,12 @@ def metres(a, b):
 
 def test_whole_graph_components_and_snapping(spark):
     place, steps = whole(spark)
-    assert {(r.src, r.dst) for r in catalog.queries()["road_graph_whole"](spark, D).collect()} == steps
+    assert {(r.src, r.dst) for r in catalog.queries()["road_graph"](spark, D).collect()} == steps
     label = labelled(steps)
-    assert {r.node: r.component for r in catalog.whole_queries()["connected_components_whole"](spark, D).collect()} == label
+    assert {r.node: r.component for r in catalog.queries()["connected_components"](spark, D).collect()} == label
     n = Counter(label.values())
     largest = min(n, key=lambda c: (-n[c], c))
-    got = {r.qid: r for r in catalog.whole_queries()["snap_to_component_whole"](spark, D).collect()}
+    got = {r.qid: r for r in catalog.queries()["snap_to_component"](spark, D).collect()}
     inside = [x for x in label if label[x] == largest]
     for p in view(spark, D, "ping").collect():
         at = (p.lat_micro / 1e5, p.lon_micro / 1e5)
@@ -93,14 +122,14 @@ def test_whole_graph_components_and_snapping(spark):
 def test_whole_graph_paths(spark):
     d = "/root/testdata/sf0.01"
     near = {}
-    for r in catalog.queries()["road_graph_whole"](spark, d).collect():
+    for r in catalog.queries()["road_graph"](spark, d).collect():
         near.setdefault(r.src, []).append((r.dst, r.weight))
-    cost, heap = {}, [(0, min(near))]
+    cost, heap = {}, [(0, min(near, key=lambda x: (-len(near[x]), x)))]
     while heap:
         c, x = heapq.heappop(heap)
         if x not in cost:
             cost[x] = c
-            for y, w in near[x]:
+            for y, w in near.get(x, ()):
                 heapq.heappush(heap, (c + w, y))
-    assert max(cost.values()) > 12_000
-    assert {r.node: r.cost for r in catalog.whole_queries()["shortest_path_whole"](spark, d).collect()} == cost
+    assert len(cost) > 1000 and max(cost.values()) > 12_000
+    assert {r.node: r.cost for r in catalog.queries()["shortest_path"](spark, d).collect()} == cost
