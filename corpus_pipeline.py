@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundling.llm._spark import written
+from groundling.llm._spark import unused, written
 from groundling.llm.decontam import find_leaks
 from groundling.llm.fertility import quality
 from groundling.llm.jaccard_join import near_duplicates
@@ -17,34 +17,41 @@ from groundling.llm.packing import pack_sequences
 #: Not expressible in SQL: tokenisers, prefix trees and packing; tests hold every stage against brute force.
 ORACLE_SQL = None
 
+# All stages: an empty table gives no rows, other columns of documents stay as they are whatever their names (working columns take names that
+# are free), very long texts are processed whole, and equal rows are treated alike.
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Null or empty texts are rejected."""
-    return docs.withColumn("_quality", quality()).where("_quality.kept").select(docs.columns)
+    """Documents that the quality rules keep. Null or empty texts are rejected, null ids are no matter; repeated rows stay or go together."""
+    verdict = unused(docs, "_quality")
+    return docs.withColumn(verdict, quality()).where(f"`{verdict}`.kept").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of runs of lines; one of which no word is left goes. n_chars follows the text."""
-    out = remove_all_repeated_lines(docs, out_col="_lines").withColumn("text", F.col("_lines.kept")).where("text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    """Documents without later copies of runs of lines; one of which no word is left (or whose text is null) goes. n_chars follows the text. Null ids come last; repeated rows share their result."""
+    lines = unused(docs, "_lines")
+    out = remove_all_repeated_lines(docs, out_col=lines).withColumn("text", F.col(f"`{lines}`.kept")).where("text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the least id; of rows equal in id and text one. Rows without an id stay if no row with one is near them."""
+    """One document of each group of near duplicates (five words, 0.8), the least id; of rows equal in id and text one. Documents without words stay. Rows without an id stay if no row with one is near them."""
     groups = near_duplicates(docs).where("component_id IS NULL OR doc_id = component_id")
-    keep = groups.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    rows = rows.join(keep.withColumnRenamed("_hash", "_kept"), rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_hash"] == F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
+    id_, hash_, kept = (unused(docs, n) for n in ("_id", "_hash", "_kept"))
+    keep = groups.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(kept)).distinct()
+    rows = docs.withColumn(hash_, F.xxhash64("text"))
+    rows = rows.join(keep, rows["doc_id"].eqNullSafe(F.col(id_)) & (rows[hash_] == F.col(kept)), "left_semi")
+    return rows.dropDuplicates(["doc_id", hash_]).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col="_leaks").where("size(_leaks) = 0").select(docs.columns)
+    """Documents that leak no benchmark item; null and empty texts leak none. Null ids and repeated rows as all others."""
+    found = unused(docs, "_leaks")
+    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col=found).where(f"size(`{found}`) = 0").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents with their sequences and offsets."""
+    """Pieces of the remaining documents with their sequences and offsets: the columns of ``pack_sequences``. Null and empty texts are one end token; repeated rows and null ids are documents of their own."""
     return pack_sequences(docs)
 
 
