@@ -7,34 +7,35 @@ import numpy as np
 GAP = 0  # ends every text; bytes are shifted up by one
 
 
-def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, its inverse) by prefix doubling; settled suffixes take no further part."""
+def suffix_order(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in the order of their first ``least`` symbols at least, the first place of its equals for each) by prefix doubling; settled suffixes take no further part."""
     n = len(symbols)
     key = np.zeros(n, np.int64)
     padded = np.append(symbols + 1, np.zeros(7, np.int16))  # less than any symbol past the end
     for j in range(7):
         key = key << 9 | padded[j : n + j]
-    sa = np.argsort(key, kind="stable").astype(np.int32)
+    sa = np.argsort(key).astype(np.int32)
     new = np.ones(n, dtype=bool)
     new[1:] = key[sa][1:] != key[sa][:-1]
     slot = np.arange(n, dtype=np.int32)
     rank = np.empty(n, np.int32)
     rank[sa] = np.maximum.accumulate(np.where(new, slot, 0))
     step = 7
-    while True:
+    while step < least:
         alone = new & np.append(new[1:], True)
         at = np.flatnonzero(~alone)
         if not len(at):
-            return sa, rank
+            break
         p = sa[at]
         after = np.where(p + step < n, rank[np.minimum(p + step, n - 1)] + 1, 0)
         key = (rank[p].astype(np.int64) << 32) | after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         sa[at] = p[order]
         new[at[1:]] |= key[1:] != key[:-1]
         rank[sa[at]] = np.maximum.accumulate(np.where(new[at], at, 0))
         step *= 2
+    return sa, rank
 
 
 def long_prefixes(texts: list[bytes], least: int, times: list[int] | None = None) -> list[np.ndarray]:
@@ -53,16 +54,14 @@ def long_prefixes(texts: list[bytes], least: int, times: list[int] | None = None
     inside = np.ones(n, dtype=bool)
     inside[bound[1:] - 1] = False
     symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1
-    sa, rank = suffix_order(symbols)
+    sa, rank = suffix_order(symbols, least)
     copies = np.repeat(np.ones(len(texts), np.int64) if times is None else np.array(times, np.int64), size + 1)[sa]
     row = np.cumsum(copies) - copies  # the first row of each
     sa = np.repeat(sa, copies)
     n = len(sa)
-    copy = np.arange(n) - np.repeat(row, copies)
     bwt = symbols[sa - 1]
     bwt[sa == 0] = 300  # before the first suffix stands nothing
-    of = rank[sa - 1]
-    target = (row[of] + np.minimum(copy, copies[of] - 1)).astype(np.int32)  # where extending a place backward leads; from one text into the one before only beyond its end
+    target = row[rank[sa - 1]].astype(np.int32)  # where extending a place backward leads: the first of those that share ``least`` symbols
     target[sa == 0] = 0
     order = np.argsort(bwt, kind="stable").astype(np.int32)  # by character, then place
     same = np.zeros(n, dtype=bool)
