@@ -8,14 +8,15 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from ._bwt import long_prefixes
-from ._hash import BASES, TABLES, _inverse, chunks, gram_hashes, mix, powers
+from ._hash import BASES, TABLES, _inverse, chunks, gram_hashes, mix, powers, tidy
 from ._pack import MESSAGE, PART_BYTES, bits, blocks_of, dec, enc, join, messages, pack_docs, power, received, split, unbits, unpack
 from ._spark import text_bytes
 
 ANCHORS, CONTEXTS, WINDOWS = 0, 1, 2  # message rows
 #: Occurrences of an anchor beyond which its strings are compared one by one, spread over all blocks.
 HOT = 4_000
-TRANSFORM_BYTES = 1 << 20
+#: Bytes of texts in a transform, those that are there twice counted twice: some 60 bytes of arrays for each.
+TRANSFORM_BYTES = 1 << 19
 INDEX_BITS = np.uint64(30)
 
 
@@ -151,10 +152,11 @@ def _expand(sent: list[tuple[int, bytes]], block: int, least: int) -> pa.Table:
     batch: list[int] = []
     held = 0
     for group in [*members.values(), None]:
-        more = group and sum(len(texts[i]) for i in group)
+        more = group and sum(len(texts[i]) * min(times[i], 2) for i in group)
         if group is None or held + more > TRANSFORM_BYTES:
             for i, found in zip(batch, long_prefixes([texts[i] for i in batch], least, [min(times[i], 2) for i in batch]) if batch else [], strict=True):
                 starts[i] = found
+            tidy()
             batch, held = [], 0
         if group and (len(group) > 1 or times[group[0]] > 1):
             batch += group
