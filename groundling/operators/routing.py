@@ -52,12 +52,26 @@ def _node(lat_micro, lon_micro):
     return (ny + (1 << 24)) * (1 << 26) + nx + (1 << 25)
 
 
-def graph(vertices: DataFrame, roads: DataFrame, profile: str = "driving", intersections: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def merge_near(nodes: DataFrame, units: float = 5.0) -> DataFrame:
+    """(node, merged): nodes (node, lat_micro, lon_micro) within ``units`` of a 50,000th of a degree of each other, directly or through others, are one, under the least name.
+
+    Pairs come from an equi-join of cells as wide as the distance, and only their components are looked for."""
+    y, x = (F.col(c) * (NODE_SCALE / geo.MICRO) for c in ("lat_micro", "lon_micro"))
+    at = nodes.select("node", y.alias("y"), x.alias("x"), F.floor(y / units).cast("long").alias("cy"), F.floor(x / units).cast("long").alias("cx"))
+    around = F.explode(F.expr("flatten(transform(sequence(-1L, 1L), dy -> transform(sequence(-1L, 1L), dx -> struct(cy + dy AS cy, cx + dx AS cx))))"))
+    left = at.select(F.col("node").alias("src"), F.col("y").alias("y1"), F.col("x").alias("x1"), around.alias("c")).select("src", "y1", "x1", "c.cy", "c.cx")
+    pairs = left.join(at, ["cy", "cx"]).where((F.col("src") < F.col("node")) & ((F.col("y") - F.col("y1")) ** 2 + (F.col("x") - F.col("x1")) ** 2 <= units * units))
+    labels = components(pairs.select("src", F.col("node").alias("dst")))
+    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("merged"))
+
+
+def graph(vertices: DataFrame, roads: DataFrame, profile: str = "driving", intersections: DataFrame | None = None, merge_units: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the roads (piece_id, road_class, and oneway if it is known) that a profile may use: vertices at the same
     snapped place are one node; weights are hundredths of seconds.
 
     A road that is oneway (1 along its vertices, -1 against them, else both ways) has edges in its direction only, but for walkers. An edge into a
-    node with ``intersections`` (kind, lat_micro, lon_micro) costs the longest of their delays on top.
+    node with ``intersections`` (kind, lat_micro, lon_micro) costs the longest of their delays on top. With ``merge_units`` nodes
+    as near as that are one (see ``merge_near``).
     """
     classes = ROUTABLE.get(profile)
     use = roads if classes is None else roads.where(F.col("road_class").isin(*classes))
@@ -65,6 +79,12 @@ def graph(vertices: DataFrame, roads: DataFrame, profile: str = "driving", inter
     use = use.select(F.col("piece_id").alias("id"), way.alias("way"))
     snapped = vertices.select("id", "pos", "lat_micro", "lon_micro", _node(F.col("lat_micro"), F.col("lon_micro")).alias("node")).join(use, "id")
     nodes = snapped.groupBy("node").agg(F.min("lat_micro").alias("lat_micro"), F.min("lon_micro").alias("lon_micro"))
+    if merge_units is not None:
+        one = _cut(merge_near(nodes, merge_units))
+        snapped = snapped.join(one, "node").drop("node").withColumnRenamed("merged", "node")
+        nodes = nodes.join(one.select(F.col("merged").alias("node")).distinct(), "node")
+        if intersections is not None:
+            intersections = intersections.withColumn("node", _node(F.col("lat_micro"), F.col("lon_micro"))).join(one, "node").drop("node")
     line = Window.partitionBy("id").orderBy("pos")
     after = {c: F.lead(c).over(line) for c in ("node", "lat_micro", "lon_micro", "pos")}
     steps = snapped.select("id", "pos", "way", "node", "lat_micro", "lon_micro", *[c.alias(f"to_{n}") for n, c in after.items()]).where("to_node <> node AND to_pos = pos + 1")
@@ -73,7 +93,8 @@ def graph(vertices: DataFrame, roads: DataFrame, profile: str = "driving", inter
     edges = steps.where("way >= 0").select("src", "dst", "weight").union(steps.where("way <= 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     edges = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
     if intersections is not None:
-        late = intersections.groupBy(_node(F.col("lat_micro"), F.col("lon_micro")).alias("dst")).agg(F.max(classify.delay_s(F.col("kind"))).alias("delay"))
+        where = F.col("merged") if merge_units is not None else _node(F.col("lat_micro"), F.col("lon_micro"))
+        late = intersections.groupBy(where.alias("dst")).agg(F.max(classify.delay_s(F.col("kind"))).alias("delay"))
         edges = edges.join(late, "dst", "left").select("src", "dst", (F.col("weight") + 100 * F.coalesce("delay", F.lit(0))).alias("weight"))
     return nodes, edges
 

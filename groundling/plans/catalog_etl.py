@@ -440,6 +440,22 @@ SQL["snap_to_component"] = (
 )
 
 
+@query("merged_nodes")
+def merged_nodes(s, d):
+    """Vertices of all roads within 25 units of each other, directly or through others, as one."""
+    v = view(s, d, "road_vertex").select(R._node(F.col("lat_micro"), F.col("lon_micro")).alias("node"), "lat_micro", "lon_micro")
+    return R.merge_near(v.groupBy("node").agg(F.min("lat_micro").alias("lat_micro"), F.min("lon_micro").alias("lon_micro")), 25.0)
+
+
+SQL["merged_nodes"] = (
+    oracle("", "road_vertex").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + f""", nd AS MATERIALIZED (SELECT node, min(lat_micro) * 0.5 AS y, min(lon_micro) * 0.5 AS x FROM (SELECT {_NODE} AS node, lat_micro, lon_micro FROM road_vertex) GROUP BY node),
+ pr AS MATERIALIZED (SELECT a.node AS src, b.node AS dst FROM nd a JOIN nd b ON b.y BETWEEN a.y - 25 AND a.y + 25 WHERE abs(a.x - b.x) <= 25 AND a.node <> b.node AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 625),
+ lab(node, merged) USING KEY (node) AS (SELECT node, node FROM nd UNION SELECT p.dst, min(l.merged) FROM lab l JOIN pr p ON p.src = l.node JOIN recurring.lab c ON c.node = p.dst WHERE l.merged < c.merged GROUP BY p.dst)
+ SELECT node, merged FROM lab"""
+)
+
+
 def simplify_lines(s, d):
     """Vertices left of every road at two tolerances; the method has no form in SQL, tests hold it against the scalar one."""
     lines = shape(view(s, d, "road_vertex"))

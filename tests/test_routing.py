@@ -65,6 +65,17 @@ def test_estimate(spark):
     assert len(path) == int(r.distance_m / 100) + 1 and (path[0].lat, path[-1].lat) == (36.1627, 36.17)
 
 
+def test_near_nodes_are_one(spark):
+    """Two roads that end 4 units apart meet only if such nodes are merged."""
+    ends = [(0, [(3_600_000, -8_600_000), (3_600_000, -8_599_000)]), (1, [(3_600_008, -8_599_000), (3_601_000, -8_598_000)])]
+    v = spark.createDataFrame([(i, p, lat, lon) for i, line in ends for p, (lat, lon) in enumerate(line)], "id long, pos int, lat_micro int, lon_micro int")
+    roads = spark.createDataFrame([(0, "primary"), (1, "primary")], "piece_id long, road_class string")
+    apart = {tuple(r) for r in R.graph(v, roads)[1].select("src", "dst").collect()}
+    nodes, edges = R.graph(v, roads, merge_units=5.0)
+    together = {tuple(r) for r in edges.select("src", "dst").collect()}
+    assert len({x for e in apart for x in e}) == 4 and len({x for e in together for x in e}) == 3 == nodes.count() and len(together) == 4
+
+
 DRIVEN = {"motorway", "primary", "secondary", "tertiary", "residential", "service"}  # of the classes in the test layer
 
 
