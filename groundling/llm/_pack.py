@@ -62,7 +62,7 @@ def pack_docs(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFr
     """
     rows = docs.select(
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(parts)).alias("pid"),
-        F.col(id_col).cast("long").alias("id"),
+        F.col(id_col).try_cast("long").alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
     )
 

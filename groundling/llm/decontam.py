@@ -215,11 +215,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, te
     and the documents pass one after the other, written in between; document frequencies, lengths and passages are those of all items, so the result is the same for any
     number of indexes. Items come in order of id (null first), score and overlaps.
 
-    Null or empty text: no items. Very long texts: passage by passage. Items without words: never found. Null item ids: found, as null. Repeated
+    Null or empty text: no items. Very long texts: passage by passage. Items without words: never found. Null item ids (or ids that are no whole numbers): found, as null. Repeated
     rows: as they come. Empty tables: nothing found. All other columns stay, one named like ``out_col`` as ``out_col``_1.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("t IS NOT NULL AND t RLIKE '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]'")
+    items = benchmark.select(F.col(item_col).try_cast("long").alias("i"), F.col(item_text_col).alias("t")).where("t IS NOT NULL AND t RLIKE '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]'")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = max(1, -(-size // index_bytes))
     docs = making_room(docs, out_col)

@@ -361,11 +361,11 @@ def near_duplicates(
 
     Null text or no words: an empty set, linked with nothing. Fewer words than ``words``: the whole
     sequence as one shingle. Very long texts: as all others. text_hash is xxhash64 of the text, to tell rows of one id apart. Null id: a row with its set's component, never a component's name unless alone (then null).
-    Repeated rows: rows of their own. Empty table: no rows. Other columns are left out.
+    Repeated rows: rows of their own. Ids are whole numbers; one that is not counts as null. Empty table: no rows. Other columns are left out, whatever their names.
     """
     total = text_bytes(docs, text_col)
     rank = frequency_ranks(docs, words, text_col)
-    one = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), prefix_sets(text_col, words, num, den, rank).alias("s")).select("id", "text_hash", "s.*")
+    one = docs.select(F.col(id_col).try_cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), prefix_sets(text_col, words, num, den, rank).alias("s")).select("id", "text_hash", "s.*")
     one = written(one)
     reps = one.where("n > 0").groupBy("s0", "s1", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")).where("rep IS NOT NULL")
     some = reps.where("size(prefix) > 0").select("rep", "n", "prefix")
@@ -397,7 +397,7 @@ def near_duplicates(
         whole = lambda x: pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64))
         return pa.StructArray.from_arrays([whole(s0), whole(s1), pa.array(out, pa.binary())], names=["s0", "s1", "keys"])
 
-    text = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where(maybe_in(needed, "rep")).join(needed, "rep")
+    text = docs.select(F.col(id_col).try_cast("long").alias("rep"), F.col(text_col).alias("text")).where(maybe_in(needed, "rep")).join(needed, "rep")
     # ids can repeat with other texts: the one that the id stands for has its set's identity
     sets = text.select("rep", keys.asNondeterministic()(F.coalesce("text", F.lit(""))).alias("s")).select("rep", "s.*")
     sets = written(sets.join(known.select("rep", "s0", "s1"), ["rep", "s0", "s1"], "left_semi").dropDuplicates(["rep"]).select("rep", "keys"))

@@ -9,7 +9,7 @@ from ._spark import making_room, unused, written
 
 
 def _key(id_col: str, text_col: str) -> list:
-    return [F.col(id_col).isNull().alias("no"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h1"), F.crc32(F.col(text_col).cast("binary")).alias("h2")]
+    return [F.col(id_col).try_cast("long").isNull().alias("no"), F.col(id_col).try_cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h1"), F.crc32(F.col(text_col).cast("binary")).alias("h2")]
 
 
 def _body(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -53,7 +53,7 @@ def remove_all_repeated_lines(docs: DataFrame, min_words: int = 20, long_line: i
 
     Only hashes and places are shuffled, with partial aggregates for selected places and the first place; both sides of each join are
     exchanges, so a window that stands in many documents can be split. Windows of wordless lines are as long as the stretch of such lines.
-    Null text: no lines, kept stays null. Empty text: one empty line. Very long texts: work by lines, each in few windows. Null ids come last in order.
+    Null text: no lines, kept stays null. Empty text: one empty line. Very long texts: work by lines, each in few windows. Null ids come last in order. Ids are whole numbers; one that is not counts as null.
     Rows equal in id and text are one document and share its result. Empty table: no rows. All other columns stay, one named like
     ``out_col`` as ``out_col``_1.
     """

@@ -88,7 +88,7 @@ def remove_seen_windows(docs: DataFrame, window: int = 13, id_col: str = "doc_id
     A sketch only overestimates, so no repeated window is missed.
 
     Null or empty text: no words, empty kept_text. Null id: kept whole, and no source for others. Equal ids:
-    neither is smaller, so nothing goes between them. Empty table: no rows. Other columns are left out.
+    neither is smaller, so nothing goes between them. Repeated rows: rows of their own. Very long texts: whole, in one part each. Ids are whole numbers; one that is not counts as null. Empty table: no rows. Other columns are left out, whatever their names.
     """
     total = text_bytes(docs, text_col)
     parts = max(1, -(-total // part_bytes))

@@ -187,7 +187,7 @@ def remove_repeated_bytes(
     occurrences send each string by its own 96-bit identity instead, so that no block grows with one key.
 
     Null or empty text, or one shorter than ``least``: nothing removed. Null ids and repeated rows: documents like all others, and their texts
-    repeat each other. Empty table: no rows. Other columns are left out.
+    repeat each other. Very long texts: whole, in one part each. Ids are whole numbers; one that is not counts as null. Empty table: no rows. Other columns are left out, whatever their names.
     """
     total = text_bytes(docs, text_col)
     parts = max(1, -(-total // part_bytes))
