@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._hash import Words, buffers, chunks
+from ._hash import Words, buffers, chunks, tidy
 from ._spark import making_room, written
 
 SHINGLE = 5
@@ -118,7 +118,7 @@ def _expand(row: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return who, np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(row[of], size)
 
 
-def search(index: Index, data: np.ndarray, off: np.ndarray, threshold: float, most_cells: int = 4_000_000):
+def search(index: Index, data: np.ndarray, off: np.ndarray, threshold: float, most_cells: int = 1_000_000):
     """(document, item, score, question share, answer share) of the verified pairs of consecutive documents.
 
     Passages of 2 * stride words start every stride words, so an item lies whole in one. First bound: the sum of the
@@ -189,7 +189,7 @@ def leaked_items(index, threshold: float = 0.4, text_col: str = "text"):
         data, off = buffers(texts)
         lists, rows = [0], []
         own = index.value
-        for lo, hi in chunks(off, 1_000_000):
+        for lo, hi in chunks(off):
             by: dict[int, list] = {}
             for d, item, *v in search(own, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], threshold) if own.ids else ():
                 if leaks(v[1], v[2]):
@@ -197,6 +197,7 @@ def leaked_items(index, threshold: float = 0.4, text_col: str = "text"):
             for d in range(hi - lo):
                 rows += by.get(d, ())
                 lists.append(len(rows))
+        tidy()
         cols = [pa.array([r[i] for r in rows], pa.int64() if i == 0 else pa.float64()) for i in range(4)]
         return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.StructArray.from_arrays(cols, names=["item_id", "score", "question_overlap", "answer_overlap"]))
 

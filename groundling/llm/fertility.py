@@ -1,8 +1,8 @@
 """Quality rules: base counts and tokeniser fertility with rejection bands by language or script."""
 
-from __future__ import annotations
-
 import base64
+import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,6 @@ MIN_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
 RESULT = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,base_failed:boolean,n_tokens:bigint,chars_per_token:double,token_entropy:double,chars_per_piece:double,fallback_share:double,script:string,kept:boolean>"
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_loaded: dict[str, tuple] = {}
 
 
 def vocabulary_paths(names: tuple[str, str] = ("byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model")) -> tuple[str, str]:
@@ -38,19 +37,20 @@ def vocabulary_paths(names: tuple[str, str] = ("byte_bpe_multi_50k.tiktoken", "p
     return tuple(public_tokenizers.path(n) for n in names)
 
 
-def _vocabularies(paths: tuple[str, str]):
-    """(byte-level encoder, its size, piece encoder, mask of its byte pieces), loaded once a process."""
-    if paths not in _loaded:
-        import public_tokenizers
-        import sentencepiece
-        import tiktoken
+def _load(paths: tuple[str, str]):
+    """(byte-level encoder, its size, piece encoder, mask of its byte pieces)."""
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    with open(paths[0], "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pieces = sentencepiece.SentencePieceProcessor(model_file=paths[1])
+    single = np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())], dtype=bool)
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1, pieces, single
+
 
-        with open(paths[0], "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pieces = sentencepiece.SentencePieceProcessor(model_file=paths[1])
-        single = np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())], dtype=bool)
-        _loaded[paths] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1, pieces, single
-    return _loaded[paths]
+_vocabularies = functools.cache(_load)
 
 
 _SCRIPT_FROM = np.array([s[0] for s in SCRIPTS])
@@ -74,7 +74,7 @@ def _sum_by(doc: np.ndarray, n: int, weight=None) -> np.ndarray:
     return np.bincount(doc, weights=weight, minlength=n).astype(np.int64)
 
 
-def measure(data: np.ndarray, off: np.ndarray, langs: list, vocabularies: tuple[str, str]) -> dict[str, np.ndarray]:
+def measure(data: np.ndarray, off: np.ndarray, langs: list, vocabularies: tuple) -> dict[str, np.ndarray]:
     """Every column of RESULT for consecutive documents."""
     n = len(off) - 1
     size = np.diff(off)
@@ -93,7 +93,7 @@ def measure(data: np.ndarray, off: np.ndarray, langs: list, vocabularies: tuple[
     twice[order[:-1][same]] = True
     repeated = _sum_by(w.doc[covered(len(w.start), at[twice], REPEAT_WINDOW)], n)
 
-    encoder, size_of, pieces, single = _vocabularies(vocabularies)
+    encoder, size_of, pieces, single = vocabularies
     raw = data.tobytes()
     lines = np.zeros(n, np.int64)
     texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
@@ -141,17 +141,21 @@ def quality(text_col: str = "text", lang_col: str = "lang", vocabularies: tuple[
     paths = vocabularies or vocabulary_paths()
 
     @F.arrow_udf(RESULT)
-    def judged(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        data, off = buffers(texts)
-        langs = langs.to_pylist()
-        out: dict[str, list] = {}
-        for lo, hi in chunks(off):
-            part = measure(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], langs[lo:hi], paths)
-            for k, v in part.items():
-                out.setdefault(k, []).append(v)
-        tidy()
+    def judged(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        loaded = _load(paths)  # for this task only: workers live on beside the JVM
         names = [f.split(":")[0] for f in RESULT[7:-1].split(",")]
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(out[k])) if out else pa.array([], pa.int64()) for k in names], names=names)
+        for texts, langs in batches:
+            data, off = buffers(texts)
+            langs = langs.to_pylist()
+            out: dict[str, list] = {}
+            for lo, hi in chunks(off):
+                part = measure(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], langs[lo:hi], loaded)
+                for k, v in part.items():
+                    out.setdefault(k, []).append(v)
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(out[k])) if out else pa.array([], pa.int64()) for k in names], names=names)
+            tidy()
+        del loaded
+        tidy()
 
     return judged(F.col(text_col), F.col(lang_col).cast("string"))
 
