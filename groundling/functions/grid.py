@@ -59,7 +59,7 @@ def overlay_width(zoom: Column) -> Column:
 
 def overlay(views: DataFrame) -> DataFrame:
     """(view, cell, ring) of the cells to draw for maps (view, lat, lon, zoom), and min_lat .. max_lon: the box of them all."""
-    y, x = F.floor(F.col("lat") * MICRO / STEP).cast("long"), F.floor(F.col("lon") * MICRO / STEP).cast("long")
+    y, x = (F.floor(F.round(F.col(c) * MICRO, 3) / STEP).cast("long") for c in ("lat", "lon"))  # rounded, as in cover(): a place on a cell's edge stays there
     k = overlay_width(F.col("zoom"))
     box = [((c + d) * (STEP / MICRO)).alias(n) for c, d, n in ((y, -k, "min_lat"), (x, -k, "min_lon"), (y, k + 1, "max_lat"), (x, k + 1, "max_lon"))]
     cells = views.select("view", *box, F.explode(_box(y - k, y + k, x - k, x + k)).alias("cell"))

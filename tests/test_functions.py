@@ -182,3 +182,12 @@ def test_edge_rows(spark):
     assert [r.osm_id for r in lookup.nearby(points, edge).orderBy("rank").collect()] == [1, 2]
     assert [r.osm_id for r in lookup.nearby(points, edge, prefix="x").collect()] == [2]
     assert [r.osm_id for r in lookup.nearby(points, edge, exclude_closed=True).collect()] == [1]
+
+
+def test_overlay_of_places_on_a_cells_edge(spark):
+    edges = [v for v in range(-18_000_000, 18_000_000, grid.STEP * 7)]
+    views = spark.createDataFrame([(v, (v % 9_000_000) // grid.STEP * grid.STEP / 1e5, v / 1e5, 20) for v in edges], "view long, lat double, lon double, zoom int")
+    rows = grid.overlay(views).groupBy("view").agg(F.min("min_lat").alias("a"), F.min("min_lon").alias("b"), F.count("*").alias("n")).collect()
+    assert len(rows) == len(edges)
+    for r in rows:
+        assert round(r.a / 0.02) == (r.view % 9_000_000) // grid.STEP - 6 and round(r.b / 0.02) == r.view // grid.STEP - 6 and r.n == 169
