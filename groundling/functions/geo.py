@@ -119,10 +119,10 @@ def overlaps(b: Column, min_lat: float, min_lon: float, max_lat: float, max_lon:
     return (b["min_lat"] <= max_lat) & (b["max_lat"] >= min_lat) & (b["min_lon"] <= max_lon) & (b["max_lon"] >= min_lon)
 
 
-def reaches(b: Column, lat: Column, lon: Column, radius_m: float) -> Column:
+def reaches(b: Column, lat: Column, lon: Column, radius_m: float | Column) -> Column:
     """Whether a box, widened by the radius, holds the point: cheap, and true for every box within the radius."""
     dlat = radius_m * 1.01 / METRES_PER_DEGREE
-    dlon = F.lit(radius_m * 1.01) / metres_per_lon(F.least(F.abs(lat) + dlat, F.lit(89.9)))
+    dlon = F.lit(radius_m) * 1.01 / metres_per_lon(F.least(F.abs(lat) + dlat, F.lit(89.9)))
     ways = [(lon + t >= b["min_lon"] - dlon) & (lon + t <= b["max_lon"] + dlon) for t in (0, 360, -360)]
     return (lat >= b["min_lat"] - dlat) & (lat <= b["max_lat"] + dlat) & (ways[0] | ways[1] | ways[2])
 

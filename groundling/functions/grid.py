@@ -102,6 +102,76 @@ def cover(bounds: Column) -> Column:
     return out
 
 
+#: Cell sizes of ``meet``, in micro-degrees; each divides the way round. A shape is in at most FEW + 1 cells a side, and in none smaller than LEAST.
+LADDER = (125, 500, 2000, 8000, 40_000, 200_000, 1_000_000, 4_000_000)
+FEW, LEAST = 4, 1
+
+
+def _reaching(radius_m: float) -> int:
+    """The level of the smallest cells as wide as the radius."""
+    return next((i for i, size in enumerate(LADDER) if size / MICRO * METRES_PER_DEGREE * 0.99 >= radius_m), len(LADDER) - 1)
+
+
+def _cells(low: list, high: list, level: Column, around: Column, above: bool, first: Column) -> Column:
+    """array<struct<_cell, _dy, _dx>> of a box of cells (y, x): how far each is from the box's first; where ``first`` is not, no column counts as the first."""
+    base = (level * 2 + int(above)) * LEVEL
+    one = lambda y, x: F.struct((base + (y + OFFSET) * WRAP + F.pmod(x, around)).alias("_cell"), (y - low[0]).alias("_dy"), F.when(first, x - low[1]).otherwise(1).alias("_dx"))
+    return F.flatten(F.transform(F.sequence(low[0], high[0]), lambda y: F.transform(F.sequence(low[1], high[1]), lambda x: one(y, x))))
+
+
+def meet(points: DataFrame, features: DataFrame, radius_m: float, box: Column | None = None) -> DataFrame:
+    """Every pair of a point and a feature that can be within the radius, or within the point's own ``_reach`` (metres, at most the radius)
+    where there is one, once, with the ``_cell`` by which it was found.
+
+    Features are points (lat_micro, lon_micro; renamed f_lat_micro, f_lon_micro) or have a ``box`` in degrees. Cells are about as wide as the search, so a pair is
+    looked at only if it is near. A shape has the smallest cells of which it needs few; a point asks in cells as wide as its reach, where smaller
+    shapes are listed too (``above``), and in all larger ones. Of the cells that a pair shares the first counts. Exploded points can be
+    many times their table, so they are never broadcast on its size.
+    """
+    top = _reaching(radius_m)
+    low, last = (0, top) if box is None else (LEAST, len(LADDER) - 1)
+    varies = "_reach" in points.columns
+    low, top = (low, max(low, top)) if varies else (max(low, top),) * 2
+    last = max(last, top)
+    reach = F.col("_reach") if varies else F.lit(float(radius_m))
+    base = F.lit(top)
+    for level in range(top - 1, low - 1, -1):
+        base = F.when(reach <= LADDER[level] / MICRO * METRES_PER_DEGREE * 0.99, level).otherwise(base)
+    points = points.withColumns({"_base": base, "_high": reach * 1.01 / METRES_PER_DEGREE * MICRO + 1})
+    points = points.withColumn("_wide", F.col("_high") / F.cos(F.radians(F.least(F.abs(F.col("lat_micro")) + F.col("_high"), F.lit(89.9 * MICRO)) / MICRO)))
+    asked, none = [], F.expr("CAST(array() AS array<struct<_cell: bigint, _dy: bigint, _dx: bigint>>)")
+    for level in range(low, last + 1):
+        around = 360 * MICRO // LADDER[level]
+        least, most = ([F.floor((F.col(c) + sign * F.col(w)) / float(LADDER[level])).cast("long") for c, w in (("lat_micro", "_high"), ("lon_micro", "_wide"))] for sign in (-1, 1))
+        part = most[1] - least[1] < around - FEW - 2  # else the whole way round, once
+        cells = lambda above: _cells(least, [most[0], F.when(part, most[1]).otherwise(least[1] + around - 1)], F.lit(level).cast("long"), F.lit(around), above, part)  # noqa: B023, E731
+        if level == low or box is not None:
+            asked.append(F.when(F.col("_base") <= level, cells(False)).otherwise(none))
+        if low < level <= top:
+            asked.append(F.when(F.col("_base") == level, cells(True)).otherwise(none))
+    left = points.withColumn("_c", F.explode(F.concat(*asked))).select("*", "_c._cell", F.col("_c._dy").alias("_py"), F.col("_c._dx").alias("_px")).drop("_c", "_base", "_high", "_wide")
+    if box is None:
+        key = lambda level: (2 * level + (level > low)) * LEVEL + (F.floor(F.col("lat_micro") / float(LADDER[level])) + OFFSET) * WRAP + F.pmod(F.floor(F.col("lon_micro") / float(LADDER[level])), F.lit(360 * MICRO // LADDER[level]))
+        right = features.withColumn("_cell", F.explode(F.array(*[key(i).cast("long") for i in range(low, top + 1)])))
+        return left.drop("_py", "_px").hint("merge").join(right.withColumnsRenamed({"lat_micro": "f_lat_micro", "lon_micro": "f_lon_micro"}), "_cell")
+    extent = F.greatest(box["max_lat"] - box["min_lat"], box["max_lon"] - box["min_lon"]) * MICRO
+    own = F.lit(last)
+    for level in range(last - 1, low - 1, -1):
+        own = F.when(extent <= FEW * LADDER[level], level).otherwise(own)
+    features = features.withColumn("_own", own.cast("long"))  # each step in columns of its own, so that it is computed once
+    features = features.withColumn("_size", F.element_at(F.array(*[F.lit(float(v)) for v in LADDER]), (F.col("_own") + 1).cast("int")))
+
+    def cells(level: Column, size: Column, above: bool) -> Column:
+        least, most = ([F.floor(box[f"{side}_{c}"] * MICRO / size).cast("long") for c in ("lat", "lon")] for side in ("min", "max"))
+        return _cells(least, most, level, (F.lit(360 * MICRO) / size).cast("long"), above, F.lit(True))
+
+    listed = [cells(F.col("_own"), F.col("_size"), False)]
+    for level in range(low + 1, top + 1):
+        listed.append(F.when(F.col("_own") < level, cells(F.lit(level).cast("long"), F.lit(float(LADDER[level])), True)).otherwise(none))
+    right = features.withColumn("_c", F.explode(F.concat(*listed))).select("*", "_c._cell", "_c._dy", "_c._dx").drop("_c", "_own", "_size")
+    return left.hint("merge").join(right, "_cell").where("least(_py, _dy) = 0 AND least(_px, _dx) = 0").drop("_py", "_px", "_dy", "_dx")
+
+
 def near(points: DataFrame, features: DataFrame, radius_m: float, cells: Column | None = None) -> DataFrame:
     """Pairs of a point and a feature that share a cell of the point's disk, by an equi-join.
 

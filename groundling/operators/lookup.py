@@ -62,6 +62,23 @@ def top_n(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= n)
 
 
+#: Of how many features one bounds a search for the nearest, and how often that is done.
+SHARE, BOUNDS = 16, 2
+
+
+def bounded(points: DataFrame, features: DataFrame, key: str, n: int, radius_m: float, search) -> DataFrame:
+    """Points with ``_reach``: metres within which n features are known to be, at most the radius.
+
+    ``search`` (points, features) gives the n nearest (qid, distance). The n-th of a share of the features is no nearer than the n-th of all,
+    so what lies beyond it need not be looked at; a share of the share bounds the search in it. Without n of them the reach stays the radius."""
+    out = points.withColumn("_reach", F.lit(float(radius_m)))
+    for i in range(BOUNDS, 0, -1):
+        found = search(out, features.where(F.pmod(F.xxhash64(key), F.lit(SHARE**i)) == 0))
+        bound = found.groupBy("qid").agg(F.count("*").alias("_n"), F.max("distance").alias("_bound")).where(F.col("_n") >= n).select("qid", "_bound")
+        out = points.join(bound, "qid", "left").withColumn("_reach", F.least(F.coalesce(F.col("_bound") * (1 + 1e-9) + 1e-6, F.lit(float(radius_m))), F.lit(float(radius_m)))).drop("_bound")
+    return out
+
+
 def nearby(points: DataFrame, features: DataFrame, radius_m: float = 500.0, limit: int | None = 10, prefix: str | None = None, exclude_closed: bool = False) -> DataFrame:
     """Point features within a radius of each query point, nearest first."""
     if prefix is not None:
@@ -69,15 +86,22 @@ def nearby(points: DataFrame, features: DataFrame, radius_m: float = 500.0, limi
     if exclude_closed:
         features = features.where(~F.col("operating_status").eqNullSafe("closed"))
     d = geo.haversine(*(geo.degrees(F.col(c)) for c in ("lat_micro", "lon_micro", "f_lat_micro", "f_lon_micro")))
-    hit = grid.near(points, features, radius_m).withColumn("distance", d).where(F.col("distance") <= radius_m)
-    return hit if limit is None else top_n(hit, limit, F.col("distance"), F.col("osm_id"))
+    within = lambda p, f: grid.meet(p, f, radius_m).drop("_cell").withColumn("distance", d).where(F.col("distance") <= _reach(p, radius_m)).drop("_reach")
+    if limit is None:
+        return within(points, features)
+    first = lambda p, f: top_n(within(p, f), limit, F.col("distance"), F.col("osm_id"))
+    return first(bounded(points, features, "osm_id", limit, radius_m, first), features)
+
+
+def _reach(points: DataFrame, radius_m: float) -> Column:
+    return F.col("_reach") if "_reach" in points.columns else F.lit(float(radius_m))
 
 
 def _reachable(points: DataFrame, shapes: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs whose shape's extent comes within the radius: the cell join, then a test of the extent's four numbers."""
+    """Pairs whose shape's extent comes within the radius, once each: the cell join, then a test of the extent's four numbers."""
     boxed = shapes.withColumn("_box", geo.bounds(F.col("coords")))
-    rows = grid.near(points, boxed, radius_m, grid.cover(F.col("_box")))
-    return rows.where(geo.reaches(F.col("_box"), geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), radius_m)).drop("_box")
+    rows = grid.meet(points, boxed, radius_m, F.col("_box"))
+    return rows.where(geo.reaches(F.col("_box"), geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), _reach(points, radius_m))).drop("_box")
 
 
 def _distances(points: DataFrame, shapes: DataFrame, radius_m: float, closed: bool = False) -> DataFrame:
@@ -86,12 +110,39 @@ def _distances(points: DataFrame, shapes: DataFrame, radius_m: float, closed: bo
     return rows.withColumn("_near", geo.to_line(lat, lon, F.col("coords"), closed))  # to be filtered once it is aggregated: earlier it would be computed twice
 
 
+def _nearest(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+    """The n nearest features (osm_id) a qid and cell, each once by the least of (distance, columns); cells are where the rows are, so nothing is moved."""
+    best = rows.groupBy("_cell", "qid", "osm_id").agg(F.min(F.struct("distance", *columns)).alias("b"), F.first("_most").alias("_most")).where(F.col("b.distance") <= F.col("_most"))
+    order = Window.partitionBy("_cell", "qid").orderBy("b.distance", "osm_id")
+    return best.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_cell", "_k", "_most")
+
+
+def nearest_shapes(points: DataFrame, shapes: DataFrame, radius_m: float, area: bool = False) -> DataFrame:
+    """(qid, osm_id, distance): the nearest line of each point within the radius, or area, whose inside is at 0."""
+    lat, lon = geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro"))
+
+    def search(p: DataFrame, f: DataFrame) -> DataFrame:
+        if area:
+            rows = _reachable(p, f, radius_m).withColumn("distance", F.when(geo.contains(lat, lon, F.col("coords")), 0.0).otherwise(geo.to_line(lat, lon, F.col("coords"), True)["d"]))
+        else:
+            rows = _distances(p, f, radius_m).withColumn("distance", F.col("_near.d"))
+        best = _nearest(rows.withColumn("_most", _reach(p, radius_m)), 1)
+        return best.groupBy("qid").agg(F.min(F.struct("b.distance", "osm_id")).alias("b")).select("qid", "b.osm_id", "b.distance")
+
+    return search(bounded(points, shapes, "osm_id", 1, radius_m, search), shapes)
+
+
 def nearest_roads(points: DataFrame, roads: DataFrame, n: int = 1, radius_m: float = 100.0, profile: str | None = None) -> DataFrame:
     """The n nearest roads of each point, a split way once, at its nearest piece."""
-    rows = _distances(points, of_profile(roads, profile), radius_m)
-    best = rows.groupBy("qid", "osm_id").agg(F.min(F.struct(F.col("_near.d").alias("d"), "piece_id", F.col("_near").alias("near"), "road_class", "name")).alias("b"))
-    flat = best.where(F.col("b.d") <= radius_m).select("qid", "osm_id", F.col("b.d").alias("distance"), "b.piece_id", "b.road_class", "b.name", F.col("b.near.i").alias("segment"), F.col("b.near.t").alias("t"), F.col("b.near.lat").alias("snap_lat"), F.col("b.near.lon").alias("snap_lon"))
-    return top_n(flat, n, F.col("distance"), F.col("osm_id"))
+    roads = of_profile(roads, profile)
+
+    def search(p: DataFrame, f: DataFrame) -> DataFrame:
+        rows = _distances(p, f, radius_m).withColumns({"distance": F.col("_near.d"), "near": F.col("_near"), "_most": _reach(p, radius_m)})
+        best = _nearest(rows, n, "piece_id", "near", "road_class", "name").groupBy("qid", "osm_id").agg(F.min("b").alias("b"))
+        return top_n(best.withColumn("distance", F.col("b.distance")), n, F.col("distance"), F.col("osm_id"))
+
+    best = search(bounded(points, roads, "piece_id", n, radius_m, search), roads)
+    return best.select("qid", "osm_id", "distance", "b.piece_id", "b.road_class", "b.name", F.col("b.near.i").alias("segment"), F.col("b.near.t").alias("t"), F.col("b.near.lat").alias("snap_lat"), F.col("b.near.lon").alias("snap_lon"), "rank")
 
 
 def containing(points: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -118,7 +169,7 @@ def buildings_within(points: DataFrame, buildings: DataFrame, radius_m: float) -
     lat, lon = geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro"))
     rows = _reachable(points, buildings, radius_m)
     d = F.when(geo.contains(lat, lon, F.col("coords")), 0.0).otherwise(geo.to_line(lat, lon, F.col("coords"), True)["d"])
-    return rows.withColumn("distance", d).groupBy("qid", "osm_id").agg(F.min("distance").alias("distance")).where(F.col("distance") <= radius_m)
+    return rows.withColumn("distance", d).groupBy("_cell", "qid", "osm_id").agg(F.min("distance").alias("distance")).where(F.col("distance") <= radius_m).drop("_cell")  # a pair comes once: this keeps it from being computed twice
 
 
 def nearest_centroid(points: DataFrame, buildings: DataFrame, box_deg: float = 0.003) -> DataFrame:
@@ -214,8 +265,8 @@ def reverse_geocode(points: DataFrame, roads: DataFrame, ranges: DataFrame, cuto
 
 def nearest_rail(points: DataFrame, lines: DataFrame, stations: DataFrame, radius_m: float) -> DataFrame:
     """(qid, osm_id, kind, distance): the nearest of rail lines (coords) and stations (points) within the radius; a line comes before a station as near."""
-    line = _distances(points, lines, radius_m).groupBy("qid", "osm_id").agg(F.min("_near.d").alias("distance")).where(F.col("distance") <= radius_m)
-    stop = nearby(points, stations, radius_m, None).select("qid", "osm_id", "distance")
+    line = nearest_shapes(points, lines, radius_m)
+    stop = nearby(points, stations, radius_m, 1).select("qid", "osm_id", "distance")
     both = line.withColumn("kind", F.lit("line")).unionByName(stop.withColumn("kind", F.lit("station")))
     best = both.groupBy("qid").agg(F.min(F.struct("distance", "kind", "osm_id")).alias("b"))
     return best.select("qid", "b.osm_id", "b.kind", "b.distance")
@@ -240,7 +291,7 @@ def point_report(
         .withColumn("n_businesses", F.coalesce("n_businesses", F.lit(0)))
     )
     if water is not None:
-        out = out.join(buildings_within(points, water, water_m).groupBy("qid").agg(F.min_by("osm_id", F.struct("distance", "osm_id")).alias("water_id")), "qid", "left")
+        out = out.join(nearest_shapes(points, water, water_m, area=True).select("qid", F.col("osm_id").alias("water_id")), "qid", "left")
     if parks is not None:
         out = out.join(containing(points, parks).groupBy("qid").agg(F.min("osm_id").alias("park_id")), "qid", "left")
     if rail is not None and stations is not None:
@@ -263,7 +314,7 @@ def admin_exact(points: DataFrame, admin: DataFrame, areas: DataFrame) -> DataFr
 
 def nearest_water(points: DataFrame, bodies: DataFrame, lines: DataFrame, radius_m: float) -> DataFrame:
     """(qid, osm_id, distance): the body that contains the point (0), else the nearest shore or stream within the radius."""
-    shore = buildings_within(points, bodies, radius_m)
-    bank = _distances(points, lines, radius_m).groupBy("qid", "osm_id").agg(F.min("_near.d").alias("distance")).where(F.col("distance") <= radius_m)
+    shore = nearest_shapes(points, bodies, radius_m, area=True)
+    bank = nearest_shapes(points, lines, radius_m)
     best = shore.unionByName(bank).groupBy("qid").agg(F.min(F.struct("distance", "osm_id")).alias("b"))
     return best.select("qid", "b.osm_id", "b.distance")

@@ -191,3 +191,28 @@ def test_overlay_of_places_on_a_cells_edge(spark):
     assert len(rows) == len(edges)
     for r in rows:
         assert round(r.a / 0.02) == (r.view % 9_000_000) // grid.STEP - 6 and round(r.b / 0.02) == r.view // grid.STEP - 6 and r.n == 169
+
+
+def test_nearest_are_looked_for_as_far_as_needed(spark):
+    rnd = random.Random(5)
+    made = [(i, 3_600_000 + rnd.randrange(5000), -8_690_000 + rnd.randrange(5000)) for i in range(8000)] + [(9000, 3_620_000, -8_690_000)]
+    features = spark.createDataFrame(made, "osm_id long, lat_micro int, lon_micro int")
+    points = features.where("osm_id < 20 OR osm_id = 9000").select(F.col("osm_id").alias("qid"), "lat_micro", "lon_micro")
+    search = lambda p, f: lookup.nearby(p, f, 3000.0, None)
+    reach = lookup.bounded(points, features, "osm_id", 3, 3000.0, lambda p, f: lookup.top_n(search(p, f), 3, F.col("distance"), F.col("osm_id")))
+    assert search(reach, features).count() * 5 < search(points, features).count()
+    got, want = lookup.nearby(points, features, 3000.0, 3), lookup.top_n(search(points, features), 3, F.col("distance"), F.col("osm_id"))
+    assert sorted((r.qid, r["rank"], r.osm_id) for r in got.collect()) == sorted((r.qid, r["rank"], r.osm_id) for r in want.collect())
+    assert {r.qid for r in got.collect()} == {*range(20), 9000}
+
+
+def test_pairs_of_shapes_meet_once(spark):
+    rnd = random.Random(6)
+    at = [(i, rnd.choice((0, 6_000_000, 8_950_000, -8_990_000)) + rnd.randrange(-9000, 9000), rnd.choice((17_999_000, -17_999_000, 0)) + rnd.randrange(-900, 900)) for i in range(60)]
+    points = spark.createDataFrame(at, "qid long, lat_micro int, lon_micro int")
+    boxes = spark.createDataFrame([(i, y / 1e5, x / 1e5, y / 1e5 + s, x / 1e5 + s) for (i, y, x) in at for s in (rnd.choice((0.001, 0.05, 2.0)),)], "osm_id long, min_lat double, min_lon double, max_lat double, max_lon double")
+    for p in (points, points.withColumn("_reach", F.when(F.col("qid") % 2 == 0, 900.0).otherwise(15000.0))):
+        met = [(r.qid, r.osm_id) for r in grid.meet(p, boxes.withColumn("_box", F.struct("min_lat", "min_lon", "max_lat", "max_lon")), 15000.0, F.col("_box")).select("qid", "osm_id").collect()]
+        assert len(met) == len(set(met))
+        want = p.crossJoin(boxes).where(geo.reaches(F.struct("min_lat", "min_lon", "max_lat", "max_lon"), geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), F.col("_reach") if "_reach" in p.columns else 14800.0))
+        assert {(r.qid, r.osm_id) for r in want.where("abs(lat_micro) < 8900000").collect()} <= set(met)
