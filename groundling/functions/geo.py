@@ -89,8 +89,22 @@ def to_line(lat: Column, lon: Column, coords: Column, closed: bool = False) -> C
 
 def to_ring_compat(lat: Column, lon: Column, coords: Column) -> Column:
     """Metres to a ring's boundary measured in plain degrees, without the cosine."""
-    unit = F.lit(1.0)
-    return F.array_min(F.transform(segments(coords, True), lambda s: to_segment(lat, lon, s["a"], s["b"], unit, unit)["d"])) * COMPAT_METRES_PER_DEGREE
+
+    def offsets(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        return F.struct((a["lon"] - lon).alias("x"), (a["lat"] - lat).alias("y"), (b["lon"] - a["lon"]).alias("dx"), (b["lat"] - a["lat"]).alias("dy"))
+
+    def along(s: Column) -> Column:
+        long2 = s["dx"] * s["dx"] + s["dy"] * s["dy"]
+        t = F.when(long2 < 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(s["x"] * s["dx"] + s["y"] * s["dy"]) / long2)))
+        return F.struct(s.alias("s"), t.alias("t"))
+
+    def square(p: Column) -> Column:
+        s, t = p["s"], p["t"]
+        return F.struct((s["x"] + t * s["dx"]).alias("x"), (s["y"] + t * s["dy"]).alias("y"))
+
+    places = F.transform(F.transform(F.transform(segments(coords, True), offsets), along), square)
+    return F.array_min(F.transform(places, lambda p: F.sqrt(p["x"] * p["x"] + p["y"] * p["y"]))) * COMPAT_METRES_PER_DEGREE
 
 
 def contains(lat: Column, lon: Column, coords: Column) -> Column:

@@ -172,6 +172,16 @@ def buildings_within(points: DataFrame, buildings: DataFrame, radius_m: float) -
     return rows.withColumn("distance", d).groupBy("_cell", "qid", "osm_id").agg(F.min("distance").alias("distance")).where(F.col("distance") <= radius_m).drop("_cell")  # a pair comes once: this keeps it from being computed twice
 
 
+def within_compat(points: DataFrame, rings: DataFrame, radius_m: float) -> DataFrame:
+    """(qid, osm_id, distance): rings whose boundary is within the radius in plain degrees, without the cosine."""
+    lat, lon = geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro"))
+    side = radius_m * 1.0001 / geo.COMPAT_METRES_PER_DEGREE
+    rows = grid.meet(points, rings.withColumn("_box", geo.bounds(F.col("coords"))), radius_m * 1.1, F.col("_box"))
+    rows = rows.where(lat.between(F.col("_box.min_lat") - side, F.col("_box.max_lat") + side) & lon.between(F.col("_box.min_lon") - side, F.col("_box.max_lon") + side))
+    rows = rows.withColumn("distance", geo.to_ring_compat(lat, lon, F.col("coords")))
+    return rows.groupBy("_cell", "qid", "osm_id").agg(F.min("distance").alias("distance")).where(F.col("distance") <= radius_m).drop("_cell")
+
+
 def nearest_centroid(points: DataFrame, buildings: DataFrame, box_deg: float = 0.003) -> DataFrame:
     """(qid, osm_id): the building whose centroid is nearest in squared degrees, within a box around the point."""
     c = geo.centroid(F.col("coords"))

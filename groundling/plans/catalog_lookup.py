@@ -222,9 +222,7 @@ SQL["rail_nearest"] = with_views(
 
 @query("segment_distance_compat", None)
 def segment_distance_compat(s, d):
-    rows = grid.near(view(s, d, "ping"), buildings(s, d), 400.0, grid.cover(geo.bounds(F.col("coords"))))
-    dist = geo.to_ring_compat(geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), F.col("coords"))
-    return rows.select("qid", "osm_id", dist.alias("x")).where("x <= 300").groupBy("qid", "osm_id").agg(F.round(F.min("x"), 1).alias("distance"))
+    return L.within_compat(view(s, d, "ping"), buildings(s, d), 300.0).select("qid", "osm_id", F.round("distance", 1).alias("distance"))
 
 
 _DEG = RINGS.replace("111320.0 * greatest(cos(radians(p.lat_micro / 100000.0)), 0.001)", "1.0").replace("111320.0", "1.0").replace("1e-12", "1e-12")

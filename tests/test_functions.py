@@ -216,3 +216,13 @@ def test_pairs_of_shapes_meet_once(spark):
         assert len(met) == len(set(met))
         want = p.crossJoin(boxes).where(geo.reaches(F.struct("min_lat", "min_lon", "max_lat", "max_lon"), geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), F.col("_reach") if "_reach" in p.columns else 14800.0))
         assert {(r.qid, r.osm_id) for r in want.where("abs(lat_micro) < 8900000").collect()} <= set(met)
+
+
+def test_compat_pairs_are_tested_by_box_and_come_once(spark):
+    ring = lambda y, x: [(x, y), (x + 0.03, y), (x + 0.03, y + 0.03), (x, y + 0.03)]
+    rings = spark.createDataFrame([(i, ring(36.0 + 0.011 * i, -86.9)) for i in range(9)], "osm_id long, coords array<struct<lon:double,lat:double>>")
+    points = spark.createDataFrame([(i, 3_600_000 + 700 * i, -8_690_100) for i in range(12)], "qid long, lat_micro int, lon_micro int")
+    d = geo.to_ring_compat(geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), F.col("coords"))
+    want = points.crossJoin(rings).select("qid", "osm_id", F.round(d, 6)).where(d <= 300.0)
+    got = lookup.within_compat(points, rings, 300.0).select("qid", "osm_id", F.round("distance", 6))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
