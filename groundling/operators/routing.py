@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,17 +56,42 @@ def _node(lat_micro, lon_micro):
     return (ny + (1 << 24)) * (1 << 26) + nx + (1 << 25)
 
 
+#: The neighbours of a cell of ``merge_near`` that come after it, nearest first; the first four share a side or corner with it.
+AFTER = ((0, 1), (1, 0), (1, -1), (1, 1), (0, 2), (1, -2), (1, 2), (2, -2), (2, -1), (2, 0), (2, 1), (2, 2))
+
+
 def merge_near(nodes: DataFrame, units: float = 5.0) -> DataFrame:
     """(node, merged): nodes (node, lat_micro, lon_micro) within ``units`` of a 50,000th of a degree of each other, directly or through others, are one, under the least name.
 
-    Pairs come from an equi-join of cells as wide as the distance, and only their components are looked for."""
+    Cells are so small that all nodes of one belong together, so components are those of cells: a cell and each next to it are linked if the two nodes that stand out
+    most towards each other are near; only for neighbours that this leaves in different components are all pairs of nodes looked at."""
     y, x = (F.col(c) * (NODE_SCALE / geo.MICRO) for c in ("lat_micro", "lon_micro"))
-    at = nodes.select("node", y.alias("y"), x.alias("x"), F.floor(y / units).cast("long").alias("cy"), F.floor(x / units).cast("long").alias("cx"))
-    around = F.explode(F.expr("flatten(transform(sequence(-1L, 1L), dy -> transform(sequence(-1L, 1L), dx -> struct(cy + dy AS cy, cx + dx AS cx))))"))
-    left = at.select(F.col("node").alias("src"), F.col("y").alias("y1"), F.col("x").alias("x1"), around.alias("c")).select("src", "y1", "x1", "c.cy", "c.cx")
-    pairs = left.join(at, ["cy", "cx"]).where((F.col("src") < F.col("node")) & ((F.col("y") - F.col("y1")) ** 2 + (F.col("x") - F.col("x1")) ** 2 <= units * units))
-    labels = components(pairs.select("src", F.col("node").alias("dst")))
-    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("merged"))
+    side = units / 1.4143  # a little less than by the root of two
+    near = lambda a, b: (F.col(f"{a}.y") - F.col(f"{b}.y")) ** 2 + (F.col(f"{a}.x") - F.col(f"{b}.x")) ** 2 <= units * units
+    at = nodes.select("node", y.alias("y"), x.alias("x"), F.floor(y / side).cast("long").alias("cy"), F.floor(x / side).cast("long").alias("cx"))
+    inside = at.where("cy IS NOT NULL AND cx IS NOT NULL").repartition("cy", "cx")  # before they are grouped, as most groups of a part would be of one
+    ways = {w: F.col("y") * w[0] + F.col("x") * w[1] for w in ((0, 1), (1, 0), (1, -1), (1, 1), (0, -1), (-1, 0), (-1, 1), (-1, -1))}
+    out = [F.max_by(F.struct("y", "x"), v).alias(f"o{i}") for i, v in enumerate(ways.values())]
+    cells = _cut(inside.groupBy("cy", "cx").agg(F.min("node").alias("cell"), *out))
+
+    def pairs(left: DataFrame, right: DataFrame, after: tuple) -> DataFrame:
+        """Cells a with their neighbours b, both as structs."""
+        steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.col("cy") + dy).alias("cy"), (F.col("cx") + dx).alias("cx")) for i, (dy, dx) in enumerate(after)]))
+        a = left.select(F.struct(*left.columns).alias("a"), steps.alias("s")).select("a", "s.i", "s.cy", "s.cx")
+        return a.join(right.select("cy", "cx", F.struct(*right.columns).alias("b")), ["cy", "cx"]).drop("cy", "cx")
+
+    facing = F.lit(False)
+    for i in range(4):
+        facing = F.when(F.col("i") == i, near(f"a.o{i}", f"b.o{i + 4}")).otherwise(facing)
+    labels = components(pairs(cells, cells, AFTER[:4]).where(facing).select(F.col("a.cell").alias("src"), F.col("b.cell").alias("dst")))
+    known = cells.select("cy", "cx", "cell").join(labels.withColumnRenamed("node", "cell"), "cell", "left").select("cy", "cx", F.coalesce("component", "cell").alias("part"))
+    known = _cut(known)
+    open_ = pairs(known, known, AFTER).where("a.part <> b.part").select(F.explode(F.array("a", "b")).alias("c")).select("c.cy", "c.cx").distinct()
+    left = _cut(inside.join(open_, ["cy", "cx"], "left_semi").join(known, ["cy", "cx"]).select("cy", "cx", "y", "x", "part"))
+    links = pairs(left, left, AFTER).where((F.col("a.part") != F.col("b.part")) & near("a", "b")).select(F.col("a.part").alias("src"), F.col("b.part").alias("dst"))
+    joined = components(links.distinct()).withColumnRenamed("node", "part")
+    merged = known.join(joined, "part", "left").select("cy", "cx", F.coalesce("component", "part").alias("merged"))
+    return at.join(merged, ["cy", "cx"], "left").select("node", F.coalesce("merged", "node").alias("merged"))
 
 
 def graph(vertices: DataFrame, roads: DataFrame, profile: str = "driving", intersections: DataFrame | None = None, merge_units: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -100,30 +129,50 @@ def graph(vertices: DataFrame, roads: DataFrame, profile: str = "driving", inter
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the session's folder; a temporary one only where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+    """``df`` written as Parquet in the session's shared folder and read back, so that plans and their size estimates start anew: after checkpoint() the estimate goes on, and in rounds of
+    joins its digits double until the driver has no memory. A temporary folder serves only where none is set, as in tests. The files go when the Python process ends."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        import tempfile
-
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="groundling-"))
-    return df.checkpoint()
+        folder = sc.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/groundling/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended first; the folder is the cluster's to clear
+        return
 
 
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """(node, component): the least node connected whichever way its edges go, by label propagation with shortcuts."""
-    edges = _cut(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = _cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("component", F.col("node")))
+    """(node, component): the least node connected whichever way its edges go.
+
+    In every round each node goes to the neighbour that comes first in an order by hash, and on from there, and edges between the places left are kept. As the order is random,
+    paths down it are short and few places are left, so rounds grow with the logarithm of the number of nodes, however long the paths of the graph."""
+    links = _cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    labels = _cut(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("at", F.col("node")))
+    links = links.where("src <> dst")
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
     for _ in range(most_rounds):
-        low = edges.join(labels, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("low"))
-        new = labels.join(low, "node", "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"), F.col("component").alias("was"))
-        jump = new.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = _cut(new.join(jump, "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component"), "was"))
-        changed = new.where("component <> was").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
+        if links.isEmpty():
+            low = labels.groupBy("at").agg(F.min("node").alias("component"))
+            return labels.join(low, "at").select("node", "component")
+        both = links.select(F.col("src").alias("node"), F.col("dst").alias("next")).union(links.select("dst", "src"))
+        step = both.groupBy("node").agg(F.min(order("next")).alias("b")).select("node", F.least(F.col("b"), order("node"))["n"].alias("up"))
+        step = _cut(step)
+        step = _cut(step.join(step.select(F.col("node").alias("up"), F.col("up").alias("on")), "up").select("node", F.col("on").alias("up")))
+        ends = [step.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")) for c in ("src", "dst")]
+        moved = links.join(ends[0], "src").join(ends[1], "dst").where("src_up <> dst_up")
+        links = _cut(moved.select(F.least("src_up", "dst_up").alias("src"), F.greatest("src_up", "dst_up").alias("dst")).distinct())
+        labels = _cut(labels.join(step.select(F.col("node").alias("at"), "up"), "at", "left").select("node", F.coalesce("up", "at").alias("at")))
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")
 
 

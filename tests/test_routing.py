@@ -1,4 +1,5 @@
 import heapq
+import random
 from collections import Counter
 from math import asin, cos, radians, sin, sqrt
 
@@ -144,3 +145,27 @@ def test_whole_graph_paths(spark):
                 heapq.heappush(heap, (c + w, y))
     assert len(cost) > 1000 and max(cost.values()) > 12_000
     assert {r.node: r.cost for r in catalog.queries()["shortest_path"](spark, d).collect()} == cost
+
+
+def test_near_nodes_by_cells_equal_brute_force(spark):
+    """Sparse and dense places, a gap just over the distance, cells two apart, and a node without a place."""
+    rnd = random.Random(7)
+    at = {(rnd.randrange(-400, 400), rnd.randrange(-400, 400)) for _ in range(250)} | {(y, x) for y in range(1000, 1040, 2) for x in range(0, 40, 2)}
+    at |= {(y, x) for y in range(1000, 1040, 2) for x in range(59, 79, 2)} | {(1100, 0), (1106, 8), (1100, 10), (2000, 0), (2000, 11)}
+    nodes = dict(enumerate(sorted(at)))
+    up = {n: n for n in nodes}
+    for _ in nodes:
+        low = {n: min(up[m] for m, (b, x) in nodes.items() if (a - b) ** 2 + (c - x) ** 2 <= 100) for n, (a, c) in nodes.items()}
+        if low == up:
+            break
+        up = low
+    df = spark.createDataFrame([(n, *p) for n, p in nodes.items()] + [(9999, None, None)], "node long, lat_micro int, lon_micro int")
+    assert dict(tuple(r) for r in R.merge_near(df, 5.0).collect()) == up | {9999: 9999}
+
+
+def test_rounds_leave_small_size_estimates(spark):
+    """The planner's estimate starts anew in every round: its digits doubled with each round before, until the driver had no memory for them."""
+    path = spark.range(300).selectExpr("id AS src", "id + 1 AS dst")
+    out = R.components(path)
+    assert {tuple(r) for r in out.collect()} == {(i, 0) for i in range(301)}
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
