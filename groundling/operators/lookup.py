@@ -66,15 +66,18 @@ def top_n(rows: DataFrame, n: int, *order: Column) -> DataFrame:
 SHARE, BOUNDS = 16, 2
 
 
-def bounded(points: DataFrame, features: DataFrame, key: str, n: int, radius_m: float, search) -> DataFrame:
+def bounded(points: DataFrame, features: DataFrame, key: str, n: int, radius_m: float, search, ties: bool = False) -> DataFrame:
     """Points with ``_reach``: metres within which n features are known to be, at most the radius.
 
     ``search`` (points, features) gives the n nearest (qid, distance). The n-th of a share of the features is no nearer than the n-th of all,
-    so what lies beyond it need not be looked at; a share of the share bounds the search in it. Without n of them the reach stays the radius."""
+    so what lies beyond it need not be looked at; a share of the share bounds the search in it. Without n of them the reach stays the radius.
+    With ``ties`` (n is 1) there is ``_least`` too: the osm_id that is known at distance 0, where there is one, as no greater one can come before it."""
     out = points.withColumn("_reach", F.lit(float(radius_m)))
+    least = {"_least": F.when(F.max("distance") == 0, F.min("osm_id"))} if ties else {}
+    out = out.withColumns({c: F.lit(None).cast("long") for c in least})
     for i in range(BOUNDS, 0, -1):
         found = search(out, features.where(F.pmod(F.xxhash64(key), F.lit(SHARE**i)) == 0))
-        bound = found.groupBy("qid").agg(F.count("*").alias("_n"), F.max("distance").alias("_bound")).where(F.col("_n") >= n).select("qid", "_bound")
+        bound = found.groupBy("qid").agg(F.count("*").alias("_n"), F.max("distance").alias("_bound"), *[v.alias(c) for c, v in least.items()]).where(F.col("_n") >= n).select("qid", "_bound", *least)
         out = points.join(bound, "qid", "left").withColumn("_reach", F.least(F.coalesce(F.col("_bound") * (1 + 1e-9) + 1e-6, F.lit(float(radius_m))), F.lit(float(radius_m)))).drop("_bound")
     return out
 
@@ -97,17 +100,39 @@ def _reach(points: DataFrame, radius_m: float) -> Column:
     return F.col("_reach") if "_reach" in points.columns else F.lit(float(radius_m))
 
 
+def _boxed(points: DataFrame, shapes: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs whose shape's extent (_box) comes within the radius, once each: the cell join, then a test of the extent's four numbers. How far a point's
+    reach goes in degrees is computed once a point: code too long for the JVM's compiler runs many times slower."""
+    lat, lon, most = geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), _reach(points, radius_m)
+    dlat = most * 1.01 / geo.METRES_PER_DEGREE
+    dlon = most * 1.01 / geo.metres_per_lon(F.least(F.abs(lat) + dlat, F.lit(89.9)))
+    box = points.withColumns({"_south": lat - dlat, "_north": lat + dlat, "_west": lon - dlon, "_east": lon + dlon})
+    rows = grid.meet(box, shapes, radius_m, F.col("_box")).where("_north >= _box.min_lat AND _south <= _box.max_lat")
+    way = lambda t: (F.col("_east") + t >= F.col("_box.min_lon")) & (F.col("_west") + t <= F.col("_box.max_lon"))
+    return rows.where(way(0) | way(360) | way(-360)).drop("_box", "_south", "_north", "_west", "_east")
+
+
 def _reachable(points: DataFrame, shapes: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs whose shape's extent comes within the radius, once each: the cell join, then a test of the extent's four numbers."""
-    boxed = shapes.withColumn("_box", geo.bounds(F.col("coords")))
-    rows = grid.meet(points, boxed, radius_m, F.col("_box"))
-    return rows.where(geo.reaches(F.col("_box"), geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), _reach(points, radius_m))).drop("_box")
+    """Pairs whose shape's extent comes within the radius, once each."""
+    return _boxed(points, shapes.withColumn("_box", geo.bounds(F.col("coords"))), radius_m)
 
 
 def _distances(points: DataFrame, shapes: DataFrame, radius_m: float, closed: bool = False) -> DataFrame:
+    """Pairs of a point and a segment of a shape whose extent comes within the point's reach, with ``_near`` (see ``geo.to_line``) and no ``coords``; what is beyond is
+    to be filtered once it is aggregated. Segments are looked at as rows, in compiled arithmetic, where functions over arrays are interpreted."""
     lat, lon = geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro"))
-    rows = _reachable(points, shapes.where(F.size("coords") >= 2), radius_m)
-    return rows.withColumn("_near", geo.to_line(lat, lon, F.col("coords"), closed))  # to be filtered once it is aggregated: earlier it would be computed twice
+    known = points.withColumns({"_mlon": geo.metres_per_lon(lat), "_within": _reach(points, radius_m) + 0.001})
+    parts = F.transform(geo.segments(F.col("coords"), closed), lambda s: F.struct(s["i"].alias("i"), s["a"]["lon"].alias("lon"), s["a"]["lat"].alias("lat"), s["b"]["lon"].alias("to_lon"), s["b"]["lat"].alias("to_lat")))  # as they are: the same numbers again compress well
+    boxed = shapes.where(F.size("coords") >= 2).withColumns({"_box": geo.bounds(F.col("coords")), "_parts": parts}).drop("coords")
+    rows = _boxed(known, boxed, radius_m).select("*", F.inline("_parts").alias("_i", "_lon", "_lat", "_to_lon", "_to_lat")).drop("_parts")
+    rows = rows.withColumns({"_wx": geo.turned(F.col("_to_lon") - F.col("_lon")), "_wy": F.col("_to_lat") - F.col("_lat")}).drop("_to_lon", "_to_lat")
+    rows = rows.withColumns({"_ax": geo.turned(F.col("_lon") - lon) * F.col("_mlon"), "_ay": (F.col("_lat") - lat) * geo.METRES_PER_DEGREE, "_dx": F.col("_wx") * F.col("_mlon"), "_dy": F.col("_wy") * geo.METRES_PER_DEGREE})
+    rows = rows.where("least(_ay, _ay + _dy) <= _within AND greatest(_ay, _ay + _dy) >= -_within").where("least(_ax, _ax + _dx) <= _within AND greatest(_ax, _ax + _dx) >= -_within")
+    rows = rows.withColumn("_long2", F.expr("_dx * _dx + _dy * _dy"))
+    rows = rows.withColumn("_t", F.when(F.col("_long2") < 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.expr("-(_ax * _dx + _ay * _dy) / _long2")))))
+    rows = rows.withColumns({"_x": F.expr("_ax + _t * _dx"), "_y": F.expr("_ay + _t * _dy")})
+    near = F.struct(F.expr("sqrt(_x * _x + _y * _y)").alias("d"), F.col("_i").alias("i"), F.col("_t").alias("t"), F.expr("_lon + _t * _wx").alias("lon"), F.expr("_lat + _t * _wy").alias("lat"))
+    return rows.withColumn("_near", near).drop("_i", "_lon", "_lat", "_wx", "_wy", "_ax", "_ay", "_dx", "_dy", "_long2", "_t", "_x", "_y", "_mlon", "_within")
 
 
 def _nearest(rows: DataFrame, n: int, *columns: str) -> DataFrame:
@@ -123,13 +148,13 @@ def nearest_shapes(points: DataFrame, shapes: DataFrame, radius_m: float, area:
 
     def search(p: DataFrame, f: DataFrame) -> DataFrame:
         if area:
-            rows = _reachable(p, f, radius_m).withColumn("distance", F.when(geo.contains(lat, lon, F.col("coords")), 0.0).otherwise(geo.to_line(lat, lon, F.col("coords"), True)["d"]))
+            rows = _reachable(p, f, radius_m).where("_least IS NULL OR osm_id <= _least").withColumn("distance", F.when(geo.contains(lat, lon, F.col("coords")), 0.0).otherwise(geo.to_line(lat, lon, F.col("coords"), True)["d"]))
         else:
             rows = _distances(p, f, radius_m).withColumn("distance", F.col("_near.d"))
         best = _nearest(rows.withColumn("_most", _reach(p, radius_m)), 1)
         return best.groupBy("qid").agg(F.min(F.struct("b.distance", "osm_id")).alias("b")).select("qid", "b.osm_id", "b.distance")
 
-    return search(bounded(points, shapes, "osm_id", 1, radius_m, search), shapes)
+    return search(bounded(points, shapes, "osm_id", 1, radius_m, search, area), shapes)
 
 
 def nearest_roads(points: DataFrame, roads: DataFrame, n: int = 1, radius_m: float = 100.0, profile: str | None = None) -> DataFrame:
@@ -148,15 +173,24 @@ def nearest_roads(points: DataFrame, roads: DataFrame, n: int = 1, radius_m: flo
 def containing(points: DataFrame, shapes: DataFrame) -> DataFrame:
     """(qid, osm_id, ...) of every ring that contains each point."""
     boxed = shapes.withColumn("_box", geo.bounds(F.col("coords")))
-    rows = points.withColumn("_cell", F.explode(grid.here(F.col("lat_micro"), F.col("lon_micro")))).join(boxed.withColumn("_cell", F.explode(grid.cover(F.col("_box")))), "_cell").drop("_cell")
+    rows = grid.meet(points, boxed, 1.0, F.col("_box")).drop("_cell")
+    if "_least" in points.columns:
+        rows = rows.where("_least IS NULL OR osm_id <= _least")
     lat, lon = geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro"))
     rows = rows.where(lat.between(F.col("_box.min_lat"), F.col("_box.max_lat")) & lon.between(F.col("_box.min_lon"), F.col("_box.max_lon"))).drop("_box")
     return rows.where(geo.contains(lat, lon, F.col("coords")))
 
 
+def least_containing(points: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(qid, osm_id): the least osm_id whose ring contains each point. The least of a share bounds the search among all, as a greater one is of no use."""
+    share = shapes.where(F.pmod(F.xxhash64("osm_id"), F.lit(SHARE)) == 0)
+    some = containing(points.select("qid", "lat_micro", "lon_micro"), share).groupBy("qid").agg(F.min("osm_id").alias("_least"))
+    return containing(points.select("qid", "lat_micro", "lon_micro").join(some, "qid", "left"), shapes).groupBy("qid").agg(F.min("osm_id").alias("osm_id"))
+
+
 def building_at(points: DataFrame, buildings: DataFrame, fallback_m: float | None = None) -> DataFrame:
     """One building a point: the containing one with the least id, else the nearest boundary within ``fallback_m``."""
-    inside = containing(points, buildings).groupBy("qid").agg(F.min("osm_id").alias("osm_id")).select("qid", "osm_id", F.lit(0.0).alias("distance"), F.lit(True).alias("inside"))
+    inside = least_containing(points, buildings).select("qid", "osm_id", F.lit(0.0).alias("distance"), F.lit(True).alias("inside"))
     if fallback_m is None:
         return inside
     rest = points.join(inside.select("qid"), "qid", "left_anti")
@@ -303,7 +337,7 @@ def point_report(
     if water is not None:
         out = out.join(nearest_shapes(points, water, water_m, area=True).select("qid", F.col("osm_id").alias("water_id")), "qid", "left")
     if parks is not None:
-        out = out.join(containing(points, parks).groupBy("qid").agg(F.min("osm_id").alias("park_id")), "qid", "left")
+        out = out.join(least_containing(points, parks).withColumnRenamed("osm_id", "park_id"), "qid", "left")
     if rail is not None and stations is not None:
         out = out.join(nearest_rail(points, rail, stations, rail_m).select("qid", F.col("osm_id").alias("rail_id"), F.col("kind").alias("rail_kind")), "qid", "left")
     if ranges is not None:

@@ -226,3 +226,29 @@ def test_compat_pairs_are_tested_by_box_and_come_once(spark):
     want = points.crossJoin(rings).select("qid", "osm_id", F.round(d, 6)).where(d <= 300.0)
     got = lookup.within_compat(points, rings, 300.0).select("qid", "osm_id", F.round("distance", 6))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_segments_as_rows_equal_the_line_as_a_whole(spark):
+    """Distances, segments and places of lines and rings, one of them over the date line; whole lines are not sent along (they were before)."""
+    rnd = random.Random(3)
+    lines = [(i, [(179.99 + rnd.random() / 50 if i % 2 else rnd.random() / 50, 60 + rnd.random() / 50) for _ in range(rnd.randrange(1, 6))]) for i in range(40)]
+    lines = [(i, [(x - 360 if x > 180 else x, y) for x, y in line]) for i, line in lines]
+    shapes = spark.createDataFrame(lines, "osm_id long, coords array<struct<lon:double,lat:double>>")
+    points = spark.createDataFrame([(q, 6_000_000 + rnd.randrange(2000), (17_999_000 if q % 2 else 0) + rnd.randrange(1000)) for q in range(30)], "qid long, lat_micro long, lon_micro long")
+    lat, lon = geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro"))
+    for closed in (False, True):
+        rows = lookup._distances(points, shapes, 900.0, closed)
+        assert "coords" not in rows.columns
+        got = {tuple(r) for r in rows.groupBy("qid", "osm_id").agg(F.min("_near").alias("b")).where("b.d <= 900").select("qid", "osm_id", "b.*").collect()}
+        whole = points.crossJoin(shapes.where(F.size("coords") >= 2)).withColumn("b", geo.to_line(lat, lon, F.col("coords"), closed)).where("b.d <= 900").select("qid", "osm_id", "b.*")
+        want = {tuple(r) for r in whole.collect()}
+        assert got == want and len(want) > 100
+
+
+def test_least_ring_around_a_point(spark):
+    """Many rings around one point, the least of them last; a point in none; rings with the point on neither side of a bound."""
+    ring = lambda x, y, r: [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r)]
+    shapes = spark.createDataFrame([(900 - i, ring(10.0, 20.0, 0.001 * (i + 1))) for i in range(300)] + [(5, ring(11.0, 21.0, 0.001))], "osm_id long, coords array<struct<lon:double,lat:double>>")
+    points = spark.createDataFrame([(1, 2_000_000, 1_000_000), (2, 2_000_150, 1_000_000), (3, 2_100_000, 1_100_000), (4, 0, 0)], "qid long, lat_micro long, lon_micro long")
+    assert {tuple(r) for r in lookup.least_containing(points, shapes).collect()} == {(1, 601), (2, 601), (3, 5)}
+    assert {tuple(r) for r in lookup.nearest_shapes(points, shapes, 50.0, area=True).collect()} == {(1, 601, 0.0), (2, 601, 0.0), (3, 5, 0.0)}
