@@ -123,7 +123,7 @@ def _distances(points: DataFrame, shapes: DataFrame, radius_m: float, closed: bo
     lat, lon = geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro"))
     known = points.withColumns({"_mlon": geo.metres_per_lon(lat), "_within": _reach(points, radius_m) + 0.001})
     parts = F.transform(geo.segments(F.col("coords"), closed), lambda s: F.struct(s["i"].alias("i"), s["a"]["lon"].alias("lon"), s["a"]["lat"].alias("lat"), s["b"]["lon"].alias("to_lon"), s["b"]["lat"].alias("to_lat")))  # as they are: the same numbers again compress well
-    boxed = shapes.where(F.size("coords") >= 2).withColumns({"_box": geo.bounds(F.col("coords")), "_parts": parts}).drop("coords")
+    boxed = shapes.withColumns({"_box": geo.bounds(F.col("coords")), "_parts": F.when(F.size("coords") >= 2, parts)}).drop("coords")  # no filter: it would compute coords once more
     rows = _boxed(known, boxed, radius_m).select("*", F.inline("_parts").alias("_i", "_lon", "_lat", "_to_lon", "_to_lat")).drop("_parts")
     rows = rows.withColumns({"_wx": geo.turned(F.col("_to_lon") - F.col("_lon")), "_wy": F.col("_to_lat") - F.col("_lat")}).drop("_to_lon", "_to_lat")
     rows = rows.withColumns({"_ax": geo.turned(F.col("_lon") - lon) * F.col("_mlon"), "_ay": (F.col("_lat") - lat) * geo.METRES_PER_DEGREE, "_dx": F.col("_wx") * F.col("_mlon"), "_dy": F.col("_wy") * geo.METRES_PER_DEGREE})
@@ -295,9 +295,14 @@ def place_of(points: DataFrame, places: DataFrame) -> DataFrame:
     return best.select("qid", "b.osm_id", "b.name", "b.place_type", "b.distance")
 
 
+def _unnamed(roads: DataFrame) -> DataFrame:
+    """Roads without class and name, for searches that return neither: they would be sent with every road."""
+    return roads.withColumns({c: F.lit(None).cast("string") for c in ("road_class", "name")})
+
+
 def reverse_geocode(points: DataFrame, roads: DataFrame, ranges: DataFrame, cutoff_m: float = 50.0) -> DataFrame:
     """House number of each point: along the nearest road with address ranges (piece_id, from_no, to_no), odd numbers on the left."""
-    near = nearest_roads(points, roads.join(ranges, "piece_id", "left_semi"), 1, cutoff_m).drop("rank")
+    near = nearest_roads(points, _unnamed(roads).join(ranges, "piece_id", "left_semi"), 1, cutoff_m).drop("rank")
     rows = near.join(roads.select("piece_id", "coords"), "piece_id").join(points, "qid").join(ranges, "piece_id")
     a, b = F.get("coords", F.col("segment")), F.get("coords", F.col("segment") + 1)
     side = geo.side_of(geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), a, b)
@@ -328,7 +333,7 @@ def point_report(
     out = (
         points.select("qid")
         .join(building_at(points, buildings).select("qid", F.col("osm_id").alias("building_id")), "qid", "left")
-        .join(nearest_roads(points, roads, 1, radius_m).select("qid", F.col("osm_id").alias("road_id"), F.col("distance").alias("road_distance")), "qid", "left")
+        .join(nearest_roads(points, _unnamed(roads), 1, radius_m).select("qid", F.col("osm_id").alias("road_id"), F.col("distance").alias("road_distance")), "qid", "left")
         .join(nearby(points, businesses, radius_m, None).groupBy("qid").agg(F.count("*").alias("n_businesses"), F.min_by("osm_id", F.struct("distance", "osm_id")).alias("nearest_business")), "qid", "left")
         .join(place_of(points, places).select("qid", F.col("name").alias("place")), "qid", "left")
         .join(admin_at(points, admin).select("qid", *[c for c in ADMIN if c in admin.columns]), "qid", "left")
