@@ -147,7 +147,7 @@ def _road_columns(df):
 
 
 def _road(name: str, n: int, radius: float, profile: str | None = None, cls: str = "true"):
-    QUERIES[name] = lambda s, d: _road_columns(L.nearest_roads(view(s, d, "ping"), roads(s, d), n, radius, profile))
+    QUERIES[name] = lambda s, d: _road_columns(L.nearest_roads(view(s, d, "ping"), roads(s, d).withColumn("name", F.lit(None).cast("string")), n, radius, profile))  # names are not returned, and not sent either
     SQL[name] = _roads(n, radius, cls)
 
 
