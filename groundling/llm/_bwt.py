@@ -76,7 +76,8 @@ def long_prefixes(texts: list[bytes], least: int, times: list[int] | None = None
     head[1:] = symbols[sa][1:] != symbols[sa][:-1]
     found |= head
     last = np.flatnonzero(head)
-    bounds = None
+    after = None  # the next boundary after each place, as it was when last taken; ``recent`` has those found since
+    recent = np.zeros(0, np.int64)
     for _ in range(1, least):
         if len(last) > n // 64:
             mark = np.zeros(n, np.int32)
@@ -85,18 +86,25 @@ def long_prefixes(texts: list[bytes], least: int, times: list[int] | None = None
             hit = np.zeros(n, dtype=bool)
             hit[1:] = same[1:] & (upto[1:] > upto[:-1])
             reach = target_in_order[hit]
-            bounds = None
+            after = None
         else:
-            bounds = np.append(np.flatnonzero(found), n) if bounds is None else np.insert(bounds, np.searchsorted(bounds, last), last)
+            if after is None or len(recent) + len(last) > n // 16:
+                bounds = np.append(np.flatnonzero(found), n).astype(np.int32)  # the first place is always one
+                after, recent = np.repeat(bounds[1:], np.diff(bounds)), recent[:0]
+            else:
+                recent = np.sort(np.concatenate([recent, last]))
             # a boundary's characters are those before the next one: beyond it they are the next one's
-            stop = bounds[np.searchsorted(bounds, last, "right")]
+            stop = after[last]
+            if len(recent):
+                stop = np.minimum(stop, np.append(recent, n)[np.searchsorted(recent, last, "right")])
             more = run_of[stop - 1] - run_of[last]
             start = np.concatenate([last, np.repeat(last, more)])
             at = np.concatenate([last, run[np.repeat(run_of[last] + 1 - (np.cumsum(more) - more), more) + np.arange(more.sum())]])
             back = before[at]
             reach = target[at[(back < start) & (back >= 0)]]
         reach = reach[~found[reach]]
-        last = np.unique(reach)
+        reach.sort()
+        last = reach[np.append(True, reach[1:] != reach[:-1])] if len(reach) else reach
         found[last] = True
         if not len(last):
             break
