@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._hash import SPACE, TABLES, BASES, _inverse, buffers, chunks, mix, powers
+from ._hash import SPACE, TABLES, BASES, _inverse, buffers, chunks, mix, powers, tidy
 from ._spark import written
 
 END_ID = 1
 #: Pieces of one length that are ranked in one task.
 RANK_ROWS = 500_000
-CACHE_WORDS = 1_500_000
+#: Word parts that a worker remembers, and how many of them are tokenised at a time: workers live on beside the JVM, so both are small.
+CACHE_WORDS, LEARN_WORDS = 1_000_000, 10_000
+#: Bytes of texts that are tokenised at a time.
+TOKEN_BYTES = 300_000
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -69,6 +72,9 @@ class WordTokens:
 
     def _learn(self, parts: list[str]) -> np.ndarray:
         """New entries; their numbers."""
+        return np.concatenate([self._learn_some(parts[i : i + LEARN_WORDS]) for i in range(0, len(parts), LEARN_WORDS)])
+
+    def _learn_some(self, parts: list[str]) -> np.ndarray:
         got = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         count = np.fromiter((len(e.ids) for e in got), np.int64, len(got))
         total = int(count.sum())
@@ -148,7 +154,7 @@ def token_pieces(text_col: str, capacity: int, vocabulary: str):
         tokens = word_tokens(vocabulary)
         data, off = buffers(texts)
         lists, piece, start, length, crc = [0], [], [], [], []
-        for lo, hi in chunks(off, 1_000_000):
+        for lo, hi in chunks(off, TOKEN_BYTES):
             ids, bounds = tokens.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             view = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -160,6 +166,7 @@ def token_pieces(text_col: str, capacity: int, vocabulary: str):
                     crc.append(zlib.crc32(view[4 * s : 4 * e]))
                 lists.append(len(piece))
         fields = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+        tidy()
         return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.StructArray.from_arrays(fields, names=["piece", "start", "length", "ids_crc32"]))
 
     return cut(F.col(text_col))
