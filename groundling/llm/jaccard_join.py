@@ -72,6 +72,7 @@ def frequency_ranks(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
                 if n > len(total):
                     total += np.bincount(np.concatenate(held), minlength=len(total))
                     held, n = [], 0
+            tidy()
         if held:
             total += np.bincount(np.concatenate(held), minlength=len(total))
         for block, part in enumerate(np.split(total, SKETCH_BLOCKS)):
@@ -328,22 +329,17 @@ def banded(members: DataFrame, num: int, den: int, block_bytes: int) -> DataFram
     return members.where("blocks = 1").select(columns).union(large.select(columns))
 
 
-def maybe_in(keys: DataFrame, column: str):
-    """Condition that holds for every value of ``column`` that is in ``keys``, and for few others: a bitmap of NEEDED_BITS bits, whatever the input,
-    so that rows that the join to come would drop are dropped before they are moved."""
-    place = F.xxhash64(column).bitwiseAND(NEEDED_BITS - 1)
-    word = keys.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
+    """Bitmap, of NEEDED_BITS bits whatever the input, of the hashes (``hash_place``) of all values of ``column``: a row whose bit is not set is none of them, and few others have theirs set."""
+    word = keys.select(hash_place(column).alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     got = word.toArrow()  # NEEDED_BITS / 64 rows at most
     bitmap = np.zeros(NEEDED_BITS // 64, np.uint64)
     bitmap[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
-    held = keys.sparkSession.sparkContext.broadcast(bitmap)
+    return bitmap
 
-    @F.arrow_udf("boolean")
-    def hit(at: pa.Array) -> pa.Array:
-        at = at.to_numpy(zero_copy_only=False).astype(np.uint64)
-        return pa.array((held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
 
-    return hit(place)
+def hash_place(column: str):
+    return F.xxhash64(column).bitwiseAND(NEEDED_BITS - 1)
 
 
 def near_duplicates(
@@ -382,25 +378,32 @@ def near_duplicates(
     members = members.withColumn("block", F.pmod(F.xxhash64("rep", "gid"), F.col("blocks")).cast("int"))
 
     needed = members.select("rep").distinct()
+    held = docs.sparkSession.sparkContext.broadcast(bitmap_of(needed, "rep"))
 
     @F.arrow_udf("struct<s0:bigint,s1:bigint,keys:binary>")
-    def keys(texts: pa.Array) -> pa.Array:
-        out, s0, s1 = [], [], []
-        for doc, key, n in shingles(texts, words):
+    def keys(at: pa.Array, texts: pa.Array) -> pa.Array:
+        at = at.to_numpy(zero_copy_only=False).astype(np.uint64)
+        hit = np.flatnonzero(held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+        s0, s1, out = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64), [None] * len(at)  # null keys: a set that is not needed
+        done = 0
+        for doc, key, n in shingles(texts.take(pa.array(hit)), words):
             doc, key = distinct(doc, ordered(key, rank))
             count = np.bincount(doc, minlength=n)
             end = np.cumsum(count)
-            a, b = identities(key, end - count, count)
-            s0.append(a)
-            s1.append(b)
-            out += [key[a:b].tobytes() for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
-        whole = lambda x: pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64))
-        return pa.StructArray.from_arrays([whole(s0), whole(s1), pa.array(out, pa.binary())], names=["s0", "s1", "keys"])
-
-    text = docs.select(F.col(id_col).try_cast("long").alias("rep"), F.col(text_col).alias("text")).where(maybe_in(needed, "rep")).join(needed, "rep")
+            row = hit[done : done + n]
+            s0[row], s1[row] = identities(key, end - count, count)
+            for i, a, b in zip(row.tolist(), [0, *end[:-1].tolist()], end.tolist(), strict=True):
+                out[i] = key[a:b].tobytes()
+            done += n
+        tidy()
+        return pa.StructArray.from_arrays([pa.array(s0.view(np.int64)), pa.array(s1.view(np.int64)), pa.array(out, pa.binary())], names=["s0", "s1", "keys"])
+
+    # one step of Python, not a filter and a map: a task would hold a worker for each, and both live on beside the JVM
+    sets = docs.select(F.col(id_col).try_cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep IS NOT NULL")
+    sets = sets.select("rep", keys.asNondeterministic()(hash_place("rep"), F.coalesce("text", F.lit(""))).alias("s")).select("rep", "s.*").where("keys IS NOT NULL")
     # ids can repeat with other texts: the one that the id stands for has its set's identity
-    sets = text.select("rep", keys.asNondeterministic()(F.coalesce("text", F.lit(""))).alias("s")).select("rep", "s.*")
-    sets = written(sets.join(known.select("rep", "s0", "s1"), ["rep", "s0", "s1"], "left_semi").dropDuplicates(["rep"]).select("rep", "keys"))
+    wanted = known.select("rep", "s0", "s1").join(needed, "rep", "left_semi")
+    sets = written(sets.join(wanted, ["rep", "s0", "s1"], "left_semi").dropDuplicates(["rep"]).select("rep", "keys"))
     # first every set in one group only, its largest: that joins most classes, and groups all in one class are done
     pick = members.groupBy("rep").agg(F.max(F.struct("weight", "gid")).alias("p")).select("rep", "p.gid")
     volume = sets.agg(F.sum(F.octet_length("keys"))).first()[0] or 0

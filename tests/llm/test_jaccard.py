@@ -5,7 +5,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from groundling.llm import queries
+from groundling.llm import jaccard_join, queries
 from groundling.llm._spark import connected
 from groundling.llm._trie import Classes, links
 from groundling.llm.jaccard_join import near_duplicates
@@ -49,6 +49,15 @@ def test_query(spark):
     assert sum(i != c for i, _, c in want) > 20
 
 
+def test_a_task_needs_one_python_worker(spark, monkeypatch):
+    """A filter and a map in Python in one task hold a worker each, and executors keep both beside the JVM."""
+    plans = []
+    write = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df))[1])
+    queries.op9_shingle_join(spark, "/root/testdata/sf0.001").count()
+    assert max(p.count("ArrowEvalPython") for p in plans) == 1
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_tree_joins_what_pairs_join(seed):
     rng = random.Random(seed)
