@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, grid
+from .cut import cut
 
 #: Road classes of each travel profile; null: all classes.
 DRIVING = ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "tertiary", "tertiary_link")
@@ -88,14 +89,21 @@ def nearby(points: DataFrame, features: DataFrame, radius_m: float = 500.0, limi
         features = features.where(F.col("category").startswith(prefix))
     if exclude_closed:
         features = features.where(~F.col("operating_status").eqNullSafe("closed"))
-    d = geo.haversine(*(geo.degrees(F.col(c)) for c in ("lat_micro", "lon_micro", "f_lat_micro", "f_lon_micro")))
-    within = lambda p, f: grid.meet(p, f, radius_m).drop("_cell").withColumn("distance", d).where(F.col("distance") <= _reach(p, radius_m)).drop("_reach")
+    within = lambda p, f: _metres(grid.meet(p, f, radius_m).drop("_cell")).where(F.col("distance") <= _reach(p, radius_m)).drop("_reach")
     if limit is None:
         return within(points, features)
     first = lambda p, f: top_n(within(p, f), limit, F.col("distance"), F.col("osm_id"))
     return first(bounded(points, features, "osm_id", limit, radius_m, first), features)
 
 
+def _metres(pairs: DataFrame) -> DataFrame:
+    """Pairs of points with their ``distance``, computed once a pair: a filter on it would be moved below a plain column and compute it there once more, but stays above an array's row."""
+    lat, lon, f_lat, f_lon = (geo.degrees(F.col(c)) for c in ("lat_micro", "lon_micro", "f_lat_micro", "f_lon_micro"))
+    rows = pairs.withColumns({"_half_lat": F.sin(F.radians(f_lat - lat) / 2), "_half_lon": F.sin(F.radians(f_lon - lon) / 2)})
+    distance = geo.of_halves(lat, f_lat, F.col("_half_lat"), F.col("_half_lon"))
+    return rows.select("*", F.inline(F.array(F.struct(distance.alias("distance"))))).drop("_half_lat", "_half_lon")
+
+
 def _reach(points: DataFrame, radius_m: float) -> Column:
     return F.col("_reach") if "_reach" in points.columns else F.lit(float(radius_m))
 
@@ -117,22 +125,23 @@ def _reachable(points: DataFrame, shapes: DataFrame, radius_m: float) -> DataFra
     return _boxed(points, shapes.withColumn("_box", geo.bounds(F.col("coords"))), radius_m)
 
 
-def _distances(points: DataFrame, shapes: DataFrame, radius_m: float, closed: bool = False) -> DataFrame:
+def _distances(points: DataFrame, shapes: DataFrame, radius_m: float, closed: bool = False, ends: bool = False) -> DataFrame:
     """Pairs of a point and a segment of a shape whose extent comes within the point's reach, with ``_near`` (see ``geo.to_line``) and no ``coords``; what is beyond is
-    to be filtered once it is aggregated. Segments are looked at as rows, in compiled arithmetic, where functions over arrays are interpreted."""
+    to be filtered once it is aggregated. With ``ends`` its last field is the segment itself, see ``nearest_roads``. Segments are looked at as rows, in compiled arithmetic, where functions over arrays are interpreted."""
     lat, lon = geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro"))
     known = points.withColumns({"_mlon": geo.metres_per_lon(lat), "_within": _reach(points, radius_m) + 0.001})
     parts = F.transform(geo.segments(F.col("coords"), closed), lambda s: F.struct(s["i"].alias("i"), s["a"]["lon"].alias("lon"), s["a"]["lat"].alias("lat"), s["b"]["lon"].alias("to_lon"), s["b"]["lat"].alias("to_lat")))  # as they are: the same numbers again compress well
     boxed = shapes.withColumns({"_box": geo.bounds(F.col("coords")), "_parts": F.when(F.size("coords") >= 2, parts)}).drop("coords")  # no filter: it would compute coords once more
-    rows = _boxed(known, boxed, radius_m).select("*", F.inline("_parts").alias("_i", "_lon", "_lat", "_to_lon", "_to_lat")).drop("_parts")
+    rows = _boxed(known, boxed, radius_m).select("*", *[F.size("_parts").alias("_n")] * ends, F.inline("_parts").alias("_i", "_lon", "_lat", "_to_lon", "_to_lat")).drop("_parts")
     rows = rows.withColumns({"_wx": geo.turned(F.col("_to_lon") - F.col("_lon")), "_wy": F.col("_to_lat") - F.col("_lat")}).drop("_to_lon", "_to_lat")
     rows = rows.withColumns({"_ax": geo.turned(F.col("_lon") - lon) * F.col("_mlon"), "_ay": (F.col("_lat") - lat) * geo.METRES_PER_DEGREE, "_dx": F.col("_wx") * F.col("_mlon"), "_dy": F.col("_wy") * geo.METRES_PER_DEGREE})
     rows = rows.where("least(_ay, _ay + _dy) <= _within AND greatest(_ay, _ay + _dy) >= -_within").where("least(_ax, _ax + _dx) <= _within AND greatest(_ax, _ax + _dx) >= -_within")
     rows = rows.withColumn("_long2", F.expr("_dx * _dx + _dy * _dy"))
     rows = rows.withColumn("_t", F.when(F.col("_long2") < 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.expr("-(_ax * _dx + _ay * _dy) / _long2")))))
     rows = rows.withColumns({"_x": F.expr("_ax + _t * _dx"), "_y": F.expr("_ay + _t * _dy")})
-    near = F.struct(F.expr("sqrt(_x * _x + _y * _y)").alias("d"), F.col("_i").alias("i"), F.col("_t").alias("t"), F.expr("_lon + _t * _wx").alias("lon"), F.expr("_lat + _t * _wy").alias("lat"))
-    return rows.withColumn("_near", near).drop("_i", "_lon", "_lat", "_wx", "_wy", "_ax", "_ay", "_dx", "_dy", "_long2", "_t", "_x", "_y", "_mlon", "_within")
+    own = [F.struct(*[F.col(f"_{c}").alias(c) for c in ("lon", "lat", "wx", "wy", "n")]).alias("of")] * ends
+    near = F.struct(F.expr("sqrt(_x * _x + _y * _y)").alias("d"), F.col("_i").alias("i"), F.col("_t").alias("t"), F.expr("_lon + _t * _wx").alias("lon"), F.expr("_lat + _t * _wy").alias("lat"), *own)
+    return rows.withColumn("_near", near).drop("_n", "_i", "_lon", "_lat", "_wx", "_wy", "_ax", "_ay", "_dx", "_dy", "_long2", "_t", "_x", "_y", "_mlon", "_within")
 
 
 def _nearest(rows: DataFrame, n: int, *columns: str) -> DataFrame:
@@ -157,17 +166,18 @@ def nearest_shapes(points: DataFrame, shapes: DataFrame, radius_m: float, area:
     return search(bounded(points, shapes, "osm_id", 1, radius_m, search, area), shapes)
 
 
-def nearest_roads(points: DataFrame, roads: DataFrame, n: int = 1, radius_m: float = 100.0, profile: str | None = None) -> DataFrame:
-    """The n nearest roads of each point, a split way once, at its nearest piece."""
+def nearest_roads(points: DataFrame, roads: DataFrame, n: int = 1, radius_m: float = 100.0, profile: str | None = None, ends: bool = False) -> DataFrame:
+    """The n nearest roads of each point, a split way once, at its nearest piece. With ``ends`` there is ``of`` too: start (lon, lat) and way (wx, wy) of the nearest segment in degrees,
+    and the number n of the line's segments, so that no line has to be read again."""
     roads = of_profile(roads, profile)
 
     def search(p: DataFrame, f: DataFrame) -> DataFrame:
-        rows = _distances(p, f, radius_m).withColumns({"distance": F.col("_near.d"), "near": F.col("_near"), "_most": _reach(p, radius_m)})
+        rows = _distances(p, f, radius_m, ends=ends).withColumns({"distance": F.col("_near.d"), "near": F.col("_near"), "_most": _reach(p, radius_m)})
         best = _nearest(rows, n, "piece_id", "near", "road_class", "name").groupBy("qid", "osm_id").agg(F.min("b").alias("b"))
         return top_n(best.withColumn("distance", F.col("b.distance")), n, F.col("distance"), F.col("osm_id"))
 
     best = search(bounded(points, roads, "piece_id", n, radius_m, search), roads)
-    return best.select("qid", "osm_id", "distance", "b.piece_id", "b.road_class", "b.name", F.col("b.near.i").alias("segment"), F.col("b.near.t").alias("t"), F.col("b.near.lat").alias("snap_lat"), F.col("b.near.lon").alias("snap_lon"), "rank")
+    return best.select("qid", "osm_id", "distance", "b.piece_id", "b.road_class", "b.name", F.col("b.near.i").alias("segment"), F.col("b.near.t").alias("t"), F.col("b.near.lat").alias("snap_lat"), F.col("b.near.lon").alias("snap_lon"), "rank", *["b.near.of"] * ends)
 
 
 def containing(points: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -302,11 +312,10 @@ def _unnamed(roads: DataFrame) -> DataFrame:
 
 def reverse_geocode(points: DataFrame, roads: DataFrame, ranges: DataFrame, cutoff_m: float = 50.0) -> DataFrame:
     """House number of each point: along the nearest road with address ranges (piece_id, from_no, to_no), odd numbers on the left."""
-    near = nearest_roads(points, _unnamed(roads).join(ranges, "piece_id", "left_semi"), 1, cutoff_m).drop("rank")
-    rows = near.join(roads.select("piece_id", "coords"), "piece_id").join(points, "qid").join(ranges, "piece_id")
-    a, b = F.get("coords", F.col("segment")), F.get("coords", F.col("segment") + 1)
-    side = geo.side_of(geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), a, b)
-    share = (F.col("segment") + F.col("t")) / (F.size("coords") - 1)
+    near = nearest_roads(points, _unnamed(roads).join(ranges, "piece_id", "left_semi"), 1, cutoff_m, ends=True)
+    rows = near.join(points, "qid").join(ranges, "piece_id")
+    side = geo.side_along(geo.degrees(F.col("lat_micro")), geo.degrees(F.col("lon_micro")), F.col("of"), F.col("of.wx"), F.col("of.wy"))
+    share = (F.col("segment") + F.col("t")) / F.col("of.n")
     base = F.col("from_no") + F.floor(share * (F.col("to_no") - F.col("from_no")) / 2) * 2
     number = F.when((side == "left") == (base % 2 == 1), base).otherwise(base + 1)
     return rows.select("qid", "osm_id", "piece_id", side.alias("side"), number.cast("long").alias("house_number"), "distance")
@@ -329,25 +338,28 @@ def point_report(
     rail: DataFrame | None = None, stations: DataFrame | None = None, ranges: DataFrame | None = None, water_m: float = 100.0, rail_m: float = 3000.0,
 ) -> DataFrame:
     """One row a point over every layer given: building, nearest road, businesses in the radius, place, administrative names, water within ``water_m``,
-    park, rail line or station and house number; each layer is joined on its own and a layer that is not given has no columns."""
-    out = (
-        points.select("qid")
-        .join(building_at(points, buildings).select("qid", F.col("osm_id").alias("building_id")), "qid", "left")
-        .join(nearest_roads(points, _unnamed(roads), 1, radius_m).select("qid", F.col("osm_id").alias("road_id"), F.col("distance").alias("road_distance")), "qid", "left")
-        .join(nearby(points, businesses, radius_m, None).groupBy("qid").agg(F.count("*").alias("n_businesses"), F.min_by("osm_id", F.struct("distance", "osm_id")).alias("nearest_business")), "qid", "left")
-        .join(place_of(points, places).select("qid", F.col("name").alias("place")), "qid", "left")
-        .join(admin_at(points, admin).select("qid", *[c for c in ADMIN if c in admin.columns]), "qid", "left")
-        .withColumn("n_businesses", F.coalesce("n_businesses", F.lit(0)))
-    )
+    park, rail line or station and house number; each layer is searched on its own and a layer that is not given has no columns. Its few columns are written before they are
+    joined: one plan of all searches takes the driver's time and memory, and the files of all of them lie on disk together."""
+    found = [
+        building_at(points, buildings).select("qid", F.col("osm_id").alias("building_id")),
+        nearest_roads(points, _unnamed(roads), 1, radius_m).select("qid", F.col("osm_id").alias("road_id"), F.col("distance").alias("road_distance")),
+        nearby(points, businesses, radius_m, None).groupBy("qid").agg(F.count("*").alias("n_businesses"), F.min_by("osm_id", F.struct("distance", "osm_id")).alias("nearest_business")),
+        place_of(points, places).select("qid", F.col("name").alias("place")),
+        admin_at(points, admin).select("qid", *[c for c in ADMIN if c in admin.columns]),
+    ]
     if water is not None:
-        out = out.join(nearest_shapes(points, water, water_m, area=True).select("qid", F.col("osm_id").alias("water_id")), "qid", "left")
+        found.append(nearest_shapes(points, water, water_m, area=True).select("qid", F.col("osm_id").alias("water_id")))
     if parks is not None:
-        out = out.join(least_containing(points, parks).withColumnRenamed("osm_id", "park_id"), "qid", "left")
+        found.append(least_containing(points, parks).withColumnRenamed("osm_id", "park_id"))
     if rail is not None and stations is not None:
-        out = out.join(nearest_rail(points, rail, stations, rail_m).select("qid", F.col("osm_id").alias("rail_id"), F.col("kind").alias("rail_kind")), "qid", "left")
+        found.append(nearest_rail(points, rail, stations, rail_m).select("qid", F.col("osm_id").alias("rail_id"), F.col("kind").alias("rail_kind")))
     if ranges is not None:
-        out = out.join(reverse_geocode(points, roads, ranges).groupBy("qid").agg(F.min("house_number").alias("house_number")), "qid", "left")
-    return out
+        found.append(reverse_geocode(points, roads, ranges).groupBy("qid").agg(F.min("house_number").alias("house_number")))
+    out = points.select("qid")
+    while found:
+        out = out.join(cut(found.pop(0)), "qid", "left")
+        points.sparkSession.sparkContext._jvm.System.gc()  # a search's shuffle files and compiled code go when the driver collects its garbage, which it has little cause to
+    return out.withColumn("n_businesses", F.coalesce("n_businesses", F.lit(0)))
 
 
 def admin_exact(points: DataFrame, admin: DataFrame, areas: DataFrame) -> DataFrame:
