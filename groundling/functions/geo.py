@@ -40,6 +40,12 @@ def of_halves(lat1: Column, lat2: Column, half_lat: Column, half_lon: Column) ->
     return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+def tenths(d: Column) -> Column:
+    """A distance to one decimal, halves up. F.round goes through text and takes longer than the distance itself."""
+    whole = F.floor(d * 10.0)
+    return (whole + F.when(d * 10.0 - whole >= 0.5, 1).otherwise(0)) / F.lit(10.0)
+
+
 def metres_per_lon(lat: Column) -> Column:
     return F.lit(METRES_PER_DEGREE) * F.greatest(F.cos(F.radians(lat)), F.lit(0.001))
 

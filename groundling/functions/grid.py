@@ -119,16 +119,17 @@ def _cells(low: list, high: list, level: Column, around: Column, above: bool, fi
     return F.flatten(F.transform(F.sequence(low[0], high[0]), lambda y: F.transform(F.sequence(low[1], high[1]), lambda x: one(y, x))))
 
 
-def meet(points: DataFrame, features: DataFrame, radius_m: float, box: Column | None = None) -> DataFrame:
+def meet(points: DataFrame, features: DataFrame, radius_m: float, box: Column | None = None, width_m: float | None = None, parts: int | None = None) -> DataFrame:
     """Every pair of a point and a feature that can be within the radius, or within the point's own ``_reach`` (metres, at most the radius)
     where there is one, once, with the ``_cell`` by which it was found.
 
     Features are points (lat_micro, lon_micro; renamed f_lat_micro, f_lon_micro) or have a ``box`` in degrees. Cells are about as wide as the search, so a pair is
     looked at only if it is near. A shape has the smallest cells of which it needs few; a point asks in cells as wide as its reach, where smaller
     shapes are listed too (``above``), and in all larger ones. Of the cells that a pair shares the first counts. Exploded points can be
-    many times their table, so they are never broadcast on its size.
+    many times their table, so they are never broadcast on its size. ``width_m`` asks for other cells than those as wide as the radius, and ``parts`` for that
+    many tasks: a search's work is its pairs, so a few megabytes of dense points that adaptive execution puts into one task can take it hours.
     """
-    top = _reaching(radius_m)
+    top = _reaching(radius_m if width_m is None else width_m)
     low, last = (0, top) if box is None else (LEAST, len(LADDER) - 1)
     varies = "_reach" in points.columns
     low, top = (low, max(low, top)) if varies else (max(low, top),) * 2
@@ -153,7 +154,10 @@ def meet(points: DataFrame, features: DataFrame, radius_m: float, box: Column |
     if box is None:
         key = lambda level: (2 * level + (level > low)) * LEVEL + (F.floor(F.col("lat_micro") / float(LADDER[level])) + OFFSET) * WRAP + F.pmod(F.floor(F.col("lon_micro") / float(LADDER[level])), F.lit(360 * MICRO // LADDER[level]))
         right = features.withColumn("_cell", F.explode(F.array(*[key(i).cast("long") for i in range(low, top + 1)])))
-        return left.drop("_py", "_px").hint("merge").join(right.withColumnsRenamed({"lat_micro": "f_lat_micro", "lon_micro": "f_lon_micro"}), "_cell")
+        left, right = left.drop("_py", "_px"), right.withColumnsRenamed({"lat_micro": "f_lat_micro", "lon_micro": "f_lon_micro"})
+        if parts is not None:
+            left, right = left.repartition(parts, "_cell"), right.repartition(parts, "_cell")
+        return left.hint("merge").join(right, "_cell")
     extent = F.greatest(box["max_lat"] - box["min_lat"], box["max_lon"] - box["min_lon"]) * MICRO
     own = F.lit(last)
     for level in range(last - 1, low - 1, -1):

@@ -368,8 +368,8 @@ FAR = (500, 3000, 15000)
 @query("nearby_far_north", " UNION ALL ".join(f"SELECT {r} AS radius, qid, osm_id, round(d, 1) AS distance FROM (SELECT p.qid, b.osm_id, {HAV.format(f='b')} AS d FROM far_ping p CROSS JOIN far_business b) WHERE d <= {r}" for r in FAR), "far_ping", "far_business")
 def nearby_far_north(s, d):
     """Radius searches up to 80 degrees, half of them at the date line."""
-    hit = [L.nearby(view(s, d, "far_ping"), view(s, d, "far_business"), float(r), None).select(F.lit(r).alias("radius"), "qid", "osm_id", F.round("distance", 1).alias("distance")) for r in FAR]
-    return hit[0].union(hit[1]).union(hit[2])
+    hit = [L.nearby(view(s, d, "far_ping"), view(s, d, "far_business"), float(r), None, dense=True).select(F.lit(r).alias("radius"), "qid", "osm_id", geo.tenths(F.col("distance")).alias("distance")) for r in FAR]
+    return hit[2].union(hit[1]).union(hit[0])  # the longest tasks first
 
 
 @query("nearest_road_far_north", None)

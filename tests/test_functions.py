@@ -252,3 +252,15 @@ def test_least_ring_around_a_point(spark):
     points = spark.createDataFrame([(1, 2_000_000, 1_000_000), (2, 2_000_150, 1_000_000), (3, 2_100_000, 1_100_000), (4, 0, 0)], "qid long, lat_micro long, lon_micro long")
     assert {tuple(r) for r in lookup.least_containing(points, shapes).collect()} == {(1, 601), (2, 601), (3, 5)}
     assert {tuple(r) for r in lookup.nearest_shapes(points, shapes, 50.0, area=True).collect()} == {(1, 601, 0.0), (2, 601, 0.0), (3, 5, 0.0)}
+
+
+def test_dense_search_finds_the_same_pairs(spark):
+    rnd = random.Random(7)
+    far = [(rnd.choice((0.0, 47.0, 80.0, -89.95, 90.0)) + rnd.choice((-1, 1)) * rnd.random() / 20, rnd.choice((10.0, 180.0)) + rnd.choice((-1, 1)) * rnd.random() / 20) for _ in range(300)]
+    places = [(i, round(min(max(lat, -90.0), 90.0) * 1e5), round((lon + 180) % 360 * 1e5) - 18_000_000) for i, (lat, lon) in enumerate(far)] + [(300, None, None), (301, 0, 1_000_000), (302, 0, -17_000_000)]
+    features = spark.createDataFrame(places, "osm_id long, lat_micro int, lon_micro int")
+    points = features.where("osm_id % 5 = 0 OR osm_id > 299").withColumnRenamed("osm_id", "qid")
+    for radius in (0.0, 500.0, 15_000.0, 150_000.0, 2.1e7):
+        got, want = (sorted((r.qid, r.osm_id, round(r.distance, 3)) for r in lookup.nearby(points, features, radius, None, dense=dense).collect()) for dense in (True, False))
+        assert got == want and len(got) >= 60
+    assert [one(spark, geo.tenths(F.lit(v))) for v in (0.0, 0.05, 0.25, 1.15, 2.5, 14999.949, 14999.95)] == [0.0, 0.1, 0.3, 1.2, 2.5, 14999.9, 15000.0]
