@@ -399,8 +399,10 @@ def near_duplicates(
         return pa.StructArray.from_arrays([pa.array(s0.view(np.int64)), pa.array(s1.view(np.int64)), pa.array(out, pa.binary())], names=["s0", "s1", "keys"])
 
     # one step of Python, not a filter and a map: a task would hold a worker for each, and both live on beside the JVM
-    sets = docs.select(F.col(id_col).try_cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep IS NOT NULL")
-    sets = sets.select("rep", keys.asNondeterministic()(hash_place("rep"), F.coalesce("text", F.lit(""))).alias("s")).select("rep", "s.*").where("keys IS NOT NULL")
+    # texts go through an array: Spark does not find a Python step again whose argument holds nested lambda functions, as that of texts that are still to be computed would
+    text = F.inline(F.array(F.struct(F.coalesce(text_col, F.lit("")).alias("text"))))
+    sets = docs.select(F.col(id_col).try_cast("long").alias("rep"), text).where("rep IS NOT NULL")
+    sets = sets.select("rep", keys.asNondeterministic()(hash_place("rep"), "text").alias("s")).select("rep", "s.*").where("keys IS NOT NULL")
     # ids can repeat with other texts: the one that the id stands for has its set's identity
     wanted = known.select("rep", "s0", "s1").join(needed, "rep", "left_semi")
     sets = written(sets.join(wanted, ["rep", "s0", "s1"], "left_semi").dropDuplicates(["rep"]).select("rep", "keys"))
